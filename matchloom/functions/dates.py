@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import clean_text
+from matchloom.functions.text import clean_text, let
 
 # Fixed values -----------------------------------------------------------
 MONTHS = {
@@ -57,7 +57,7 @@ def month_of_token(t: Column) -> Column:
 
 
 def normalize_month(c: Column) -> Column:
-    return month_of_token(strip_lead(c))
+    return let(strip_lead(c), month_of_token)
 
 
 def month_to_date(c: Column, as_of: Column | None = None) -> Column:

@@ -258,6 +258,9 @@ def experience_scan(text: Column) -> Column:
     before = rf"(?i)([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)\s*,?\s*({DATE})(?!\s*(?:to|-|–|—|－))"
 
     def ranged(flat):
+        return let(F.regexp_extract_all(flat, F.lit(f"({DATE_RANGE})"), F.lit(1)), lambda whole: cut(flat, whole))
+
+    def cut(flat, whole):
         def record(m, s, i):
             after = F.get(m["ends"], i)
             first = after - F.get(m["spans"], i)
@@ -269,28 +272,28 @@ def experience_scan(text: Column) -> Column:
                 blank_to_null(F.substring(F.trim(F.substring(flat, after + 1, F.lit(220))), 1, 200)).alias("description"))
 
         gaps = F.transform(F.split(flat, DATE_RANGE), lambda s: F.length(s))
-        spans = F.transform(F.regexp_extract_all(flat, F.lit(f"({DATE_RANGE})"), F.lit(1)), lambda s: F.length(s))
+        spans = F.transform(whole, lambda s: F.length(s))
         # running end offset of each range: lengths of the text before it and of itself, summed once
         ends = F.aggregate(
             F.arrays_zip(gaps.alias("g"), spans.alias("s")), F.array().cast("array<int>"),
             lambda acc, x: F.when(x["s"].isNull(), acc).otherwise(
                 F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["g"] + x["s"]))))
         found = F.struct(
-            F.regexp_extract_all(flat, F.lit(DATE_RANGE), F.lit(1)).alias("start"),
-            F.regexp_extract_all(flat, F.lit(DATE_RANGE), F.lit(2)).alias("end"), spans.alias("spans"), ends.alias("ends"))
+            F.transform(whole, lambda s: F.regexp_extract(s, DATE_RANGE, 1)).alias("start"),
+            F.transform(whole, lambda s: F.regexp_extract(s, DATE_RANGE, 2)).alias("end"), spans.alias("spans"), ends.alias("ends"))
         return let(found, lambda m: F.transform(m["start"], lambda s, i: record(m, s, i)))
 
-    def singles(flat, pattern, title_group, date_group, banned):
-        titles = F.regexp_extract_all(flat, F.lit(pattern), F.lit(title_group))
-        dates = F.regexp_extract_all(flat, F.lit(pattern), F.lit(date_group))
-        recs = F.transform(F.arrays_zip(titles.alias("t"), dates.alias("d")), lambda z: F.struct(
-            squash(z["t"]).alias("title"), _null().alias("company"), z["d"].alias("start_date"), _null().alias("end_date"),
+    def singles(flat, pattern, parts, title_group, date_group, banned):
+        matches = F.regexp_extract_all(flat, F.lit(pattern), F.lit(0))
+        recs = F.transform(matches, lambda m: F.struct(
+            squash(F.regexp_extract(m, parts, title_group)).alias("title"), _null().alias("company"),
+            F.regexp_extract(m, parts, date_group).alias("start_date"), _null().alias("end_date"),
             _null().alias("location"), _null().alias("description")))
         keep = F.filter(recs, lambda r: r["title"] != "")
         return F.filter(keep, lambda r: ~F.lower(r["title"]).rlike("(education|skills|summary|highlights)$")) if banned else keep
 
     def scan(flat):
-        alone = F.concat(singles(flat, single, 2, 1, False), singles(flat, before, 1, 2, True))
+        alone = F.concat(singles(flat, single, rf"(?i)^({DATE})\s+(.*)$", 2, 1, False), singles(flat, before, rf"(?i)^([A-Za-z].{{2,80}}?)\s*,?\s*({DATE})$", 1, 2, True))
         return F.when(flat.rlike(DATE_RANGE), ranged(flat)).otherwise(alone)
 
     records = let(F.regexp_replace(text, WS + "+", " "), scan)
@@ -316,13 +319,16 @@ def typed_education(records: Column) -> Column:
 
 
 def abilities(summary: Column, descriptions: Column, text: Column, limit: int = 12) -> Column:
-    corpus = F.lower(squash(F.concat_ws(" ", summary, F.array_join(descriptions, " "), F.substring(text, 1, 4000))))
-    labels = F.filter(F.array(*[F.when(corpus.rlike(rx), F.lit(lb)) for lb, rx in ABILITIES]), lambda x: x.isNotNull())
-    phrases = F.transform(
-        F.regexp_extract_all(corpus, F.lit(ABILITY_PHRASE), F.lit(1)),
-        lambda p: F.btrim(F.regexp_replace(p, r"\b(?:the|a|an)\b\s+", ""), F.lit(" -")))
-    phrases = F.filter(phrases, lambda p: F.size(F.filter(F.split(p, " +"), lambda w: w != "")).between(3, 8))
-    return F.when(F.size(labels) > 0, F.slice(labels, 1, limit)).otherwise(F.slice(dedupe(F.slice(phrases, 1, limit)), 1, limit))
+    def from_corpus(corpus):
+        labels = F.filter(F.array(*[F.when(corpus.rlike(rx), F.lit(lb)) for lb, rx in ABILITIES]), lambda x: x.isNotNull())
+        phrases = F.transform(
+            F.regexp_extract_all(corpus, F.lit(ABILITY_PHRASE), F.lit(1)),
+            lambda p: F.btrim(F.regexp_replace(p, r"\b(?:the|a|an)\b\s+", ""), F.lit(" -")))
+        phrases = F.filter(phrases, lambda p: F.size(F.filter(F.split(p, " +"), lambda w: w != "")).between(3, 8))
+        fallback = F.slice(dedupe(F.slice(phrases, 1, limit)), 1, limit)
+        return let(F.slice(labels, 1, limit), lambda found: F.when(F.size(found) > 0, found).otherwise(fallback))
+
+    return let(F.lower(squash(F.concat_ws(" ", summary, F.array_join(descriptions, " "), F.substring(text, 1, 4000)))), from_corpus)
 
 
 def _boundary(words: list[str]) -> list[str]:
@@ -332,11 +338,13 @@ def _boundary(words: list[str]) -> list[str]:
 
 def impute_category(titles: Column, core: Column) -> Column:
     """Category with most keyword hits; the earlier one wins a tie."""
-    text = F.lower(F.concat_ws(" ", titles, core))
-    scored = F.array(*[
-        F.struct(sum((text.rlike(rx).cast("int") for rx in _boundary(ws)), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c"))
-        for i, (c, ws) in enumerate(CATEGORY_WORDS.items())])
-    best = F.array_max(scored)
+    def best_of(text):
+        scored = F.array(*[
+            F.struct(sum((text.rlike(rx).cast("int") for rx in _boundary(ws)), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c"))
+            for i, (c, ws) in enumerate(CATEGORY_WORDS.items())])
+        return F.array_max(scored)
+
+    best = let(F.lower(F.concat_ws(" ", titles, core)), best_of)
     return F.when(best["n"] > 0, best["c"]).otherwise("SOFTWARE-ENGINEERING")
 
 

@@ -146,32 +146,45 @@ def versioned(tokens: DataFrame, versions: DataFrame) -> DataFrame:
     return r.where("_v is not null").select(*tokens.columns, F.col("_v.canonical").alias("canonical"), F.col("_v.version").alias("version"))
 
 
-def _ordered(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Array of the values in position order; values are distinct, so its length is at most the vocabulary."""
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))), lambda e: e["v"]).alias(out))
-
-
 def normalize(entities: DataFrame, key: str, tokens: Column, ont: Ontology, order: str = "skill") -> DataFrame:
-    """All ontology lists of each entity: canonical, core, expanded, capability, role, review, versioned."""
+    """All ontology lists of each entity: canonical, core, expanded, capability, role, review, versioned.
+
+    One explode, look-up joins on the token, one final group per entity. The
+    grouped items are distinct tokens, so a group is at most the vocabulary.
+    """
     canon = canonicalize(explode_tokens(entities, key, tokens), ont.alias_map, key)
-    core = core_skills(canon, ont.taxonomy, key, order)
-    lists = _ordered(canon, key, "canonical", "canonical_skills")
-    parts = {
-        "core_skills": (core, "skill"), "expanded_skills": (expand_parents(core, ont.taxonomy, key), "skill"),
-        "capability_phrases": (tag_members(canon, ont.capabilities), "canonical"), "role_candidates": (tag_members(canon, ont.roles), "canonical"),
-        "review_required_skills": (tag_members(canon, ont.review), "canonical"),
+    tax = ont.taxonomy.select("skill", "parents")
+    unmatched = canon.select(F.col("canonical").alias("token")).distinct().join(tax.select(F.col("skill").alias("token")), "token", "left_anti")
+    loose = longest_contained(unmatched, ont.taxonomy, order)
+    to_core = tax.select(F.col("skill").alias("canonical"), "skill").unionByName(loose.withColumnRenamed("token", "canonical")).join(tax, "skill")
+    tags = (
+        ont.capabilities.select("token", F.lit("c").alias("t")).unionByName(ont.roles.select("token", F.lit("r").alias("t")))
+        .unionByName(ont.review.select("token", F.lit("v").alias("t"))).groupBy("token").agg(F.collect_set("t").alias("tags")))
+    table = ont.versions.select(F.col("token").alias("canonical"), F.struct(F.col("canonical"), "version").alias("_v"))
+    marked = (
+        canon.join(to_core, "canonical", "left").join(tags.withColumnRenamed("token", "canonical"), "canonical", "left")
+        .join(table, "canonical", "left").withColumn("_v", F.coalesce("_v", parse_version(F.col("canonical")))))
+    item = F.struct("pos", "canonical", "skill", "parents", "tags", F.concat_ws("=", "canonical", F.concat("_v.canonical", F.lit("@"), "_v.version")).alias("ver"), F.col("_v").isNotNull().alias("has_v"))
+    grouped = marked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("aliased").alias("alias_applied"))
+
+    def pick(cond, col):
+        return F.transform(F.filter("items", cond), lambda e: e[col])
+
+    def tagged(t):
+        return pick(lambda e: F.coalesce(F.array_contains(e["tags"], t), F.lit(False)), "canonical")
+
+    def in_core(e):
+        return e["skill"].isNotNull()
+
+    lists = {
+        "canonical_skills": pick(lambda e: F.lit(True), "canonical"), "core_skills": F.array_distinct(pick(in_core, "skill")),
+        "expanded_skills": F.array_distinct(F.flatten(F.transform(F.filter("items", in_core), lambda e: F.concat(F.array(e["skill"]), e["parents"])))),
+        "capability_phrases": tagged("c"), "role_candidates": tagged("r"), "review_required_skills": tagged("v"),
+        "versioned_skills": pick(lambda e: e["has_v"], "ver"),
     }
-    ver = versioned(canon.withColumnRenamed("canonical", "token").drop("aliased"), ont.versions)
-    ver = ver.withColumn("v", F.concat_ws("=", "token", F.concat_ws("@", "canonical", "version")))
-    flags = canon.groupBy(key).agg(F.max("aliased").alias("alias_applied"))
-    out = entities.select(key).join(lists, key, "left").join(flags, key, "left")
-    for name, (rows, col) in parts.items():
-        out = out.join(_ordered(rows, key, col, name), key, "left")
-    out = out.join(_ordered(ver, key, "v", "versioned_skills"), key, "left")
-    arrays = ["canonical_skills", *parts, "versioned_skills"]
-    empty = F.array().cast("array<string>")
-    return out.select(key, *[F.coalesce(a, empty).alias(a) for a in arrays], F.coalesce("alias_applied", F.lit(False)).alias("alias_applied")).withColumn(
-        "taxonomy_applied", sum((F.size(a) for a in arrays[1:]), F.lit(0)) > 0)
+    out = entities.select(key).join(grouped, key, "left").select(
+        key, *[F.coalesce(c, F.array().cast("array<string>")).alias(n) for n, c in lists.items()], F.coalesce("alias_applied", F.lit(False)).alias("alias_applied"))
+    return out.withColumn("taxonomy_applied", sum((F.size(n) for n in list(lists)[1:]), F.lit(0)) > 0)
 
 
 def adjacent_skills(seeds: DataFrame, taxonomy: DataFrame, key: str, limit: int = 12, max_seeds: int = 18, order: str = "skill") -> DataFrame:

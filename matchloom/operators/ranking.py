@@ -55,7 +55,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
         lo = F.max(F.when((F.floor(r) >= F.col("_lo")) & (F.floor(r) < F.col("_hi")), F.col(value)))
         hi = F.max(F.when((F.ceil(r) >= F.col("_lo")) & (F.ceil(r) < F.col("_hi")), F.col(value)))
         w_hi = F.max(r - F.floor(r))
-        aggs.append(F.round(lo * (1 - w_hi) + hi * w_hi, 4).alias(name))
+        aggs.append((F.round((lo * (1 - w_hi) + hi * w_hi) * 10000) / 10000).alias(name))
     return placed.groupBy(*keys).agg(*aggs)
 
 

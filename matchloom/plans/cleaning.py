@@ -14,12 +14,12 @@ TOKENS_SQL = "SELECT doc_id, string_split_regex(text, '[,.\\n]') AS a FROM docum
 
 
 def tokens(i):
-    return i.base("documents").select("doc_id", F.split("text", r"[,.\n]").alias("a"))
+    return i.spread("documents", "doc_id").select("doc_id", F.split("text", r"[,.\n]").alias("a"))
 
 
 @query("c01_clean_text", f"SELECT doc_id, {d.clean_text('text')} AS cleaned, {d.clean_text('lang')} AS lang FROM documents")
 def _(i):
-    return i.base("documents").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"), tx.clean_text(F.col("lang")).alias("lang"))
+    return i.spread("documents", "doc_id").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"), tx.clean_text(F.col("lang")).alias("lang"))
 
 
 @query("c02_normalize_identifier", f"""
@@ -52,7 +52,7 @@ def _(i):
 
 @query("c05_normalize_skill", f"SELECT page_id, {d.normalize_skill('html')} AS skill FROM pages")
 def _(i):
-    return i.base("pages").select("page_id", tx.normalize_skill(F.col("html")).alias("skill"))
+    return i.spread("pages", "page_id").select("page_id", tx.normalize_skill(F.col("html")).alias("skill"))
 
 
 _RAW = f"""SELECT doc_id, list_filter(b, lambda x, i: list_position(b, x) = i) AS raw FROM (
@@ -134,7 +134,7 @@ def _(i):
 
 @query("c12_embedding_text", f"SELECT doc_id, substring(coalesce(nullif({d.squash('text')}, ''), 'empty resume'), 1, 4000) AS prepared FROM documents")
 def _(i):
-    return i.base("documents").select("doc_id", tx.embedding_text(F.col("text")).alias("prepared"))
+    return i.spread("documents", "doc_id").select("doc_id", tx.embedding_text(F.col("text")).alias("prepared"))
 
 
 _JOIN = "array_to_string({}, '; ')"
@@ -179,7 +179,7 @@ def _(i):
 
 @query("c15_normalize_token", f"SELECT page_id, {d.normalize_token('url')} AS token, {d.normalize_token('html')} AS body FROM pages")
 def _(i):
-    return i.base("pages").select("page_id", tx.normalize_token(F.col("url")).alias("token"), tx.normalize_token(F.col("html")).alias("body"))
+    return i.spread("pages", "page_id").select("page_id", tx.normalize_token(F.col("url")).alias("token"), tx.normalize_token(F.col("html")).alias("body"))
 
 
 @query("c16_clean_token", f"""
@@ -226,12 +226,12 @@ def _(i):
 
 @query("c20_trim_description", f"SELECT doc_id, coalesce(substring({d.squash('text')}, 1, 8000), '') AS text FROM documents")
 def _(i):
-    return i.base("documents").select("doc_id", tx.trim_description(F.col("text")).alias("text"))
+    return i.spread("documents", "doc_id").select("doc_id", tx.trim_description(F.col("text")).alias("text"))
 
 
 @query("c22_estimate_tokens", "SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS tokens FROM documents")
 def _(i):
-    return i.base("documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+    return i.spread("documents", "doc_id").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 _LEVELS = ["Staff Engineer", "Tech Lead", "SENIOR dev", "Entry level", "mid-level", "Director", "", "  Intern"]
@@ -269,5 +269,5 @@ _SENS = f"regexp_extract_all(lower(text), {d.q(tx.SENSITIVE_RE)}, 1)"
 SELECT job_id, {d.join(d.dedupe('h'))} AS terms FROM (SELECT job_id, {_SENS} AS h FROM job_text
 UNION ALL SELECT 'doc-' || doc_id, {_SENS} FROM documents)""")
 def _(i):
-    both = i.job_text().unionByName(i.base("documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("job_id"), "text"))
+    both = i.job_text().unionByName(i.spread("documents", "doc_id").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("job_id"), "text"))
     return both.select("job_id", F.array_join(tx.sensitive_terms(F.col("text")), "|").alias("terms"))

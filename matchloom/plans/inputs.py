@@ -20,6 +20,12 @@ class Inputs:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A base table for CPU-heavy text work: if its files give fewer splits than
+        there are cores (one small file), hash it over the cores; else leave it as read."""
+        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     # -- candidates -------------------------------------------------------
     def application(self) -> DataFrame:
         """One row per order: its first line says which part and supplier."""
@@ -30,7 +36,7 @@ class Inputs:
         )
         part = self.base("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("skill"))
         return (
-            self.base("orders").join(first, "o_orderkey").join(part, "l_partkey")
+            self.spread("orders", "o_orderkey").join(first, "o_orderkey").join(part, "l_partkey")
             .select(
                 "o_orderkey", "o_custkey", "l_suppkey", "skill", "o_orderpriority", "o_orderdate",
                 "o_orderstatus", "o_totalprice",
@@ -154,7 +160,7 @@ class Inputs:
             .when(F.col("ord") <= 7, "Nice to have ").when(F.col("ord") <= 8, "Familiarity with ").otherwise("Some ")
         )
         parts = self.job_skill().groupBy("job_id").agg(
-            F.array_sort(F.collect_list(F.struct("ord", F.concat(cue, F.col("skill")).alias("t")))).alias("s"))
+            F.array_sort(F.collect_list(F.struct("ord", F.concat(cue, F.col("skill"), F.when(F.col("ord") % 2 == 0, " know-how").otherwise("")).alias("t")))).alias("s"))
         k = F.col("s_suppkey")
         return self.job().join(parts, "job_id").select(
             "job_id",
@@ -172,7 +178,7 @@ class Inputs:
     def pair(self) -> DataFrame:
         """(job, candidate) pairs that occur as applications, with a raw similarity."""
         return self.application().groupBy("job_id", "candidate_id").agg(
-            F.round(F.max("o_totalprice") / 500000, 6).alias("raw_score"), F.count("*").alias("n_applications"))
+            F.round(F.max("o_totalprice") / 1000000, 8).alias("raw_score"), F.count("*").alias("n_applications"))
 
     def pair_doc(self) -> DataFrame:
         jobs = self.job_doc().withColumnRenamed("category", "job_category")

@@ -57,7 +57,7 @@ _CONTACT = f"nullif(regexp_extract(text, {d.q(rs.EMAIL)}, 1), '') AS email, null
 @query("p03_contacts", f"SELECT 'r-' || resume_id AS id, {_CONTACT} FROM resume UNION ALL SELECT 'd-' || doc_id, {_CONTACT} FROM documents")
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(
-        i.base("documents").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
+        i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
     return both.select("id", rs.email(F.col("text")).alias("email"), rs.phone(F.col("text")).alias("phone"))
 
 
@@ -96,7 +96,7 @@ def _(i):
 @query("p06_valid_skill", f"""
 SELECT doc_id, tok AS token, {_valid('tok')} AS valid FROM (SELECT doc_id, unnest(string_split_regex(text, {d.q(rs.SKILL_SPLIT)})) AS tok FROM documents)""")
 def _(i):
-    return i.base("documents").select("doc_id", F.explode(F.split("text", rs.SKILL_SPLIT)).alias("token")).select(
+    return i.spread("documents", "doc_id").select("doc_id", F.explode(F.split("text", rs.SKILL_SPLIT)).alias("token")).select(
         "doc_id", "token", rs.valid_skill(F.col("token")).alias("valid"))
 
 
@@ -146,7 +146,7 @@ SELECT id, degree, institution, start_date FROM (SELECT *, row_number() OVER (PA
    SELECT id, unnest(x) AS u, generate_subscripts(x, 1) AS pos FROM (SELECT id, regexp_extract_all({_FLAT}, {d.q(rs.SCHOOL_CHUNK)}, 1) AS x FROM all_text))) WHERE length(c) >= 8)) WHERE rn = 1""", CT)
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(
-        i.base("documents").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
+        i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
     return both.select("id", F.explode(rs.education_scan(F.col("text"))).alias("e")).select("id", "e.degree", "e.institution", "e.start_date")
 
 
@@ -187,7 +187,7 @@ SELECT id, flat, regexp_extract_all(flat, {_RNG}, 0) AS whole, regexp_extract_al
 FROM (SELECT id, {_FLAT} AS flat FROM all_text WHERE regexp_matches(text, {_RNG}))))))))) WHERE rn = 1""", CT)
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(
-        i.base("documents").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
+        i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
     found = both.where(F.col("text").rlike(rs.DATE_RANGE))
     return found.select("id", F.explode(rs.experience_scan(F.col("text"))).alias("e")).select("id", *[f"e.{c}" for c in EXP_COLS])
 
@@ -241,7 +241,7 @@ SELECT id, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS labels,
 FROM (SELECT id, {_CORPUS} AS c FROM (SELECT id, text, '' AS s, '' AS dd FROM all_text)))""", CT)
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(
-        i.base("documents").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
+        i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
     none = F.lit(None).cast("string")
     return both.select("id", F.array_join(rs.abilities(none, F.array().cast("array<string>"), F.col("text")), "|").alias("abilities"))
 
