@@ -33,6 +33,10 @@ def r4(c: Column) -> Column:
     return F.round(c * 10000) / 10000
 
 
+def rnd(c: Column, digits: int) -> Column:
+    return F.round(c * 10 ** digits) / 10 ** digits
+
+
 def lower_set(*arrays: Column) -> Column:
     """Distinct trimmed lower-case values over several arrays."""
     both = F.concat(*arrays) if len(arrays) > 1 else arrays[0]

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["cleaning", "resumes", "skills", "retrieval"]
+MODULES = ["cleaning", "resumes", "skills", "retrieval", "scoring"]
 
 for _m in MODULES:
     importlib.import_module(f"matchloom.plans.{_m}")

@@ -123,7 +123,7 @@ def meta(i=None):
 
 @query("r08_metadata_score", f"SELECT job_id, candidate_id, round({_META}, 6) AS metadata_score FROM pair_doc")
 def _(i):
-    return i.pair_doc().select("job_id", "candidate_id", F.round(meta(), 6).alias("metadata_score"))
+    return i.pair_doc().select("job_id", "candidate_id", sc.rnd(meta(), 6).alias("metadata_score"))
 
 
 @query("r09_fusion_score", f"""
@@ -134,8 +134,8 @@ def _(i):
     kw = sc.keyword_score(F.col("pool"), F.col("terms"))
     p = pairs(i).select("job_id", "candidate_id", "raw_score", kw.alias("kw"), meta().alias("m"))
     raw, k, m = F.col("raw_score"), F.col("kw"), F.col("m")
-    return p.select("job_id", "candidate_id", F.round(sc.fusion(raw, k, m), 6).alias("fusion_score"),
-                    F.round(sc.fusion(raw, k, m, {"vector": 2.0, "keyword": -1.0, "metadata": 1.0}), 6).alias("custom_score"))
+    return p.select("job_id", "candidate_id", sc.rnd(sc.fusion(raw, k, m), 6).alias("fusion_score"),
+                    sc.rnd(sc.fusion(raw, k, m, {"vector": 2.0, "keyword": -1.0, "metadata": 1.0}), 6).alias("custom_score"))
 
 
 @query("r10_hit_from_document", f"""
