@@ -37,6 +37,23 @@ def rnd(c: Column, digits: int) -> Column:
     return F.round(c * 10 ** digits) / 10 ** digits
 
 
+def two_digits(c: Column) -> Column:
+    """c to two decimals, deciding ties on the exact binary value.
+
+    The product's rounding error (Veltkamp split) tells on which side of a
+    half the true value lies; an exact half goes to the even digit.
+    """
+    def decide(x):
+        big = x * 134217729.0
+        high = big - (big - x)
+        p = x * 100.0
+        err = (high * 100.0 - p) + (x - high) * 100.0
+        tie = (p - F.floor(p)) == 0.5
+        return F.when(tie & (err > 0), F.ceil(p).cast("double")).when(tie & (err < 0), F.floor(p).cast("double")).otherwise(F.rint(p)) / 100.0
+
+    return let(c.cast("double"), decide)
+
+
 def lower_set(*arrays: Column) -> Column:
     """Distinct trimmed lower-case values over several arrays."""
     both = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
@@ -225,13 +242,13 @@ def skill_sentence(required: Column, candidate_tokens: Column) -> Column:
 def deterministic_explanation(required: Column, tokens: Column, semantic: Column, skill: Column, experience: Column, seniority: Column, rate: Column) -> Column:
     return F.concat(skill_sentence(required, tokens), F.format_string(
         "Deterministic signals: semantic=%.2f, skill=%.2f, experience=%.2f, seniority=%.2f; must-have match=%.2f.",
-        semantic, skill, experience, seniority, rate))
+        *[two_digits(c) for c in (semantic, skill, experience, seniority, rate)]))
 
 
 def grounded_explanation(required: Column, tokens: Column, scores: dict[str, Column], weights: dict[str, Column]) -> Column:
     return F.concat(skill_sentence(required, tokens), F.format_string(
         "Scores/weights: skill=%.2f, experience=%.2f, technical=%.2f, culture=%.2f; final weights skill=%.2f, experience=%.2f, technical=%.2f, culture=%.2f.",
-        *[scores[k] for k in DIMENSIONS], *[weights[k] for k in DIMENSIONS]))
+        *[two_digits(scores[k]) for k in DIMENSIONS], *[two_digits(weights[k]) for k in DIMENSIONS]))
 
 
 def relevant_experience(items: Column, years: Column) -> Column:
@@ -276,7 +293,7 @@ def weighting_summary(w: dict[str, dict[str, Column]]) -> Column:
     part = "(S:%.2f, E:%.2f, T:%.2f, C:%.2f)"
     return F.format_string(
         f"Recruiter focus {part} | Hiring manager focus {part} | Final negotiated {part}",
-        *[w[who][k] for who in ("recruiter", "hiring_manager", "final") for k in DIMENSIONS])
+        *[two_digits(w[who][k]) for who in ("recruiter", "hiring_manager", "final") for k in DIMENSIONS])
 
 
 def weighted_score(scores: dict[str, Column], weights: dict[str, Column]) -> Column:
@@ -335,7 +352,8 @@ def groundedness(explanation: Column, expected: Column, candidate: Column) -> Co
 
 
 def dimension_consistency(scores: dict[str, Column], final: Column) -> Column:
-    vals = F.filter(F.array(*[clip01(scores[k]) if scores.get(k) is not None else F.lit(None).cast("double") for k in DIMENSIONS]), lambda v: v.isNotNull())
+    given = F.array(*[scores[k] for k in DIMENSIONS if scores.get(k) is not None])
+    vals = F.transform(F.filter(given, lambda v: v.isNotNull()), clip01)
     mean = F.aggregate(vals, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(vals), F.lit(0))
     return F.when(F.size(vals) == 0, F.lit(0.0)).when(final.isNull(), r4(mean)).otherwise(r4(F.greatest(F.lit(0.0), 1.0 - F.abs(mean - clip01(final)))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import display_label, normalize_region, normalize_token
+from matchloom.functions.text import let, normalize_region, normalize_token
 
 # Fixed values -----------------------------------------------------------
 FILTERS = {
@@ -92,8 +92,8 @@ def contains_any(c: Column, words: list[str]) -> Column:
 def education_level(degrees: Column) -> Column:
     """Highest of bachelor 1, master 2, PhD 3 over an array of degrees; 0 if none."""
     def level(x):
-        t = normalize_token(x)
-        return F.greatest(*[F.when(contains_any(t, ws), F.lit(n)).otherwise(F.lit(0)) for n, ws in DEGREE_PATTERNS.values()])
+        return let(normalize_token(x), lambda t: F.greatest(
+            *[F.when(contains_any(t, ws), F.lit(n)).otherwise(F.lit(0)) for n, ws in DEGREE_PATTERNS.values()]))
 
     return F.coalesce(F.array_max(F.transform(degrees, level)), F.lit(0)).cast("long")
 
@@ -127,12 +127,15 @@ def education_labels(degrees: Column) -> Column:
 def inferred_labels(category: Column, skills: Column, dictionary: dict) -> Column:
     """Display labels of dictionary entries with any term inside the joined tokens."""
     toks = F.filter(F.array_union(F.array(normalize_token(category)), F.transform(skills, normalize_token)), lambda t: t != "")
-    joined = F.array_join(F.array_sort(toks), " ")
-    out = []
-    for key, entry in dictionary.items():
-        terms = [spaced(t) for t in [key, *entry["aliases"], *entry["category_terms"]]]
-        out.append(F.when(contains_any(joined, list(dict.fromkeys(terms))), display_label(F.lit(key))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    def labels(joined):
+        out = []
+        for key, entry in dictionary.items():
+            terms = [spaced(t) for t in [key, *entry["aliases"], *entry["category_terms"]]]
+            out.append(F.when(contains_any(joined, list(dict.fromkeys(terms))), F.lit(title_label(key))))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    return let(F.array_join(F.array_sort(toks), " "), labels)
 
 
 def industry_seeds(dictionary: dict) -> dict[str, list[str]]:
@@ -162,10 +165,12 @@ def candidate_tag_table(docs: DataFrame, taxonomy: DataFrame, alias_map: DataFra
     return tags.where("tag <> ''").distinct()
 
 
-def filter_options(filters: dict = FILTERS) -> dict[str, list[str]]:
-    def label(key: str) -> str:
-        return {"e commerce": "E-commerce", "ci cd": "CI/CD"}.get(spaced(key), spaced(key).title())
+def title_label(key: str) -> str:
+    return {"e commerce": "E-commerce", "ci cd": "CI/CD"}.get(spaced(key), spaced(key).title())
+
 
+def filter_options(filters: dict = FILTERS) -> dict[str, list[str]]:
+    label = title_label
     return {
         "job_families": sorted(label(k) for k in filters["job_families"]), "educations": sorted(filters["educations"]),
         "regions": sorted(filters["regions"]), "industries": sorted(label(k) for k in filters["industries"]),

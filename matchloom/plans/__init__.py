@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["cleaning", "resumes", "skills", "retrieval", "scoring"]
+MODULES = ["cleaning", "resumes", "skills", "retrieval", "scoring", "fairness", "evaluation", "jobs"]
 
 for _m in MODULES:
     importlib.import_module(f"matchloom.plans.{_m}")

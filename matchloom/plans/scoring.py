@@ -308,10 +308,9 @@ def _neg():
 CT["k_weights"] = _neg()
 
 
-@query("k13_weighting_summary", "SELECT job_id, format('Recruiter focus (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f}) | Hiring manager focus (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f}) | Final negotiated (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f})', r0, r1, r2, r3, h0, h1, h2, h3, round(f0, 2), round(f1, 2), round(f2, 2), round(f3, 2)) AS summary FROM k_weights", CT)
+@query("k13_weighting_summary", "SELECT job_id, format('Recruiter focus (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f}) | Hiring manager focus (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f}) | Final negotiated (S:{:.2f}, E:{:.2f}, T:{:.2f}, C:{:.2f})', r0, r1, r2, r3, h0, h1, h2, h3, f0, f1, f2, f3) AS summary FROM k_weights", CT)
 def _(i):
     w = sc.negotiate_weights(F.col("min_years"), F.size("required_skills"))
-    w["final"] = {k: sc.rnd(v, 2) for k, v in w["final"].items()}
     return i.job_doc().select("job_id", sc.weighting_summary(w).alias("summary"))
 
 
