@@ -9,6 +9,7 @@ from matchloom.functions import resume as rs
 from matchloom.functions import text as tx
 from matchloom.operators import ontology as on
 from matchloom.operators.experience import parse_resumes
+from matchloom.session import materialize
 
 VERSIONS = {"normalization_version": "norm-1", "taxonomy_version": "taxonomy-1", "embedding_text_version": "embedding-text-1", "experience_years_method": "month-union-1"}
 KEY = ["source_dataset", "candidate_id"]
@@ -84,6 +85,7 @@ def build_candidates(resumes: DataFrame, ont: on.Ontology, as_of_idx: int) -> Da
     p = p.withColumn("experience", rs.typed_experience(c("experience"))).withColumn("education", rs.typed_education(c("education")))
     p = p.withColumn("_skills", F.when(F.size("skills") > 0, c("skills")).otherwise(rs.fallback_skills(c("text"))))
     p = p.withColumn("abilities", rs.abilities(c("summary"), F.array_compact(F.transform("experience", lambda e: e["description"])), c("text")))
+    p = materialize(p, "parsed")  # three branches below read it; parse each text once
     vocab = ont.alias_map.select("alias", "canonical")
     bare = p.where(F.size("_skills") == 0).select("candidate_id", "text")
     hints = on.alias_hints(bare, "candidate_id", vocab)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import jobtext as jt
 from matchloom.operators import ontology as on
 from matchloom.operators.ranking import top_k
+from matchloom.session import materialize
 
 
 def _arrays(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -21,7 +22,7 @@ def ontology_profile(jobs: DataFrame, ont: on.Ontology, roles: list[str] = (), c
     hits = on.ngram_hits(jobs.select("job_id", "text"), "job_id", vocab).where(~F.col("canonical").isin(jt.STOPWORDS))
     empty = F.array().cast("array<string>")
     d = jt.prepare(jobs).join(_arrays(hits, "canonical", "ontology_terms"), "job_id", "left").withColumn("ontology_terms", F.coalesce("ontology_terms", empty))
-    d = jt.required_candidates(d)
+    d = materialize(jt.required_candidates(d), "profile-terms")
     norm = on.normalize(d.select("job_id", F.concat("ontology_terms", "_req0").alias("s")), "job_id", F.col("s"), ont, order).select(
         "job_id", "core_skills", "expanded_skills", "canonical_skills")
     d = d.join(norm, "job_id")
@@ -35,7 +36,7 @@ def ontology_profile(jobs: DataFrame, ont: on.Ontology, roles: list[str] = (), c
     for c in ("core_terms", "alias_terms"):
         d = d.withColumn(c, F.coalesce(c, empty))
     d = d.withColumn("known_canonical", F.filter("canonical_skills", lambda t: F.array_contains(F.col("core_terms"), t) | F.array_contains(F.col("alias_terms"), t)))
-    d = jt.choose_terms(d)
+    d = materialize(jt.choose_terms(d), "profile-choice")
     seeds = on.canonicalize(on.explode_tokens(d, "job_id", F.col("required_skills")), ont.alias_map, "job_id").withColumnRenamed("canonical", "skill")
     seeds = seeds.join(ont.taxonomy.select("skill"), "skill", "left_semi").select("job_id", "pos", "skill")
     near = on.adjacent_skills(seeds, ont.taxonomy, "job_id", 10, jt.MAX_REQUIRED, order).withColumnRenamed("n", "pos")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["cleaning", "resumes", "skills", "retrieval", "scoring", "fairness", "evaluation", "jobs", "ingest"]
+MODULES = ["cleaning", "resumes", "skills", "retrieval", "scoring", "fairness", "evaluation", "jobs", "ingest", "streams"]
 
 for _m in MODULES:
     importlib.import_module(f"matchloom.plans.{_m}")
