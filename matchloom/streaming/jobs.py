@@ -35,7 +35,7 @@ def ingest(stream: DataFrame, store: KeyedStore, counters_path: str, first_batch
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         n = first_batch + batch_id
-        state = store.read_or_empty(batch.schema).select(*ig.KEY, "normalization_hash", "embedding_hash")
+        state = store.read_or_empty(batch.schema, batch).select(*ig.KEY, "normalization_hash", "embedding_hash")
         plan = ig.plan_changes(batch, state)
         ig.counters(plan).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{counters_path}/b{n}")
         store.upsert(plan.where("needs_upsert or needs_embedding").select(*batch.columns), n)
