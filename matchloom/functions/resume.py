@@ -104,13 +104,12 @@ def lines(text: Column) -> Column:
 
 def header_of(line: Column) -> Column:
     """Section name a header line announces, else null."""
-    t = F.lower(F.trim(F.regexp_replace(line, "[^a-zA-Z ]+", "")))
-    out = F.when(t == "", _null())
-    taken: set[str] = set()
-    for name, words in SECTIONS.items():
-        out = out.when(t.isin([w for w in words if w not in taken]), name)
-        taken.update(words)
-    return F.when(F.length(line) <= HEADER_MAX, out)
+    names: dict[str, str] = {}
+    for section, words in SECTIONS.items():
+        for w in words:
+            names.setdefault(w, section)
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.when(F.length(line) <= HEADER_MAX, F.try_element_at(table, F.lower(F.trim(F.regexp_replace(line, "[^a-zA-Z ]+", "")))))
 
 
 def tagged_lines(text: Column) -> Column:
@@ -157,12 +156,12 @@ def person_name(root_lines: Column) -> Column:
 
 
 def valid_skill(token: Column) -> Column:
-    t = F.regexp_replace(token, f"^{WS}+|{WS}+$", "")
-    low = F.lower(t)
-    return (
-        F.length(t).between(2, 50) & ~low.rlike(SKILL_PREFIX_NOISE) & ~low.rlike(SKILL_INNER_NOISE)
-        & (F.length(F.regexp_replace(t, r"\P{L}", "")) >= 2)
-    )
+    def ok(t):
+        return (
+            F.length(t).between(2, 50) & ~t.rlike("(?i)" + SKILL_PREFIX_NOISE) & ~t.rlike("(?i)" + SKILL_INNER_NOISE)
+            & (F.length(F.regexp_replace(t, r"\P{L}", "")) >= 2))
+
+    return let(F.regexp_replace(token, f"^{WS}+|{WS}+$", ""), ok)
 
 
 def skills(tagged: Column, text: Column) -> Column:

@@ -26,6 +26,12 @@ class Inputs:
         df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
         return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
+    def even(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Rows about to be scored at length: on a data set so small that one task
+        would get them all (fewer lineitem splits than cores), hash them over the cores."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, *keys) if self.base("lineitem").rdd.getNumPartitions() < cores else df
+
     # -- candidates -------------------------------------------------------
     def application(self) -> DataFrame:
         """One row per order: its first line says which part and supplier."""
@@ -36,7 +42,7 @@ class Inputs:
         )
         part = self.base("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("skill"))
         return (
-            self.spread("orders", "o_orderkey").join(first, "o_orderkey").join(part, "l_partkey")
+            self.base("orders").join(first, "o_orderkey").join(part, "l_partkey")
             .select(
                 "o_orderkey", "o_custkey", "l_suppkey", "skill", "o_orderpriority", "o_orderdate",
                 "o_orderstatus", "o_totalprice",
@@ -162,7 +168,7 @@ class Inputs:
         parts = self.job_skill().groupBy("job_id").agg(
             F.array_sort(F.collect_list(F.struct("ord", F.concat(cue, F.col("skill"), F.when(F.col("ord") % 2 == 0, " know-how").otherwise("")).alias("t")))).alias("s"))
         k = F.col("s_suppkey")
-        return self.job().join(parts, "job_id").select(
+        return self.even(self.job().join(parts, "job_id"), "job_id").select(
             "job_id",
             F.concat(
                 F.lit("Looking for a "),
@@ -182,7 +188,7 @@ class Inputs:
 
     def pair_doc(self) -> DataFrame:
         jobs = self.job_doc().withColumnRenamed("category", "job_category")
-        return self.pair().join(jobs, "job_id").join(self.candidate_doc(), "candidate_id")
+        return self.even(self.pair().join(jobs, "job_id").join(self.candidate_doc(), "candidate_id"), "job_id", "candidate_id")
 
     # -- vectors ----------------------------------------------------------
     def candidate_vector(self) -> DataFrame:
@@ -254,7 +260,7 @@ class Inputs:
             F.concat(F.element_at(F.array(*[F.lit(d) for d in DEGREES]), (k % 5 + 1).cast("int")), F.lit(" "), s(y - 8),
                      F.lit(" at Delta University of Trade.")),
         ]
-        return self.application().select(
+        return self.even(self.application(), "o_orderkey").select(
             k.alias("resume_id"), "candidate_id", F.concat_ws("\n", *lines).alias("text"),
             F.upper(F.split_part("o_orderpriority", F.lit("-"), F.lit(2))).alias("priority"), "skill")
 
