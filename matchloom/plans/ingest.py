@@ -135,7 +135,7 @@ _VERS = "norm-1' || chr(1) || 'taxonomy-1"
 CT = {
     "s_hash": f"SELECT candidate_id, source_dataset, summary, {_JSON} AS payload, CASE WHEN length(candidate_id) % 3 = 0 THEN 'stored-' || candidate_id ELSE sha256({_JSON}) END AS normalization_hash FROM candidate_doc",
     "s_batch": "SELECT *, sha256(candidate_id || chr(1) || source_dataset || chr(1) || summary || chr(1) || 'embedding-text-1' || chr(1) || 'norm-1' || chr(1) || 'taxonomy-1' || chr(1) || normalization_hash) AS embedding_hash FROM s_hash",
-    "s_state": "SELECT candidate_id, source_dataset, CASE WHEN length(candidate_id) % 2 = 0 THEN normalization_hash ELSE 'changed' END AS pn, CASE WHEN source_dataset = 'set_a' THEN embedding_hash END AS pe FROM s_batch WHERE candidate_id NOT LIKE '%7'",
+    "s_state": "SELECT candidate_id, source_dataset, CASE WHEN length(candidate_id) % 2 = 0 THEN normalization_hash ELSE 'changed' END AS pn, CASE WHEN source_dataset = 'set_a' THEN embedding_hash END AS pe FROM s_batch WHERE summary NOT LIKE '%anvil%'",
     "s_plan": "SELECT b.*, pn IS DISTINCT FROM normalization_hash AS needs_upsert, pe IS DISTINCT FROM embedding_hash AS needs_embedding, CASE WHEN pe = embedding_hash THEN embedding_hash END AS stored_embedding_hash FROM s_batch b LEFT JOIN s_state s USING (candidate_id, source_dataset)",
 }
 
@@ -152,7 +152,7 @@ def hashed(i):
 
 
 def state(i, batch):
-    return batch.where(~F.col("candidate_id").endswith("7")).select(
+    return batch.where(~F.col("summary").contains("anvil")).select(
         *ig.KEY, F.when(F.length("candidate_id") % 2 == 0, F.col("normalization_hash")).otherwise("changed").alias("normalization_hash"),
         F.when(F.col("source_dataset") == "set_a", F.col("embedding_hash")).alias("embedding_hash"))
 
