@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact_dedup, mixing, sharding
+from matchloom.llm import exact_dedup, mixing, ngram_join, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op3(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op7_ngram_jaccard_join")
+def op7(spark, sf_dir):
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query("op8_sharding")
 def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8).select(
