@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ _FACTOR = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, (len(MASKS)
 _BITS = 22
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(pc.utf8_lower(texts), letters_only=True)
+
+
 def _seeds(words: np.ndarray, mask: int) -> np.ndarray:
     """Hash of the picked words for every position at which the whole mask fits."""
     n = max(0, len(words) - MASKS[mask][-1])
@@ -51,7 +56,7 @@ class Index:
 
     @classmethod
     def build(cls, ids, texts) -> Index:
-        words, begin = word_hashes(pa.array(texts, pa.string()), letters_only=True)
+        words, begin = _words(pa.array(texts, pa.string()))
         item = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         keys, place = [], []
         for m, mask in enumerate(MASKS):
@@ -69,7 +74,7 @@ class Index:
     def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first word of the window in the text, agreeing words) for every text and item that share a
         window; of several windows the one with most agreeing words, then the first."""
-        words, begin = word_hashes(texts, letters_only=True)
+        words, begin = _words(texts)
         at, found = [], []
         for m in range(len(MASKS)):
             seeds = _seeds(words, m)
@@ -128,7 +133,7 @@ def _indexes(benchmark: DataFrame, block_words: int) -> Iterator:
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, block_words: int = 1 << 18) -> DataFrame:
     """(doc_id, item_id, first_word, agreeing): documents and the benchmark items that they hold passages of.
 
-    Words: A-Z lowered; ASCII characters other than letters and digits separate. A document holds a passage of an item if
+    Words: lower case; ASCII characters other than letters and digits separate. A document holds a passage of an item if
     13 words in a row agree in 10 places at least with 13 in a row of the item, place by place; an item of 8 to 12 words
     must occur whole; shorter items tell nothing. One row per document and item: of its windows the one that agrees in
     most places, then the first; ``first_word`` counts the document's words from 0.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact_dedup, mixing, ngram_join, sharding
+from matchloom.llm import decontamination, exact_dedup, language, mixing, ngram_join, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +27,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_pii")
+def op2(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op3_exact_dedup", exact_dedup.ORACLE)
 def op3(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_language")
+def op6(spark, sf_dir):
+    return language.fit_and_identify(table(spark, sf_dir, "documents"))
+
+
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
