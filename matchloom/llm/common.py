@@ -27,3 +27,11 @@ def before(totals: DataFrame, order: list[str], value: str, name: str, by: list[
     """Sum of ``value`` over the rows in front of each row; meant for small tables of block totals."""
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+SENT_ROWS = 1 << 19  # narrow rows that may be sent to every executor
+
+
+def sent_if_small(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A written table of a few numbers per row, marked for broadcast if it has at most ``rows`` rows; else left to Spark."""
+    return F.broadcast(table) if table.count() <= rows else table

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import text_of
+from matchloom.session import materialize
 
 
 def content_hash(text: Column) -> Column:
@@ -35,12 +36,11 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", hash_of: Callable[[Colu
     best = {"smallest": F.min, "largest": F.max}[keep]
     texts = docs.select("doc_id", text_of().alias("t")).select("doc_id", "t", hash_of(F.col("t")).alias("h"))
     same_bytes = texts.groupBy("h", "t").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    group = (
+    group = materialize(  # written, so that the join below has its own exchange and Spark can split a hot group there
         same_bytes.select("h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "keep_id", "group_size")
         .groupBy("h", "sha").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(
-            F.raise_error(F.lit("two different texts share both digests")).cast("long")))
-    )
+            F.raise_error(F.lit("two different texts share both digests")).cast("long"))), "dedup-groups")
     row = texts.select("doc_id", "h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
     return row.join(group, ["h", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -98,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, ranges: int | None = None)
     body = text_of().cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
                        F.unhex(F.md5(body)).alias("h"))
-    first = rows.groupBy("h", "size").agg(F.min("doc_id").alias("lead"))
+    first = materialize(rows.groupBy("h", "size").agg(F.min("doc_id").alias("lead")), "shard-groups")  # own exchange below: hot groups can be split
     order = [F.asc_nulls_last("lead"), F.asc("h"), F.asc("size"), F.asc_nulls_last("doc_id")]
     by_range = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ordered = materialize(
