@@ -13,24 +13,30 @@ from matchloom.functions.scoring import clip01
 from matchloom.functions.text import blank_to_null, clean_token, dedupe, let, squash
 
 # Fixed values -----------------------------------------------------------
-STOPWORDS = (
-    "and or the with for from into years year experience required preferred plus need needs someone somebody their them who that "
-    "this these those can could should must work works working used using tool tools career early entry level interpret interpreting "
-    "dataset datasets we are is am was were be been being it its mainly mostly only just on at to of in by as would helpful "
-    "familiarity multiple connect building has have had looking nice"
-).split()
-GENERIC = (
-    "opportunities requirements requirement responsibilities responsibility role roles main focus focused field domain related internal "
-    "external across define target targets evolution platform platforms talent intelligence team teams engineering support supports "
-    "supporting process processes hiring hire client clients guide guides guiding program programs solution solutions mentor mentoring "
-    "decision decisions balancing reliability scalability cost costs standards governance strong excellent communication regulated "
-    "enterprise equivalent deep expertise include includes code task tasks write under learn proven drive review layers matching analyst "
-    "consultant consulting business operational improvement stakeholder management programming software engineer foundational "
-    "understanding basics change changes culture mission operate operating measure measuring beyond become mere literacy understandable "
-    "qualifications user-centric usability interfaces responsive frameworks performance integration ai-driven visualization"
-).split()
+STOPWORDS = [
+    "and", "or", "the", "with", "for", "from", "into", "years", "year", "experience", "required", "preferred", "plus", "need", "needs", "someone",
+    "somebody", "their", "them", "who", "that", "this", "these", "those", "can", "could", "should", "must", "work", "works", "working", "used",
+    "using", "tool", "tools", "career", "early", "entry", "level", "interpret", "interpreting", "dataset", "datasets", "we", "are", "is", "am",
+    "was", "were", "be", "been", "being", "it", "its", "mainly", "mostly", "only", "just", "on", "at", "to", "of", "in", "by", "as", "would",
+    "helpful", "familiarity", "multiple", "connect", "building", "has", "have", "had", "looking", "nice",
+]
+GENERIC = [
+    "opportunities", "requirements", "requirement", "responsibilities", "responsibility", "role", "roles", "main", "focus", "focused", "field",
+    "domain", "related", "internal", "external", "across", "define", "target", "targets", "evolution", "platform", "platforms", "talent",
+    "intelligence", "team", "teams", "engineering", "support", "supports", "supporting", "process", "processes", "hiring", "hire", "client",
+    "clients", "guide", "guides", "guiding", "program", "programs", "solution", "solutions", "mentor", "mentoring", "decision", "decisions",
+    "balancing", "reliability", "scalability", "cost", "costs", "standards", "governance", "strong", "excellent", "communication", "regulated",
+    "enterprise", "equivalent", "deep", "expertise", "include", "includes", "code", "task", "tasks", "write", "under", "learn", "proven", "drive",
+    "review", "layers", "matching", "analyst", "consultant", "consulting", "business", "operational", "improvement", "stakeholder", "management",
+    "programming", "software", "engineer", "foundational", "understanding", "basics", "change", "changes", "culture", "mission", "operate",
+    "operating", "measure", "measuring", "beyond", "become", "mere", "literacy", "understandable", "qualifications", "user-centric", "usability",
+    "interfaces", "responsive", "frameworks", "performance", "integration", "ai-driven", "visualization",
+]
 SENIORITY = ["intern", "junior", "mid", "senior", "lead", "staff", "principal"]
-SINGLE_WORDS = "api sql aws gcp azure java python scala spark docker kafka redis linux react node git go rust ruby php swift kotlin c c++ c# r".split()
+SINGLE_WORDS = [
+    "api", "sql", "aws", "gcp", "azure", "java", "python", "scala", "spark", "docker", "kafka", "redis", "linux", "react", "node", "git", "go",
+    "rust", "ruby", "php", "swift", "kotlin", "c", "c++", "c#", "r",
+]
 MAX_WORDS, MAX_REQUIRED, MAX_RELATED = 4, 18, 12
 EMBED_CAPS, WIDE_CAPS = (12, 8), (16, 12)
 WIDE_ROLES = ["junior software engineer", "senior architect"]
@@ -46,15 +52,12 @@ CUES = [
 ]
 PRIORITY = {"must have": 4, "main focus": 3, "nice to have": 2, "familiarity": 1, "unknown": 0}
 STRENGTH_VALUE = {"must have": 1.0, "main focus": 0.85, "nice to have": 0.65, "familiarity": 0.45, "unknown": 0.35}
-_WEB = ["java", "spring boot", "react", "rest api"]
-_QA = ["test automation", "selenium", "pytest", "api testing", "ci/cd"]
-_JUNIOR = ["python", "java", "git", "data structures", "unit testing"]
 SKILL_HINTS = {
     "analyze business data": ["data analysis", "business analysis"], "interpreting datasets": ["data analysis"], "generate reports": ["reporting"],
     "build dashboards": ["reporting", "data visualization"], "business data": ["data analysis"], "backend of web applications": ["backend", "web", "api"],
     "connect multiple systems": ["api", "integration", "microservices"], "deployment environments": ["deployment", "devops", "cloud"],
-    "modern deployment environments": ["deployment", "devops", "cloud"], "fullstack engineer": [*_WEB, "postgresql"],
-    "full stack engineer": [*_WEB, "postgresql"], "fullstack features": _WEB, "test automation": _QA, "qa automation": _QA,
+    "modern deployment environments": ["deployment", "devops", "cloud"], "fullstack engineer": ["java", "spring boot", "react", "rest api", "postgresql"],
+    "full stack engineer": ["java", "spring boot", "react", "rest api", "postgresql"], "fullstack features": ["java", "spring boot", "react", "rest api"], "test automation": ["test automation", "selenium", "pytest", "api testing", "ci/cd"], "qa automation": ["test automation", "selenium", "pytest", "api testing", "ci/cd"],
     "automated quality gates": ["test automation", "api testing"],
     "machine learning engineer": ["machine learning", "python", "pytorch", "feature engineering", "model deployment"],
     "production ml pipelines": ["machine learning", "python", "pytorch", "model deployment"], "nlp-powered": ["machine learning", "python"],
@@ -66,7 +69,7 @@ SKILL_HINTS = {
     "cross-domain architecture strategy": ["system architecture", "distributed systems", "technical leadership"],
     "architecture standards and governance": ["system architecture", "technical leadership", "solution governance"],
     "architecture review practices": ["system architecture", "technical leadership", "security by design"],
-    "junior software engineer": _JUNIOR, "entry-level software engineering": _JUNIOR, "graduate software engineer": _JUNIOR,
+    "junior software engineer": ["python", "java", "git", "data structures", "unit testing"], "entry-level software engineering": ["python", "java", "git", "data structures", "unit testing"], "graduate software engineer": ["python", "java", "git", "data structures", "unit testing"],
     "associate engineer": ["python", "java", "git", "unit testing"], "version control": ["git"], "cs fundamentals": ["data structures"],
     "unit testing basics": ["unit testing"],
 }
@@ -78,13 +81,22 @@ CAPABILITY_HINTS = {
     "junior software engineer": "software engineering fundamentals", "entry-level software engineering": "software engineering fundamentals",
     "senior architect": "architecture leadership", "architecture governance": "architecture leadership", "architecture review practices": "architecture leadership",
 }
+ROLE_RULES = [  # a role is meant if every group has a word in the text
+    ("backend engineer", [["backend"]]), ("backend web application developer", [["backend"], ["web application"]]),
+    ("integration/service engineer", [["integration", "connect multiple systems", "services that connect"]]),
+    ("junior software engineer", [["junior software engineer", "graduate software engineer", "entry-level software engineering", "associate engineer"]]),
+    ("senior architect", [["senior architect", "architecture leadership"]]),
+]
 CATEGORY_WORDS = [
     ("human resources", ["hr", "human resources", "recruit", "talent acquisition", "people operations"]),
     ("data science", ["data scientist", "machine learning", "analytics", "data science"]),
     ("information technology", ["backend engineer", "software engineer", "developer", "devops", "platform engineer"]),
     ("database", ["database administrator", "sql developer", "database"]),
 ]
-QUERY_STOPWORDS = "and or the with for from into years year experience required preferred plus role looking senior junior".split()
+QUERY_STOPWORDS = [
+    "and", "or", "the", "with", "for", "from", "into", "years", "year", "experience", "required", "preferred", "plus", "role", "looking", "senior",
+    "junior",
+]
 DATE_LIKE = r"\b(?:\d{1,2}/\d{2,4}|19\d{2}|20\d{2})\b"
 FALLBACK = {"confidence": 0.62, "unknown_ratio": 0.55}
 # ------------------------------------------------------------------------
@@ -240,11 +252,11 @@ def roles(text: Column, phrase: Column, ontology_roles: list[str] = ()) -> Colum
     def build(t):
         extra = sorted(ontology_roles, key=len, reverse=True)
         found = [phrase, *[F.when(t.contains(r), r) for r in extra]]
-        found.append(F.when(t.contains("backend"), "backend engineer"))
-        found.append(F.when(t.contains("backend") & t.contains("web application"), "backend web application developer"))
-        found.append(F.when(_any(t, ["integration", "connect multiple systems", "services that connect"]), "integration/service engineer"))
-        found.append(F.when(_any(t, ["junior software engineer", "graduate software engineer", "entry-level software engineering", "associate engineer"]), "junior software engineer"))
-        found.append(F.when(_any(t, ["senior architect", "architecture leadership"]), "senior architect"))
+        for role, groups in ROLE_RULES:
+            hit = F.lit(True)
+            for words in groups:
+                hit = hit & _any(t, words)
+            found.append(F.when(hit, role))
         return F.array_distinct(F.array_compact(F.array(*found)))
 
     return let(F.lower(text), build)

@@ -32,18 +32,20 @@ DATE_RANGE = rf"(?i)({DATE})\s*(?:to|-|–|—|－)\s*(Present|Current|Now|{DATE
 DEGREE_WORDS = r"bachelor|master|phd|doctor|mba|b\.sc|bsc|m\.sc|msc|diploma|degree"
 DEGREE_CHUNK = r"(?i)((?:Bachelor|Master|PhD|Doctor|MBA|B\.Sc|M\.Sc|Diploma|Degree)[^.;]{0,180})"
 SCHOOL_CHUNK = r"((?:[A-Z][A-Za-z&.\-'\s]{1,50}\s)?(?:University|College|Institute|School|Academy)[^.;]{0,140})"
-NOT_A_NAME = (
-    r"resume|curriculum|profile|@|training|summary|objective|skills|experience|education|professional|career"
-    r"|highlights|overview|served|developed|managed|focused|driven|dedicated|specialist|manager|director|coordinator"
-)
+NOT_A_NAME_WORDS = [
+    "resume", "curriculum", "profile", "@", "training", "summary", "objective", "skills", "experience", "education", "professional", "career",
+    "highlights", "overview", "served", "developed", "managed", "focused", "driven", "dedicated", "specialist", "manager", "director", "coordinator",
+]
 NAME_SYMBOLS = r"[\d@:()/\\<>|]"
 SKILL_SPLIT = r"[,;\n|•·]+"
 SKILL_HEADING = r"(?is)\b(?:skills?|technical skills?|core qualifications?|qualifications?|highlights?)\b[:\s\-]*(.*)"
 SKILL_PREFIX_NOISE = r"^(and|or|with|the|a|an|to|in|of|for|type|provide) "
-SKILL_INNER_NOISE = (
-    r"bilingual|languages:|language:|proficient in|including|such as|etc\.|experience in|knowledge of| and | or "
-    r"|background in|10-key|wpm|consisting of|evolved|\.com|as well as|understanding of|ability to|familiarity with"
-)
+SKILL_NOISE_PHRASES = [
+    "bilingual", "languages:", "language:", "proficient in", "including", "such as", "etc.", "experience in", "knowledge of", " and ", " or ",
+    "background in", "10-key", "wpm", "consisting of", "evolved", ".com", "as well as", "understanding of", "ability to", "familiarity with",
+]
+DATE_THEN_TITLE = rf"(?i)({DATE})\s+([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)(?=\s+(?:Company Name|City|State|Education|Skills|Highlights|$))"
+TITLE_THEN_DATE = rf"(?i)([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)\s*,?\s*({DATE})(?!\s*(?:to|-|–|—|－))"
 TITLE_PREFIX = r"(?i)^(experience|employment|work experience|professional experience|work history)\s*"
 ABILITIES = [
     ("team leadership", r"\b(team lead|led (?:a |the )?team|managed (?:a |the )?team|supervis(?:e|ed|ion)|people management)\b"),
@@ -87,6 +89,8 @@ CATEGORY_SKILL = {
     "AUTOMOBILE": "automotive",
 }
 # ------------------------------------------------------------------------
+NOT_A_NAME = "|".join(NOT_A_NAME_WORDS)
+SKILL_INNER_NOISE = "|".join(w.replace(".", r"\.") for w in SKILL_NOISE_PHRASES)
 
 
 def _null():
@@ -253,9 +257,6 @@ def experience_scan(text: Column) -> Column:
 
     Splitting on the range itself gives the running offsets the contexts are cut at.
     """
-    single = rf"(?i)({DATE})\s+([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)(?=\s+(?:Company Name|City|State|Education|Skills|Highlights|$))"
-    before = rf"(?i)([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)\s*,?\s*({DATE})(?!\s*(?:to|-|–|—|－))"
-
     def ranged(flat):
         return let(F.regexp_extract_all(flat, F.lit(f"({DATE_RANGE})"), F.lit(1)), lambda whole: cut(flat, whole))
 
@@ -292,7 +293,7 @@ def experience_scan(text: Column) -> Column:
         return F.filter(keep, lambda r: ~F.lower(r["title"]).rlike("(education|skills|summary|highlights)$")) if banned else keep
 
     def scan(flat):
-        alone = F.concat(singles(flat, single, rf"(?i)^({DATE})\s+(.*)$", 2, 1, False), singles(flat, before, rf"(?i)^([A-Za-z].{{2,80}}?)\s*,?\s*({DATE})$", 1, 2, True))
+        alone = F.concat(singles(flat, DATE_THEN_TITLE, rf"(?i)^({DATE})\s+(.*)$", 2, 1, False), singles(flat, TITLE_THEN_DATE, rf"(?i)^([A-Za-z].{{2,80}}?)\s*,?\s*({DATE})$", 1, 2, True))
         return F.when(flat.rlike(DATE_RANGE), ranged(flat)).otherwise(alone)
 
     records = let(F.regexp_replace(text, WS + "+", " "), scan)

@@ -108,15 +108,15 @@ def metadata_score(category: Column, industry: Column, min_years: Column, senior
 
 
 def keyword_predicate(terms: Column, category: Column, industry: Column, min_years: Column,
-                      c_category: Column, c_years: Column, pool: Column, summary: Column) -> Column:
-    """Which documents a keyword search may return."""
+                      c_category: Column, c_years: Column, pool: Column, summary: Column, heads: int | None = None) -> Column:
+    """Which documents a keyword search may return. ``heads``: how many leading terms are looked for in the summary (None: all)."""
     key = normalize_label(industry, FILTERS["industries"])
     by_industry = F.lit(True)
     for name, entry in FILTERS["industries"].items():
         by_industry = F.when(key == name, contains_any(F.lower(c_category), [t.lower() for t in entry["category_terms"]])).otherwise(by_industry)
     cat_ok = F.when(blank_to_null(category).isNotNull(), F.lower(c_category) == F.lower(F.trim(category))).otherwise(by_industry)
     years_ok = min_years.isNull() | F.coalesce(c_years >= min_years, F.lit(False))
-    in_summary = let(F.lower(F.coalesce(summary, F.lit(""))), lambda s: F.exists(F.slice(terms, 1, 12), lambda t: s.contains(t)))
+    in_summary = let(F.lower(F.coalesce(summary, F.lit(""))), lambda s: F.exists(F.slice(terms, 1, heads) if heads else terms, lambda t: s.contains(t)))
     terms_ok = (F.size(terms) == 0) | F.arrays_overlap(pool, terms) | in_summary
     return F.coalesce(cat_ok, F.lit(False)) & years_ok & terms_ok
 

@@ -98,12 +98,17 @@ def education_level(degrees: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(degrees, level)), F.lit(0)).cast("long")
 
 
-def matches_education(degrees: Column, wanted: Column) -> Column:
+def education_need(wanted: Column) -> Column:
+    """Least level that a job's education filter asks for; 0 if none."""
     w = normalize_token(wanted)
     need = F.lit(0)
     for name, (n, _) in DEGREE_PATTERNS.items():
         need = F.when(w == name, F.lit(n)).otherwise(need)
-    return education_level(degrees) >= need
+    return need
+
+
+def matches_education(degrees: Column, wanted: Column) -> Column:
+    return education_level(degrees) >= education_need(wanted)
 
 
 def locations(*places: Column) -> Column:
@@ -152,9 +157,9 @@ def industry_term_table(spark, taxonomy: DataFrame, dictionary: dict = FILTERS["
     return seeds.unionByName(grown).distinct()
 
 
-def candidate_tag_table(docs: DataFrame, taxonomy: DataFrame, alias_map: DataFrame) -> DataFrame:
+def candidate_tag_table(docs: DataFrame, taxonomy: DataFrame, alias_map: DataFrame, dictionary: dict = FILTERS["industries"]) -> DataFrame:
     """(candidate_id, tag): canonical skills with their domain, family and parent, plus the category."""
-    category = normalize_label(F.col("category"), FILTERS["industries"])
+    category = normalize_label(F.col("category"), dictionary)
     toks = docs.select("candidate_id", F.explode(F.array_distinct(F.concat(
         F.transform(F.concat("skills", "core_skills", "expanded_skills"), normalize_token), F.array(category)))).alias("token")).where("token <> ''")
     canon = toks.join(alias_map.withColumnRenamed("alias", "token"), "token", "left").select(
@@ -177,12 +182,22 @@ def filter_options(filters: dict = FILTERS) -> dict[str, list[str]]:
     }
 
 
-def enrich_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
+def industry_fits(docs: DataFrame, taxonomy: DataFrame, alias_map: DataFrame, dictionary: dict) -> DataFrame:
+    """(candidate_id, industry): industries of the filter file that a candidate's tags touch."""
+    terms = industry_term_table(docs.sparkSession, taxonomy, dictionary)
+    return candidate_tag_table(docs, taxonomy, alias_map).join(terms, "tag").select("candidate_id", "industry").distinct()
+
+
+def enrich_hits(hits: DataFrame, docs: DataFrame, fits: DataFrame | None = None) -> DataFrame:
     """Join hits to documents and drop those failing the job's filters.
 
     ``hits``: job_id, candidate_id, rank, experience_years and the job's
-    min_years, education, region (any may be null). Rank is carried through.
+    min_years, education, region, and with ``fits`` (see ``industry_fits``) its
+    industry key (any may be null). Rank is carried through.
     """
+    if fits is not None:
+        told = fits.withColumn("_fit", F.lit(True))
+        hits = hits.join(told, ["candidate_id", "industry"], "left").where((F.coalesce("industry", F.lit("")) == "") | F.col("_fit")).drop("_fit")
     joined = hits.join(docs.select("candidate_id", "degree", "location"), "candidate_id")
     years_ok = F.col("min_years").isNull() | F.coalesce(F.col("experience_years") >= F.col("min_years"), F.lit(False))
     return joined.where(

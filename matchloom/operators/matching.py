@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import scoring as sc
-from matchloom.operators.ranking import top_k
+from matchloom.operators.ranking import places, top_k
 
 
 def match_scores(pairs: DataFrame) -> DataFrame:
@@ -61,9 +61,33 @@ def scoped_evaluation(scored: DataFrame, evaluated: DataFrame, n: int, score: st
         .alias("reason"))
 
 
-def final_order(results: DataFrame, k: int = 50) -> DataFrame:
-    """Evaluated rows first, then score; the report holds at most ``k`` per job."""
-    return top_k(results, ["job_id"], [F.desc("evaluated"), F.desc("score"), F.asc("candidate_id")], k, "position")
+def final_order(results: DataFrame, k: int | None = None) -> DataFrame:
+    """Every row with its place: evaluated rows first, then score, then id. ``k``: a report's own length, if it has one."""
+    order = [F.desc("evaluated"), F.desc("score"), F.asc("candidate_id")]
+    if k is not None:
+        return top_k(results, ["job_id"], order, k, "position")
+    return places(results, "job_id", order)
+
+
+def shortlist(hits: DataFrame, gate: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
+    """Each job's ``k`` hits to be scored: re-ranked where the gate says so, else in their own order.
+
+    hits: job_id, candidate_id, rank, fusion_score; gate: job_id, apply_rerank; relevance: job_id, candidate_id, relevance.
+    """
+    j = hits.join(gate.select("job_id", "apply_rerank"), "job_id", "left").join(relevance, ["job_id", "candidate_id"], "left")
+    blended = sc.rnd(0.75 * F.coalesce("relevance", "fusion_score") + 0.25 * F.col("fusion_score"), 6)
+    order = F.when(F.coalesce("apply_rerank", F.lit(False)), blended).otherwise(-F.col("rank").cast("double"))
+    return top_k(j.withColumn("_order", order), ["job_id"], [F.desc("_order"), F.asc("rank")], k, "new_rank").drop("_order")
+
+
+def judged(scored: DataFrame, n: int) -> DataFrame:
+    """Adds score and evaluated: of a job's shortlist the best ``n`` by rank_score take their agent-blended score.
+
+    scored: job_id, candidate_id, rank_score, blend_score; one shortlist is a few rows, so its window is too."""
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("rank_score"), "candidate_id"))
+    use = (F.col("_place") <= n) & F.col("blend_score").isNotNull()
+    return scored.withColumn("_place", place).withColumn("evaluated", use).withColumn(
+        "score", F.when(use, F.col("blend_score")).otherwise(F.col("rank_score"))).drop("_place")
 
 
 def rerank_gate(hits: DataFrame, queries: DataFrame, coverage: DataFrame) -> DataFrame:

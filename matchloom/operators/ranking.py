@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.session import materialize
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key.
@@ -17,8 +19,23 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def places(df: DataFrame, key: str, order: list[Column], name: str = "position") -> DataFrame:
+    """Every row's place within its key, from 1.
+
+    Rows are numbered within range partitions of (key, order) and lifted by the key's rows in the partitions before, so
+    one key's rows are spread over as many tasks as they fill. ``order`` must end in a unique column.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, F.col(key), *order).withColumn("_range", F.spark_partition_id())
+    inside = materialize(ranged.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order))), "places")
+    ahead = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = inside.groupBy(key, "_range").agg(F.max("_in").alias("_n"))  # one row per partition that a key lies in
+    blocks = blocks.select(key, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    return _join(inside, blocks, [key, "_range"]).select(*df.columns, (F.col("_in") + F.col("_ahead")).alias(name))
+
+
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Newest row per key as a map-side combined max of a struct (no window, no sort)."""
+    """Newest row per key as a map-side combined max of a struct: rows are sorted within tasks, and a task ships one row per key."""
     rest = [c for c in df.columns if c not in keys and c not in by]
     best = df.groupBy(*keys).agg(F.max(F.struct(*by, *rest)).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*by, *rest]])

@@ -63,31 +63,72 @@ def _round(x: np.ndarray, digits: int) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * f + 0.5) / f
 
 
+# Optional constraints, checked before anything is ranked: a query's ``need_level`` (least education level) and ``place``
+# (normalised region, '' for any) against an item's ``level_no`` and ``places`` (normalised, joined).
+NEEDS, HAS = ("need_level", "place"), ("level_no", "places")
+
+
+def _present(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [n for n in names if n in df.columns]
+
+
+class _Allowed:
+    """Which items of a block meet a query's constraints; each distinct place is looked up once."""
+
+    def __init__(self, right: pd.DataFrame):
+        self.levels = right["level_no"].to_numpy() if "level_no" in right else None
+        self.places = right["places"].fillna("").tolist() if "places" in right else None
+        self.known: dict[str, np.ndarray] = {}
+
+    def __call__(self, job) -> np.ndarray | None:
+        ok = None
+        if self.levels is not None and (need := getattr(job, "need_level", None)):
+            ok = self.levels >= need
+        if self.places is not None and (place := getattr(job, "place", None)):
+            if place not in self.known:
+                words = ("remote", "wfh") if place == "remote" else (place,)
+                self.known[place] = np.array([any(w in p for w in words) for p in self.places])
+            ok = self.known[place] if ok is None else ok & self.known[place]
+        return ok
+
+
+def _frame(found: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """One frame from (job_id, array, array, ...) pieces."""
+    if not found:
+        return pd.DataFrame({c: [] for c in columns})
+    jobs, *parts = zip(*found)
+    data = {columns[0]: np.repeat(np.array(jobs, dtype=object), [len(x) for x in parts[0]])}
+    return pd.DataFrame(data | {c: np.concatenate(x) for c, x in zip(columns[1:], parts)})
+
+
 def vector_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int = ITEM_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Exact inner-product top-k per job with category and years pre-filter.
 
     queries: job_id, category, min_years, embedding; items: candidate_id,
     source_dataset, category, experience_years, embedding. Unknown years count
-    as 0, so they pass a minimum of 0.
+    as 0, so they pass a minimum of 0. Either side may carry the optional constraints.
     """
-    q = queries.select("job_id", "category", "min_years", "embedding")
-    i = items.select("candidate_id", "category", F.coalesce("experience_years", F.lit(0.0)).alias("years"), "embedding")
+    q = queries.select("job_id", "category", "min_years", "embedding", *_present(queries, NEEDS))
+    i = items.select("candidate_id", "category", F.coalesce("experience_years", F.lit(0.0)).alias("years"), "embedding", *_present(items, HAS))
     qb, ib = pair_blocks(q, "job_id", F.col("category"), i, "candidate_id", F.col("category"), item_rows, query_rows)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(left) and len(right):
             x = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-            years, ids = right["years"].to_numpy(), right["candidate_id"].to_numpy(dtype=object).astype(str)
+            years, ids, allowed = right["years"].to_numpy(), right["candidate_id"].to_numpy(dtype=object).astype(str), _Allowed(right)
             for lo in range(0, len(left), 256):
                 part = left.iloc[lo:lo + 256]
                 s = _round(np.stack(part["embedding"].to_numpy()).astype(np.float64) @ x.T, 6)
-                for row, job, need in zip(s, part["job_id"], part["min_years"]):
-                    if need == need and need is not None:
-                        row = np.where(years >= need, row, np.nan)
+                for row, job in zip(s, part.drop(columns="embedding").itertuples(index=False)):
+                    ok = allowed(job)
+                    if job.min_years == job.min_years and job.min_years is not None:
+                        ok = years >= job.min_years if ok is None else ok & (years >= job.min_years)
+                    if ok is not None:
+                        row = np.where(ok, row, np.nan)
                     top = _best(row, ids, k)
-                    out.append(pd.DataFrame({"job_id": job, "candidate_id": ids[top], "score": row[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"job_id": [], "candidate_id": [], "score": []})
+                    found.append((job.job_id, ids[top], row[top]))
+        return _frame(found, ["job_id", "candidate_id", "score"])
 
     local = qb.groupBy("_k", "_ib", "_qb").cogroup(ib.groupBy("_k", "_ib", "_qb")).applyInPandas(
         search, "job_id string, candidate_id string, score double")
@@ -111,23 +152,25 @@ def _metadata(job, cats, years, levels) -> np.ndarray:
     return cat * 0.4 + np.array([hit[c] for c in cats]) * 0.15 + exp * 0.3 + sen * 0.15
 
 
-def keyword_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int = ITEM_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def keyword_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int = ITEM_ROWS, query_rows: int = QUERY_ROWS, heads: int | None = None) -> DataFrame:
     """Keyword search: documents passing the predicate, scored and cut to the job's top-k.
 
     queries: job_id, category, industry, min_years, preferred_seniority, terms;
     items: candidate_id, category, experience_years, seniority_level, pool
     (distinct lower-case skills) and summary. Each block holds its own
     postings; a job adds up its terms' postings, so no pair is materialised.
+    ``heads``: how many leading terms are also looked for in the summary (None: all of them).
     """
     key = normalize_label(F.col("industry"), FILTERS["industries"])
-    q = queries.select("job_id", "category", F.nullif(key, F.lit("")).alias("industry"), "min_years", "preferred_seniority", F.array_distinct("terms").alias("terms"), F.slice("terms", 1, 12).alias("heads"))
-    i = items.select("candidate_id", F.lower("category").alias("category"), "experience_years", F.lower("seniority_level").alias("level"), "pool", F.lower("summary").alias("summary"))
+    q = queries.select("job_id", "category", F.nullif(key, F.lit("")).alias("industry"), "min_years", "preferred_seniority", F.array_distinct("terms").alias("terms"),
+                       (F.slice("terms", 1, heads) if heads else F.col("terms")).alias("heads"), *_present(queries, NEEDS))
+    i = items.select("candidate_id", F.lower("category").alias("category"), "experience_years", F.lower("seniority_level").alias("level"), "pool", F.lower("summary").alias("summary"), *_present(items, HAS))
     qb, ib = pair_blocks(q, "job_id", F.lower("category"), i, "candidate_id", F.col("category"), item_rows, query_rows)
     w = sc.FUSION_WEIGHTS
     total = sum(w.values())
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(left) and len(right):
             n = len(right)
             ids = right["candidate_id"].to_numpy(dtype=object).astype(str)
@@ -135,7 +178,7 @@ def keyword_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int =
             raw_cats = right["category"].fillna("").to_numpy(dtype=object).astype(str)
             cats = np.array([spaced(c) for c in raw_cats])
             levels = right["level"].fillna("").to_numpy(dtype=object).astype(str)
-            texts = right["summary"].fillna("").tolist()
+            texts, allowed = right["summary"].fillna("").tolist(), _Allowed(right)
             wanted = {t for ts in left["terms"] for t in ts}
             posts: dict[str, list[int]] = {}
             for j, pool in enumerate(right["pool"]):
@@ -143,7 +186,10 @@ def keyword_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int =
                     if t in wanted:
                         posts.setdefault(t, []).append(j)
             index = {t: np.array(p) for t, p in posts.items()}
-            inside = {t: np.array([t in s for s in texts]) for t in {t for ts in left["heads"] for t in ts}}
+            inside = {t: np.array([j for j, s in enumerate(texts) if t in s], dtype=int) for t in {t for ts in left["heads"] for t in ts}}
+            by_industry = {
+                name: np.array([any(t.lower() in c for t in FILTERS["industries"][name]["category_terms"]) for c in raw_cats])
+                for name in set(left["industry"].dropna()) if FILTERS["industries"].get(name, {}).get("category_terms")}
             for job in left.itertuples(index=False):
                 count = np.zeros(n)
                 for t in job.terms:
@@ -151,22 +197,21 @@ def keyword_top_k(queries: DataFrame, items: DataFrame, k: int, item_rows: int =
                         count[index[t]] += 1
                 ok = count > 0
                 for t in job.heads:
-                    ok |= inside[t]
+                    ok[inside[t]] = True
                 if not len(job.terms):
                     ok[:] = True
                 if job.min_years is not None and job.min_years == job.min_years:
                     ok &= years >= job.min_years
-                if not job.category and job.industry:
-                    words = [t.lower() for t in FILTERS["industries"].get(job.industry, {}).get("category_terms", [])]
-                    if words:
-                        ok &= np.array([any(t in c for t in words) for c in raw_cats])
+                if not job.category and job.industry in by_industry:
+                    ok &= by_industry[job.industry]
+                if (may := allowed(job)) is not None:
+                    ok &= may
                 kw = _round(count / max(1, len(job.terms)), 4)
                 meta = _round(_metadata(job, cats, years, levels), 4)
                 fused = np.where(ok, _round(np.clip((kw * w["keyword"] + meta * w["metadata"]) / total, 0, 1), 4), np.nan)
                 top = _best(fused, ids, k)
-                out.append(pd.DataFrame({"job_id": job.job_id, "candidate_id": ids[top], "keyword_score": kw[top], "metadata_score": meta[top], "fusion_score": fused[top]}))
-        cols = ["job_id", "candidate_id", "keyword_score", "metadata_score", "fusion_score"]
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in cols})
+                found.append((job.job_id, ids[top], kw[top], meta[top], fused[top]))
+        return _frame(found, ["job_id", "candidate_id", "keyword_score", "metadata_score", "fusion_score"])
 
     local = qb.groupBy("_k", "_ib", "_qb").cogroup(ib.groupBy("_k", "_ib", "_qb")).applyInPandas(
         search, "job_id string, candidate_id string, keyword_score double, metadata_score double, fusion_score double")

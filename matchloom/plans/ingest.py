@@ -46,18 +46,55 @@ def child(i):
     return i.base("orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("skill"), F.col("o_orderstatus").alias("status"))
 
 
+def child_files(i) -> dict[str, str]:
+    """The four child tables of the structured source as CSV file sets in the shared folder."""
+    o, blank = i.base("orders").select(F.col("o_custkey").alias("person_id"), "*"), F.lit(None).cast("string")
+    year = F.year("o_orderdate")
+    rows = {
+        "abilities": o.where("o_orderkey % 2 = 0").select("person_id", F.concat(F.lit("handles "), F.lower("o_orderstatus")).alias("ability")),
+        "skills": o.select("person_id", F.col("o_orderpriority").alias("skill")),
+        "education": o.where("o_orderkey % 5 = 0").select(
+            "person_id", F.concat(F.lit("Delta University "), F.col("o_orderkey") % 3).alias("institution"), F.lit("Trade, with honours").alias("program"),
+            year.cast("string").alias("start_date"), blank.alias("location")),
+        "experience": o.select("person_id", F.concat(F.lit("Clerk of "), "o_orderpriority").alias("title"), F.concat(F.lit("firm-"), F.col("o_orderkey") % 7).alias("firm"),
+                               year.cast("string").alias("start_date"), (year + 1).cast("string").alias("end_date"), blank.alias("location")),
+    }
+    paths = {kind: shared_dir(i.spark, f"{kind}-csv") for kind in rows}
+    for kind, df in rows.items():
+        df.select(*[c.split(" ")[0] for c in cs.CHILDREN[kind].split(", ")]).write.option("header", True).option("escape", '"').csv(paths[kind])
+    return paths
+
+
+def people_file(i) -> str:
+    path = shared_dir(i.spark, "people-csv")
+    people(i).select("person_id", "name", "email", F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("linkedin")).write.option("header", True).csv(path)
+    return path
+
+
 _PEOPLE = "(SELECT c_custkey AS person_id, c_name AS name FROM customer ORDER BY c_custkey LIMIT {})"
 
 
-@query("s02_people_with_children", f"""
-SELECT p.person_id, p.name, coalesce(string_agg(o_orderpriority || '/' || o_orderstatus, '|' ORDER BY o_orderkey), '') AS items FROM {_PEOPLE.format(1000)} p LEFT JOIN orders ON o_custkey = p.person_id GROUP BY 1, 2""")
+@query("s02_people_with_children", """
+SELECT p.c_custkey AS person_id, p.c_name AS name, kind, value FROM customer p LEFT JOIN (
+ SELECT o_custkey, 'abilities' AS kind, 'handles ' || lower(o_orderstatus) AS value FROM orders WHERE o_orderkey % 2 = 0
+ UNION ALL SELECT o_custkey, 'skills', o_orderpriority FROM orders
+ UNION ALL SELECT o_custkey, 'education', 'Delta University ' || o_orderkey % 3 || '/Trade, with honours/' || year(o_orderdate) FROM orders WHERE o_orderkey % 5 = 0
+ UNION ALL SELECT o_custkey, 'experience', 'Clerk of ' || o_orderpriority || '/firm-' || o_orderkey % 7 || '/' || year(o_orderdate) || '/' || year(o_orderdate) + 1 FROM orders) c ON o_custkey = p.c_custkey""")
 def _(i):
-    path = shared_dir(i.spark, "people-csv")
-    people(i).select("person_id", "name", "email", F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("linkedin")).write.option("header", True).csv(path)
-    kept = cs.read_people(i.spark, path, 1000)
-    lists = cs.grouped(child(i), kept, "person_id", "seq", ["skill", "status"])
-    whole = lists.where("page = 0")  # no person has more than a page here; longer lists stay paged
-    return kept.join(whole, "person_id", "left").select("person_id", "name", F.coalesce(F.array_join(F.transform(
+    """Every person with every row of the four child files; people without children have one row."""
+    kept, paths = cs.read_people(i.spark, people_file(i)), child_files(i)
+    values = {"abilities": ["ability"], "skills": ["skill"], "education": ["institution", "program", "start_date"], "experience": ["title", "firm", "start_date", "end_date"]}
+    rows = [cs.grouped(cs.read_child(i.spark, paths[kind], kind), kept, "person_id", "seq", cols)
+            .select("person_id", F.lit(kind).alias("kind"), F.concat_ws("/", *cols).alias("value")) for kind, cols in values.items()]
+    return kept.join(cs.union_sources(*rows), "person_id", "left").select("person_id", "name", "kind", "value")
+
+
+@query("s02b_structured_lists", """
+SELECT c_custkey AS person_id, c_name AS name, coalesce(string_agg(o_orderpriority || '/' || o_orderstatus, '|' ORDER BY o_orderkey), '') AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+def _(i):
+    kept = cs.read_people(i.spark, people_file(i))
+    lists = cs.listed(cs.grouped(child(i), kept, "person_id", "seq", ["skill", "status"]), "person_id", ["skill", "status"])
+    return kept.join(lists, "person_id", "left").select("person_id", "name", F.coalesce(F.array_join(F.transform(
         "items", lambda e: F.concat_ws("/", e["skill"], e["status"])), "|"), F.lit("")).alias("items"))
 
 
@@ -66,20 +103,14 @@ def _(i):
     return cs.people(people(i), 500).select("person_id", "name")
 
 
-_PAGED = """SELECT o_custkey AS person_id, CAST(CASE WHEN n > 12 THEN o_orderkey // 12 ELSE 0 END AS BIGINT) AS page, string_agg({v}, '|' ORDER BY o_orderkey) AS items
-FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) GROUP BY 1, 2"""
-
-
-@query("s04_grouped_values", _PAGED.format(v="o_orderpriority"))
+@query("s04_grouped_values", "SELECT o_custkey AS person_id, o_orderkey AS pos, o_orderpriority AS skill FROM orders")
 def _(i):
-    g = cs.grouped(child(i), people(i), "person_id", "seq", ["skill"], page_rows=12)
-    return g.select("person_id", "page", F.array_join("items", "|").alias("items"))
+    return cs.grouped(child(i), people(i), "person_id", "seq", ["skill"])
 
 
-@query("s05_grouped_records", _PAGED.format(v="o_orderpriority || '/' || o_orderstatus"))
+@query("s05_grouped_records", "SELECT o_custkey AS person_id, o_orderkey AS pos, o_orderpriority AS skill, o_orderstatus AS status FROM orders")
 def _(i):
-    g = cs.grouped(child(i), people(i), "person_id", "seq", ["skill", "status"], page_rows=12)
-    return g.select("person_id", "page", F.array_join(F.transform("items", lambda e: F.concat_ws("/", e["skill"], e["status"])), "|").alias("items"))
+    return cs.grouped(child(i), people(i), "person_id", "seq", ["skill", "status"])
 
 
 @query("s06_union_sources", "SELECT 'people-' || c_custkey AS candidate_id, 'people' AS source_dataset, c_name AS name, NULL AS category FROM customer UNION ALL SELECT 'firm-' || s_suppkey, 'firms', NULL, 'firm' FROM supplier".replace("NULL AS category", "CAST(NULL AS VARCHAR) AS category"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import resume as rs
 from matchloom.functions import scoring as sc
 from matchloom.functions import text as tx
 from matchloom.operators import facets as fa
+from matchloom.operators import fairness as fr
 from matchloom.operators import matching as ma
 from matchloom.operators import ontology as on
 from matchloom.operators.ranking import top_k
 from matchloom.plans import duck as d
 from matchloom.plans import retrieval as rt
 from matchloom.plans.registry import query
+from matchloom.session import materialize
 
 # ---- filters and facets -------------------------------------------------
 _DEG = {n: "(" + " OR ".join(f"contains({d.normalize_token('degree')}, {d.q(w)})" for w in ws) + ")" for n, (_, ws) in fa.DEGREE_PATTERNS.items()}
@@ -36,12 +39,6 @@ def job_filters(i):
         F.when(k % 5 == 0, "Asia").when(k % 5 == 1, "remote").when(k % 5 == 2, "middle-east").when(k % 5 == 4, "America").alias("region"))
 
 
-@query("f01_enrich_hits", f"SELECT job_id, candidate_id, raw_score FROM pair_filter WHERE (min_years IS NULL OR coalesce(experience_years >= min_years, false)) AND {EDU_OK} AND {REG_OK}", CT)
-def _(i):
-    h = i.pair().join(i.job().select("job_id", "min_years"), "job_id").join(job_filters(i), "job_id").join(i.candidate().select("candidate_id", "experience_years"), "candidate_id")
-    return fa.enrich_hits(h, i.candidate().select("candidate_id", "degree", "location")).select("job_id", "candidate_id", "raw_score")
-
-
 @query("f02_education_level", f"SELECT candidate_id, CAST({LEVEL} AS BIGINT) AS level FROM candidate")
 def _(i):
     return i.candidate().select("candidate_id", fa.education_level(F.array("degree")).alias("level"))
@@ -85,6 +82,18 @@ def _(i):
     return p.join(fits, ["candidate_id", "industry"], "left").select("job_id", "candidate_id", ((F.col("industry") == "") | F.col("_fit").isNotNull()).alias("passes"))
 
 
+_FITS = """SELECT DISTINCT candidate_id, industry AS key FROM cand_tag JOIN ind_term USING (tag)"""
+
+
+@query("f01_enrich_hits", f"""SELECT p.job_id, p.candidate_id, p.raw_score FROM pair_filter p LEFT JOIN (VALUES ('technology', 'technology'), ('industrial', 'manufacturing')) i(label, key) ON i.label = p.industry
+ WHERE (min_years IS NULL OR coalesce(experience_years >= min_years, false)) AND {EDU_OK} AND {REG_OK} AND (i.key IS NULL OR (p.candidate_id, i.key) IN ({_FITS}))""", CT)
+def _(i):
+    jobs = i.job().select("job_id", "min_years", fa.normalize_label(F.col("industry"), fa.FILTERS["industries"]).alias("industry"))
+    h = i.pair().join(jobs, "job_id").join(job_filters(i), "job_id").join(i.candidate().select("candidate_id", "experience_years"), "candidate_id")
+    fits = fa.industry_fits(i.candidate_doc(), i.taxonomy(), i.alias_map(), _SEEDS)
+    return fa.enrich_hits(h, i.candidate().select("candidate_id", "degree", "location"), fits).select("job_id", "candidate_id", "raw_score")
+
+
 @query("f07_region_facet", f"SELECT DISTINCT {d.normalize_token('location')} AS region, source_dataset FROM candidate")
 def _(i):
     return i.candidate().select(tx.normalize_token(F.col("location")).alias("region"), "source_dataset").where("region <> ''").distinct()
@@ -175,13 +184,15 @@ SELECT *, greatest(0.0, least(1.0, 0.42 * semantic_similarity + 0.33 * skill_ove
  FROM k_overlap o JOIN k_adj a USING (job_id, candidate_id))"""
 
 
-def with_adjacent(i, pairs):
-    """Adds adjacent_score: related-but-not-required skills against the candidate's, capped at 8."""
+def with_adjacent(i, pairs, found=None, jobs=None):
+    """Adds adjacent_score: related-but-not-required skills against the candidate's, capped at 8.
+
+    ``found``: the candidate documents that occur in ``pairs``, ``jobs`` their jobs, if these are not all."""
     def canonical(df, key):
         return on.canonicalize(df.select(key, F.col("skill").alias("token"), F.lit(0).alias("pos")), i.alias_map(), key).select(key, F.col("canonical").alias("skill"))
     tax = i.taxonomy()
-    rel = canonical(i.job_doc().select("job_id", F.explode(F.array_except("related_skills", "required_skills")).alias("skill")), "job_id")
-    docs = i.candidate_doc().select("candidate_id", F.explode(sc.lower_set(F.col("skills"), F.col("core_skills"), F.col("expanded_skills"))).alias("skill"))
+    rel = canonical((i.job_doc() if jobs is None else jobs).select("job_id", F.explode(F.array_except("related_skills", "required_skills")).alias("skill")), "job_id")
+    docs = (i.candidate_doc() if found is None else found).select("candidate_id", F.explode(sc.lower_set(F.col("skills"), F.col("core_skills"), F.col("expanded_skills"))).alias("skill"))
     prof, facts = on.relation_profile(rel, tax, "job_id", "j_"), on.skill_facts(canonical(docs, "candidate_id"), tax, "candidate_id")
     j = pairs.join(prof, "job_id", "left").join(facts, "candidate_id", "left")
     m = on.adjacent_matches(F.col("facts"), F.col("j_skills"), F.col("j_domains"), F.col("j_families"), F.col("j_parents"), 8)
@@ -335,7 +346,7 @@ def _(i):
     return scoped(i)
 
 
-@query("k16_final_order", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position FROM k_scoped) WHERE position <= 50", CT)
+@query("k16_final_order", "SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position FROM k_scoped", CT)
 def _(i):
     return ma.final_order(scoped(i))
 
@@ -463,25 +474,64 @@ def _(i):
 
 
 # ---- the whole match over all jobs --------------------------------------
-_HITPAIR = d.CTES["pair_doc"].replace("FROM pair p", "FROM (SELECT job_id, candidate_id, score AS raw_score, 1 AS n_applications, rank AS hit_rank FROM hit) p")
+# Filters decide who may be found at all, then: hybrid search -> rerank gate and blend -> shortlist -> scores -> audit.
+_NEED = "CASE lower(education) WHEN 'bachelor' THEN 1 WHEN 'master' THEN 2 WHEN 'phd' THEN 3 ELSE 0 END"
+_HITPAIR = d.CTES["pair_doc"].replace("FROM pair p", "FROM (SELECT job_id, candidate_id, score AS raw_score, 1 AS n_applications, new_rank AS hit_rank FROM short) p")
+WIDE, SHORT, JUDGED = 20, 10, 4
+_GATE = """SELECT job_id, tie AND amb AND NOT strong AND n >= 2 AS apply_rerank FROM (
+ SELECT g.*, b[1] - b[2] <= 0.015 AS tie, 0.5 + (s_suppkey % 5) * 0.1 < 0.65 OR (s_suppkey % 3) * 0.3 > 0.5 AS amb,
+  top_f >= 0.45 AND len(list_intersect(d.required_skills, c.pool)) / len(d.required_skills) >= 0.6 AS strong
+ FROM (SELECT job_id, count(*) AS n, list(fusion_score ORDER BY fusion_score DESC) AS b, arg_min(candidate_id, rank) AS cid, arg_min(fusion_score, rank) AS top_f FROM hit WHERE rank <= 8 GROUP BY 1) g
+ JOIN job j USING (job_id) JOIN job_doc d USING (job_id) JOIN doc_pool c ON c.candidate_id = g.cid)"""
+CT33 = {
+    "eligible": f"SELECT job_id, candidate_id FROM (SELECT job_id, {EDU} AS education, {REG} AS wanted_region FROM job) CROSS JOIN candidate WHERE {EDU_OK} AND {REG_OK}",
+    **CT, "vec_hit": CT["vec_hit"].replace("rank <= 30", f"rank <= {3 * WIDE}").replace(
+        "FROM job_vector j JOIN candidate_vector c\n ON ", "FROM job_vector j JOIN eligible e USING (job_id) JOIN candidate_vector c\n ON c.candidate_id = e.candidate_id AND "),
+    "kw_scored": CT["kw_scored"].replace("FROM job_doc j JOIN doc_pool c ON ", "FROM job_doc j JOIN eligible e USING (job_id) JOIN doc_pool c ON c.candidate_id = e.candidate_id AND "),
+    "kw_hit": CT["kw_hit"].replace("rank <= 30", f"rank <= {3 * WIDE}"), "hit": CT["hit"].replace("rank <= 10", f"rank <= {WIDE}"),
+    "gate": _GATE,
+    "short": f"""SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY h.job_id ORDER BY CASE WHEN coalesce(apply_rerank, false)
+  THEN round(0.75::DOUBLE * coalesce(relevance, fusion_score) + 0.25::DOUBLE * fusion_score, 6) ELSE -rank END DESC, rank) AS new_rank
+  FROM hit h LEFT JOIN gate g USING (job_id) LEFT JOIN k_rel r USING (job_id, candidate_id)) WHERE new_rank <= {SHORT}""",
+    "pair_doc": _HITPAIR, "k_adj": CT["k_adj"].replace("FROM pair p", "FROM (SELECT job_id, candidate_id FROM short) p"),
+}
 
 
-@query("k33_match_all_jobs", f"""
-SELECT job_id, candidate_id, round(score, 4) AS score, evaluated, position FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position FROM (
- SELECT job_id, candidate_id, er <= 4 AS evaluated, round(CASE WHEN er <= 4 THEN greatest(0.0, least(1.0, (deterministic_score * 0.30 + agent_weighted * 0.70) * (1.0 - must_have_penalty))) ELSE rank_score END, 6) AS score FROM (
-  SELECT f.*, agent_weighted, row_number() OVER (PARTITION BY job_id ORDER BY round(rank_score, 6) DESC, candidate_id) AS er FROM k_final f JOIN (SELECT job_id, candidate_id, agent_weighted FROM k_agent) g USING (job_id, candidate_id)
-  JOIN job j USING (job_id) WHERE {EDU_OK.replace('education)', EDU.replace('s_suppkey', 'j.s_suppkey') + ')')} AND (f.min_years IS NULL OR coalesce(f.experience_years >= f.min_years, false)))))""", {
-    **CT, "pair_doc": _HITPAIR, "k_adj": CT["k_adj"].replace("FROM pair p", "FROM (SELECT job_id, candidate_id FROM hit) p")})
-def _(i):
-    h = rt.hits(i).select(*P, F.col("score").alias("raw_score"), "rank")
-    jobs = i.job_doc().withColumnRenamed("category", "job_category")
-    pd = h.join(jobs, "job_id").join(job_filters(i).withColumn("region", F.lit(None).cast("string")), "job_id")
-    kept = fa.enrich_hits(pd.join(i.candidate().select("candidate_id", "experience_years"), "candidate_id"), i.candidate_doc().select("candidate_id", "degree", "location"))
-    full = kept.select(*P, "raw_score", "job_category", "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms").join(
-        i.candidate_doc().drop("degree", "location"), "candidate_id")
-    m = ma.agent_scores(ma.match_scores(with_adjacent(i, full)))
+def constrained(i):
+    """Jobs, job vectors, documents and vectors with the columns that the search filters on."""
+    needs = job_filters(i).select("job_id", fa.education_need(F.col("education")).alias("need_level"), F.coalesce(tx.normalize_region(F.col("region")), F.lit("")).alias("place"))
+    has = i.candidate().select("candidate_id", fa.education_level(F.array("degree")).alias("level_no"), F.array_join(fa.locations(F.array("location")), "|").alias("places"))
+    return i.job_doc().join(needs, "job_id"), i.job_vector().join(needs, "job_id"), i.candidate_doc().join(has, "candidate_id"), i.candidate_vector().join(has, "candidate_id")
+
+
+def match_all(i, jobs):
+    """(job_id, candidate_id, score, evaluated, position, warnings) for jobs given as profiles (columns of ``job_doc``)."""
+    from matchloom.operators.search import hybrid_search, pooled
+    _, vectors, docs, items = constrained(i)
+    hits = materialize(hybrid_search(jobs, vectors, docs, items, WIDE), "match-hits")  # one search, read by three steps
+    k = F.col("s_suppkey")
+    query = i.job().select("job_id", (0.5 + (k % 5) * 0.1).alias("confidence"), ((k % 3) * 0.3).alias("unknown_ratio"))
+    req = sc.lower_set(F.col("required_skills"))
+    cover = hits.where("rank = 1").select(*P).join(jobs.select("job_id", "required_skills"), "job_id").join(pooled(i.candidate_doc()).select("candidate_id", "pool"), "candidate_id")
+    gate = ma.rerank_gate(hits, query, cover.select(*P, sc.share(F.array_intersect(req, F.col("pool")), req).alias("coverage")))
+    short = materialize(ma.shortlist(hits, gate, relevance(i, hits), SHORT).select(*P, F.col("score").alias("raw_score")), "match-short")
+    wanted = jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms")
+    found = i.candidate_doc().join(short.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    full = materialize(short.join(wanted, "job_id").join(found, "candidate_id"), "match-pairs")
+    m = ma.agent_scores(ma.match_scores(with_adjacent(i, full, found, jobs)))
     det = sc.rnd(ma.penalised(F.col("deterministic_score"), F.col("must_have_penalty")), 6)
     blend = sc.rnd(ma.penalised(sc.final_rank(F.col("deterministic_score"), F.col("agent_weighted")), F.col("must_have_penalty")), 6)
-    base = m.select(*P, det.alias("raw_score"), blend.alias("agent_score"))
-    res = ma.scoped_evaluation(base.select(*P, "raw_score"), base.select(*P, "agent_score", F.lit(None).cast("string").alias("error")), 4, "raw_score")
-    return ma.final_order(res).select(*P, sc.r4(F.col("score")).alias("score"), "evaluated", "position")
+    done = ma.judged(m.withColumn("rank_score", det).withColumn("blend_score", blend), JUDGED)
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("evaluated"), F.desc("score"), "candidate_id"))
+    codes = fr.row_codes(F.col("summary"), F.lit(""), F.col("weight_culture"), F.col("agent_culture"), F.col("must_have_rate"), F.col("score"))
+    return done.select(*P, sc.r4(F.col("score")).alias("score"), "evaluated", place.cast("long").alias("position"), F.array_join(codes, "|").alias("warnings"))
+
+
+@query("k33_match_all_jobs", f"""
+SELECT job_id, candidate_id, round(score, 4) AS score, evaluated, row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position,
+ concat_ws('|', CASE WHEN culture > 0.2 THEN 'culture_weight_over_cap' END, CASE WHEN must_have_rate < 0.5 AND agent_culture > 0.7 AND score >= 0.7 THEN 'must_have_underfit_high_culture' END) AS warnings FROM (
+ SELECT *, er <= {JUDGED} AS evaluated, round(CASE WHEN er <= {JUDGED} THEN greatest(0.0, least(1.0, (deterministic_score * 0.30 + agent_weighted * 0.70) * (1.0 - must_have_penalty))) ELSE rank_score END, 6) AS score FROM (
+  SELECT f.*, agent_weighted, agent_culture, w.f3 AS culture, row_number() OVER (PARTITION BY job_id ORDER BY round(rank_score, 6) DESC, candidate_id) AS er FROM k_final f
+  JOIN (SELECT job_id, candidate_id, agent_weighted, agent_culture FROM k_agent) g USING (job_id, candidate_id) JOIN k_weights w USING (job_id)))""", CT33)
+def _(i):
+    return match_all(i, constrained(i)[0])

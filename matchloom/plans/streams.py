@@ -42,24 +42,30 @@ def _(i):
     return out
 
 
-_E = "e AS (SELECT event_id, {k} AS k, ts, row_number() OVER (PARTITION BY {k} ORDER BY ts, event_id) AS rn FROM events)"
-_RATE = f"""WITH RECURSIVE {_E.format(k='user_id')}, r AS (SELECT event_id, k, rn, true AS admitted, [ts] AS hist FROM e WHERE rn = 1
- UNION ALL SELECT e.event_id, e.k, e.rn, len(list_filter(r.hist, lambda x: x >= e.ts - INTERVAL 24 HOUR)) < 2, CASE WHEN len(list_filter(r.hist, lambda x: x >= e.ts - INTERVAL 24 HOUR)) < 2
-  THEN list_append(list_filter(r.hist, lambda x: x >= e.ts - INTERVAL 24 HOUR), e.ts) ELSE list_filter(r.hist, lambda x: x >= e.ts - INTERVAL 24 HOUR) END FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
-SELECT event_id, admitted FROM r"""
-_TTL = f"""WITH RECURSIVE {_E.format(k="user_id || '-' || event_type")}, r AS (SELECT event_id, k, rn, false AS hit, ts AS anchor FROM e WHERE rn = 1
- UNION ALL SELECT e.event_id, e.k, e.rn, e.ts - r.anchor <= INTERVAL 36 HOUR, CASE WHEN e.ts - r.anchor <= INTERVAL 36 HOUR THEN r.anchor ELSE e.ts END FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
-SELECT event_id, hit FROM r"""
+_CLOSED = "time_bucket(INTERVAL '{w}', ts) + INTERVAL '{w}' <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+_RATE = """SELECT w AS window_start, user_id AS key, count(*) AS n, count(*) > 2 AS over_limit FROM (
+ SELECT user_id, unnest([time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * s) FOR s IN range(4)]) AS w FROM events) GROUP BY 1, 2"""
+_TTL = """SELECT time_bucket(INTERVAL '36 hours', ts, TIMESTAMP '1970-01-01') AS window_start, user_id || '-' || event_type AS key, arg_min(event_id, (ts, event_id)) AS computed, count(*) - 1 AS repeats
+ FROM events GROUP BY 1, 2"""
+_LAST_TS = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+def plain_time(df):
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def timed(i):
+    return i.base("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("t02_rate_limit_batch", _RATE)
 def _(i):
-    return sj.rate_limit(i.base("events").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 24 * 3600).select("event_id", "admitted")
+    return plain_time(sj.rate_windows(timed(i), "user_id", "ts", 2, "24 hours", "6 hours"))
 
 
-@query("t02b_rate_limit_stream", _RATE)
+@query("t02b_rate_limit_stream", f"SELECT * FROM ({_RATE}) WHERE window_start + INTERVAL 24 HOUR <= {_LAST_TS}")
 def _(i):
-    return sj.to_table(sj.rate_limit_stream(events(i), "user_id", "ts", 2, 24 * 3600), "rate").select("event_id", "admitted")
+    return plain_time(sj.to_table(sj.rate_windows(events(i), "user_id", "ts", 2, "24 hours", "6 hours"), "rate"))
 
 
 def request_key(e):
@@ -68,12 +74,12 @@ def request_key(e):
 
 @query("t03_ttl_dedupe_batch", _TTL)
 def _(i):
-    return sj.ttl_hits(request_key(i.base("events").select("event_id", "user_id", "event_type", "ts")), "request", "ts", 36 * 3600).select("event_id", "hit")
+    return plain_time(sj.repeated_requests(request_key(timed(i)), "request", "ts", "36 hours"))
 
 
-@query("t03b_ttl_dedupe_stream", _TTL)
+@query("t03b_ttl_dedupe_stream", f"SELECT * FROM ({_TTL}) WHERE window_start + INTERVAL 36 HOUR <= {_LAST_TS}")
 def _(i):
-    return sj.to_table(sj.ttl_dedupe_stream(request_key(events(i)), "request", "ts", 36 * 3600), "ttl").select("event_id", "hit")
+    return plain_time(sj.to_table(sj.repeated_requests(request_key(events(i)), "request", "ts", "36 hours"), "ttl"))
 
 
 @query("t04_latest_feedback", pg._LAST.replace("notes, created_at, ", ""))
@@ -94,9 +100,6 @@ def _(i):
     return sj.to_table(sj.session_feedback(s, f), "sessions").select("opened", "feedback")
 
 
-_CLOSED = "time_bucket(INTERVAL '{w}', ts) + INTERVAL '{w}' <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
-
 @query("t06_latency_windows", f"""
 SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, path, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, round(count(*) FILTER (status_code >= 500) / count(*), 4) AS error_rate
 FROM request_log WHERE {_CLOSED.format(w='1 hour')} GROUP BY 1, 2""")

@@ -46,20 +46,26 @@ def read_child(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return _read(spark, path, CHILDREN[kind])
 
 
-def grouped(child: DataFrame, parents: DataFrame, key: str, order: str, columns: list[str], page_rows: int = 100_000) -> DataFrame:
-    """(key, page, items): the children of the kept parents, listed in order.
+def grouped(child: DataFrame, parents: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """(key, pos, columns): every child of the kept parents, one row each, placed by its own ``order`` value.
 
-    A key with more than ``page_rows`` children is listed in several pages cut
-    by ranges of the unique ``order`` column, so no task ever holds more than
-    one page; the pages in order are the list. Other keys have page 0 only.
+    A parent's list is its rows by ``pos``. No list is built here, so a parent that holds most of the children costs
+    no more than any other; who needs an array builds it with ``listed``.
     """
-    kept = child.join(parents.select(key), key, "left_semi")
-    hot = kept.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > page_rows).select(key, F.lit(True).alias("_hot"))
-    paged = kept.join(hot, key, "left").withColumn("page", F.when(F.col("_hot"), F.floor(F.col(order) / page_rows)).otherwise(F.lit(0)).cast("long"))
-    item = F.struct(F.col(order).alias("_o"), *columns)
-    lists = paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return child.join(parents.select(key), key, "left_semi").select(key, F.col(order).alias("pos"), *columns)
+
+
+def listed(rows: DataFrame, key: str, columns: list[str], most: int = 10_000) -> DataFrame:
+    """(key, items): the rows of ``grouped`` as one array per key, in order.
+
+    ``most`` bounds an array. A key with more rows fails the job by name; its rows are never cut.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    checked = rows.join(n, key).withColumn("pos", F.when(F.col("_n") <= most, F.col("pos")).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {most} rows of one key: "), F.col(key).cast("string"))).cast("long")))
+    lists = checked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_items"))
     keep = (lambda e: e[columns[0]]) if len(columns) == 1 else (lambda e: F.struct(*[e[c].alias(c) for c in columns]))
-    return lists.select(key, "page", F.transform("_items", keep).alias("items"))
+    return lists.select(key, F.transform("_items", keep).alias("items"))
 
 
 def union_sources(*parts: DataFrame) -> DataFrame:

@@ -21,18 +21,21 @@ class KeyedStore:
     def upsert(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def read(self, only: DataFrame | None = None) -> DataFrame:
-        """Newest row per key; ``only`` (key columns) restricts the read before any shuffle of the store."""
+    def read(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """Newest row per key; ``only`` (key columns) restricts the read before any shuffle of the store, ``before`` to
+        the folders of earlier batches."""
         rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
         if only is not None:
             rows = rows.join(only.select(*self.keys).distinct(), self.keys, "left_semi")
         return latest(rows, self.keys, self.by).drop("batch")
 
-    def read_or_empty(self, schema, only: DataFrame | None = None) -> DataFrame:
+    def read_or_empty(self, schema, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.read(only) if exists else self.spark.createDataFrame([], schema)
+        return self.read(only, before) if exists else self.spark.createDataFrame([], schema)
 
     def compact(self, target: str) -> "KeyedStore":
         self.read().write.mode("overwrite").parquet(f"{target}/batch=0")

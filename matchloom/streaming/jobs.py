@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchloom.operators import ingestion as ig
 from matchloom.operators.ranking import latest
@@ -28,125 +24,38 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
 
 
 # -- T01: hash-gated ingestion ---------------------------------------------
-def ingest(stream: DataFrame, store: KeyedStore, counters_path: str, first_batch: int = 0) -> None:
-    """Each micro-batch reads the stored hashes, writes only changed rows and its counters.
-
-    Both writes replace a folder named after the batch, so a replay is harmless.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        n = first_batch + batch_id
-        state = store.read_or_empty(batch.schema, batch).select(*ig.KEY, "normalization_hash", "embedding_hash")
-        plan = ig.plan_changes(batch, state)
-        ig.counters(plan).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{counters_path}/b{n}")
-        store.upsert(plan.where("needs_upsert or needs_embedding").select(*batch.columns), n)
-
-    drain(stream.writeStream.foreachBatch(step), stream.sparkSession, "ingest")
-
+def ingest_batch(batch: DataFrame, n: int, store: KeyedStore, counters_path: str) -> None:
+    """Writes the changed rows of batch ``n`` and its counters.
 
-# -- segments for per-key sequential rules ----------------------------------
-def with_segments(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Number each key's runs of events that are never more than ``gap_seconds`` apart.
-
-    A rule that only looks ``gap_seconds`` back starts afresh after a longer
-    pause, so runs are independent work units and a busy key is spread over
-    many. Breaks are found on one (first, last) row per key and time bucket,
-    not on the events.
+    The state it compares with is that of the batches before ``n``, and both writes replace a folder named after the
+    batch; so a replay, which finds its own earlier output in place, writes the same again.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.withColumn("_us", t).withColumn("_b", F.floor(t / (gap_seconds * 1_000_000)))
-    buckets = e.groupBy(key, "_b").agg(F.min("_us").alias("lo"), F.max("_us").alias("hi"))
-    w = Window.partitionBy(key).orderBy("_b")
-    fresh = (F.col("lo") - F.lag("hi").over(w) > gap_seconds * 1_000_000) | F.lag("hi").over(w).isNull()
-    seg = buckets.withColumn("segment", F.sum(fresh.cast("long")).over(w)).select(key, "_b", "segment")
-    # within one bucket events are at most gap_seconds apart, so the bucket's segment is theirs
-    return e.join(seg, [key, "_b"]).drop("_b")
-
-
-def _scan(rows: DataFrame, key: str, step, flag: str) -> DataFrame:
-    """Feed (key, segment) runs in time order through ``step(state, us) -> (state, flag)``.
-
-    Sorted partitions are streamed batch by batch, so memory does not grow
-    with a run's length.
-    """
-    ordered = rows.repartition(key, "segment").sortWithinPartitions(key, "segment", "_us", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for pdf in batches:
-            out = []
-            for k, s, us in zip(pdf[key], pdf["segment"], pdf["_us"]):
-                if (k, s) != now:
-                    now, state = (k, s), None
-                state, f = step(state, us)
-                out.append(f)
-            yield pdf.assign(**{flag: out})
-
-    schema = rows.schema.add(flag, "boolean")
-    return ordered.mapInPandas(run, schema).drop("segment", "_us")
+    state = store.read_or_empty(batch.schema, batch, before=n).select(*ig.KEY, "normalization_hash", "embedding_hash")
+    plan = ig.plan_changes(batch, state)
+    ig.counters(plan).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{counters_path}/b{n}")
+    store.upsert(plan.where("needs_upsert or needs_embedding").select(*batch.columns), n)
 
 
-# -- T02: sliding-window rate limit -----------------------------------------
-def _admit(limit: int, window_us: int):
-    def step(state, us):
-        kept = [t for t in (state or []) if t >= us - window_us]
-        if limit > 0 and len(kept) >= limit:
-            return kept, False
-        return (kept + [us])[-limit:] if limit > 0 else [], True
-
-    return step
-
-
-def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_seconds: int = 60) -> DataFrame:
-    """Adds ``admitted``: fewer than ``limit`` admitted events of the key in the closed window before; denied ones do not count."""
-    return _scan(with_segments(events, key, ts, window_seconds), key, _admit(limit, window_seconds * 1_000_000), "admitted")
-
-
-def rate_limit_stream(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: int = 60) -> DataFrame:
-    """Streaming form; a key's state is its last ``limit`` admitted times."""
-    step = _admit(limit, window_seconds * 1_000_000)
-
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])  # one key's rows of one micro-batch
-        flags = []
-        for us in rows["us"]:
-            kept, ok = step(kept, us)
-            flags.append(ok)
-        state.update((kept,))
-        yield pd.DataFrame({"event_id": rows["event_id"], "key": rows["key"], "admitted": flags})
-
-    src = stream.select("event_id", F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return src.groupBy("key").applyInPandasWithState(run, "event_id long, key long, admitted boolean", "admitted array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-# -- T03: time-to-live dedupe -------------------------------------------------
-def _ttl(ttl_us: int):
-    def step(anchor, us):
-        return (anchor, True) if anchor is not None and us - anchor <= ttl_us else (us, False)
-
-    return step
-
-
-def ttl_hits(events: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
-    """Adds ``hit``: the same key was computed at most ``ttl_seconds`` ago; a hit does not extend that."""
-    return _scan(with_segments(events, key, ts, ttl_seconds), key, _ttl(ttl_seconds * 1_000_000), "hit")
+def ingest(stream: DataFrame, store: KeyedStore, counters_path: str, first_batch: int = 0) -> None:
+    """Runs ``ingest_batch`` on every micro-batch."""
+    drain(stream.writeStream.foreachBatch(lambda batch, k: ingest_batch(batch, first_batch + k, store, counters_path)), stream.sparkSession, "ingest")
 
 
-def ttl_dedupe_stream(stream: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
-    step = _ttl(ttl_seconds * 1_000_000)
+# -- T02: request rate ------------------------------------------------------
+def rate_windows(events: DataFrame, key: str, ts: str, limit: int, width: str, slide: str, late: str = "10 minutes") -> DataFrame:
+    """Per key and sliding window: requests, and whether they exceed ``limit``. The same plan runs on a table or a stream."""
+    src = events.withWatermark(ts, late) if events.isStreaming else events
+    return src.groupBy(F.window(ts, width, slide).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("window_start"), "key", "n", (F.col("n") > limit).alias("over_limit"))
 
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        flags = []
-        for us in rows["us"]:
-            anchor, hit = step(anchor, us)
-            flags.append(hit)
-        state.update((int(anchor),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "hit": flags})
 
-    src = stream.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return src.groupBy("key").applyInPandasWithState(run, "event_id long, hit boolean", "anchor long", "append", GroupStateTimeout.NoTimeout)
+# -- T03: repeated requests ---------------------------------------------------
+def repeated_requests(events: DataFrame, key: str, ts: str, ttl: str, late: str = "10 minutes") -> DataFrame:
+    """Per key and time-to-live period: the request that is computed (the first) and how many repeat it."""
+    src = events.withWatermark(ts, late) if events.isStreaming else events
+    return src.groupBy(F.window(ts, ttl).alias("w"), F.col(key).alias("key")).agg(
+        F.min_by("event_id", F.struct(ts, "event_id")).alias("computed"), (F.count("*") - 1).alias("repeats")).select(
+        F.col("w.start").alias("window_start"), "key", "computed", "repeats")
 
 
 # -- T04: latest feedback per key --------------------------------------------

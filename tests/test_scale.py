@@ -11,7 +11,7 @@ from matchloom.functions import scoring as sc
 from matchloom.operators import experience as ex
 from matchloom.operators import ontology as on
 from matchloom.operators import search as se
-from matchloom.operators.ranking import exact_percentiles, latest
+from matchloom.operators.ranking import exact_percentiles, latest, places
 from matchloom.sources import csv as cs
 from matchloom.sources import jsonl as js
 from matchloom.sources import store as st
@@ -103,46 +103,63 @@ def test_trajectory_against_a_sorted_walk(spark):
         assert got[c].moves == "|".join(f"{a[2]} at {a[3]} > {b[2]} at {b[3]}" for a, b in moves[:6])
 
 
-def test_grouped_pages_keep_the_whole_list(spark):
-    child = spark.createDataFrame([(1 if i % 3 else i % 5, i, f"v{i}") for i in range(500)], "k long, seq long, v string")
+def test_grouped_keeps_every_child(spark):
+    child = spark.createDataFrame([(1 if i % 3 else i % 5, i, f"v{i}") for i in range(500)] + [(9, i, f"p{i}") for i in range(200, 230)], "k long, seq long, v string")
     parents = child.select("k").distinct().where("k <> 4")
-    pages = cs.grouped(child, parents, "k", "seq", ["v"], page_rows=20).orderBy("k", "page").collect()
-    assert max(len(p["items"]) for p in pages) <= 120  # keys up to the page size stay whole, hot ones are cut
-    lists = collections.defaultdict(list)
-    for p in pages:
-        lists[p["k"]] += p["items"]
-    want = collections.defaultdict(list)
-    for i in range(500):
-        k = 1 if i % 3 else i % 5
-        if k != 4:
-            want[k].append(f"v{i}")
-    assert dict(lists) == dict(want)
-    assert all(len(p["items"]) <= 20 for p in pages if len(want[p["k"]]) > 20)
-
-
-def test_rate_limit_and_ttl_against_a_deque(spark):
+    want = sorted((k, s, v) for k, s, v in map(tuple, child.collect()) if k != 4)
+    assert sorted(map(tuple, cs.grouped(child, parents, "k", "seq", ["v"]).collect())) == want
+    lists = {r.k: r["items"] for r in cs.listed(cs.grouped(child, parents, "k", "seq", ["v"]), "k", ["v"], most=400).collect()}
+    assert lists == {k: [v for kk, _, v in want if kk == k] for k in {w[0] for w in want}} and len(lists[9]) == 30
+    with pytest.raises(Exception, match="more than 30 rows of one key: 1"):
+        cs.listed(cs.grouped(child, parents, "k", "seq", ["v"]), "k", ["v"], most=30).collect()
+
+
+def test_places_of_a_hot_key(spark):
+    rnd = random.Random(2)
+    rows = [("hot" if rnd.random() < .6 else f"k{rnd.randrange(5)}", rnd.randrange(50), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(5)
+    got = {r.i: r.position for r in places(df, "k", [F.desc("v"), F.asc("i")]).collect()}
+    for k in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_a_replayed_batch_writes_the_same_again(spark, tmp_path):
+    s, tally = st.KeyedStore(spark, str(tmp_path / "s"), ["source_dataset", "candidate_id"]), str(tmp_path / "tally")
+    schema = "source_dataset string, candidate_id string, normalization_hash string, embedding_hash string"
+    first = spark.createDataFrame([("d", "1", "a", "a"), ("d", "2", "a", "a")], schema)
+    second = spark.createDataFrame([("d", "2", "b", "b"), ("d", "3", "a", "a")], schema)
+
+    def seen():
+        counters = spark.read.option("recursiveFileLookup", True).parquet(tally)
+        return sorted(map(str, s.read().collect())), sorted(map(str, counters.collect()))
+    sj.ingest_batch(first, 0, s, tally)
+    sj.ingest_batch(second, 1, s, tally)
+    once = seen()
+    assert len(once[0]) == 3
+    sj.ingest_batch(second, 1, s, tally)
+    assert seen() == once
+    sj.ingest_batch(second, 2, s, tally)  # the same rows in a later batch change nothing
+    assert seen()[0] == once[0]
+
+
+def test_rates_and_repeats_against_a_loop(spark):
     rnd = random.Random(8)
-    base = 1_700_000_000
-    rows, t = [], 0.0
+    base, rows, t = 1_700_000_000, [], 0
     for i in range(600):
-        t += rnd.choice([0.5, 3, 20, 90])
+        t += rnd.choice([1, 3, 20, 90])
         rows.append((i, "hot" if rnd.random() < .5 else f"k{rnd.randrange(6)}", base + t))
-    df = spark.createDataFrame(rows, "event_id long, key string, s double").select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
-    got = {r.event_id: r.admitted for r in sj.rate_limit(df.repartition(5), "key", "ts", 3, 60).collect()}
-    hits = {r.event_id: r.hit for r in sj.ttl_hits(df.repartition(3), "key", "ts", 60).collect()}
-    seen, anchors = collections.defaultdict(collections.deque), {}
+    df = spark.createDataFrame(rows, "event_id long, key string, s long").select("event_id", "key", F.timestamp_seconds("s").alias("ts"))
+    rate, first, again = collections.Counter(), {}, collections.Counter()
     for i, k, s in rows:
-        q = seen[k]
-        while q and q[0] < s - 60:
-            q.popleft()
-        ok = len(q) < 3
-        if ok:
-            q.append(s)
-        assert got[i] == ok
-        hit = k in anchors and s - anchors[k] <= 60
-        if not hit:
-            anchors[k] = s
-        assert hits[i] == hit
+        for j in range(3):
+            rate[s // 20 * 20 - 20 * j, k] += 1
+        first.setdefault((s // 60 * 60, k), i)
+        again[s // 60 * 60, k] += 1
+    got = {(r.w, r.key): (r.n, r.over_limit) for r in sj.rate_windows(df, "key", "ts", 3, "60 seconds", "20 seconds").withColumn("w", F.unix_seconds("window_start")).collect()}
+    assert got == {k: (n, n > 3) for k, n in rate.items()}
+    got = {(r.w, r.key): (r.computed, r.repeats) for r in sj.repeated_requests(df, "key", "ts", "60 seconds").withColumn("w", F.unix_seconds("window_start")).collect()}
+    assert got == {k: (i, again[k] - 1) for k, i in first.items()}
 
 
 def test_store_replay_and_latest(spark, tmp_path):
