@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.scoring import clip01
-from matchloom.functions.text import blank_to_null, clean_token, dedupe, let, squash
+from matchloom.functions.text import blank_to_null, clean_token, dedupe, first_items, let, squash
 
 # Fixed values -----------------------------------------------------------
 STOPWORDS = [
@@ -361,8 +361,8 @@ def query_confidence(required: Column, category: Column, seniority: Column, year
     return F.round(clip01(s) * 1000) / 1000
 
 
-def related_fallback(text: Column, required: Column) -> Column:
-    """2-4 word chunks of the text that are not required."""
+def related_fallback(text: Column, required: Column, limit: int | None = None) -> Column:
+    """2-4 word chunks of the text that are not required; the first ``limit`` of them if given."""
     def clean(c):
         return F.btrim(squash(F.regexp_replace(c, r"[^\w\s+#.-]", " ")), F.lit(" .,-"))
 
@@ -371,16 +371,17 @@ def related_fallback(text: Column, required: Column) -> Column:
         return F.size(ws).between(2, MAX_WORDS) & ~F.array_contains(required, t) & (F.size(F.filter(ws, lambda w: w.isin(STOPWORDS))) <= 1)
 
     chunks = F.filter(F.transform(F.split(F.lower(text), SPLIT), clean), keep)
-    return F.slice(F.filter(filter_noise(F.array_distinct(chunks)), lambda t: ~F.array_contains(required, t)), 1, MAX_RELATED)
+    return first_items(F.filter(filter_noise(F.array_distinct(chunks)), lambda t: ~F.array_contains(required, t)), limit)
 
 
 def fallback_reason(confidence: Column, unknown_ratio: Column) -> Column:
     return F.when(confidence < FALLBACK["confidence"], "low_confidence").when(unknown_ratio > FALLBACK["unknown_ratio"], "high_unknown_ratio")
 
 
-def query_tokens(text: Column) -> Column:
+def query_tokens(text: Column, limit: int | None = None) -> Column:
+    """Distinct words of a text that are no stop words, the first ``limit`` if given."""
     toks = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z0-9][a-zA-Z0-9+.#-]{1,}"), F.lit(0)), lambda t: F.lower(t))
-    return F.slice(F.array_distinct(F.filter(toks, lambda t: ~t.isin(QUERY_STOPWORDS))), 1, 24)
+    return first_items(F.array_distinct(F.filter(toks, lambda t: ~t.isin(QUERY_STOPWORDS))), limit)
 
 
 def query_seeds(role_names, skills, capabilities, required, related, expansion, query_text) -> Column:
@@ -449,7 +450,7 @@ def finish(d: DataFrame, ontology_roles: list[str] = (), ontology_capabilities:
     d = d.withColumn("transferable_score", transferable_score(c("capability_signals"), F.size(F.array_distinct(near)), c("_related")))
     grown = F.concat(c("_related"), F.array_except(names_of(c("capability_signals")), c("required_skills")), near)
     d = d.withColumn("related_skills", compress(grown, col("core_terms"), col("alias_terms"), MAX_RELATED))
-    d = d.withColumn("related_skills", F.when(F.size("related_skills") > 0, c("related_skills")).otherwise(related_fallback(x, c("required_skills"))))
+    d = d.withColumn("related_skills", F.when(F.size("related_skills") > 0, c("related_skills")).otherwise(related_fallback(x, c("required_skills"), MAX_RELATED)))
     d = d.withColumn("lexical_query", lexical_query(c("roles"), c("skill_signals"), c("capability_signals")))
     d = d.withColumn("query_expansion", query_expansion(c("roles"), c("required_skills"), c("related_skills"), c("capability_signals")))
     d = d.withColumn("signal_quality", signal_quality(c("skill_signals"), c("capability_signals"))).withColumn("required_years", required_years(x))

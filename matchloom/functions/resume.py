@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom.functions.dates import normalize_month
-from matchloom.functions.text import blank_to_null, clean_text, dedupe, dedupe_ignore_case, embedding_text, first_by_key, let, skill_list_normalized, skill_list_raw, squash, WS
+from matchloom.functions.text import blank_to_null, clean_text, dedupe, dedupe_ignore_case, embedding_text, first_by_key, first_chars, first_items, let, skill_list_normalized, skill_list_raw, squash, WS
 
 # Fixed values -----------------------------------------------------------
 SECTIONS = {  # first match wins: 'qualifications' belongs to skills
@@ -150,13 +150,14 @@ def phone(text: Column) -> Column:
     return blank_to_null(squash(F.regexp_extract(text, PHONE, 1)))
 
 
-def person_name(root_lines: Column) -> Column:
+def person_name(root_lines: Column, lines_read: int | None = None) -> Column:
+    """The first line that looks like a name, of the first ``lines_read`` lines if given."""
     def plausible(s):
         words = F.split(s, " ")
         shouting = F.exists(words, lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 5))
         return ~F.lower(s).rlike(NOT_A_NAME) & F.size(words).between(2, 4) & ~s.rlike(NAME_SYMBOLS) & ~shouting
 
-    return F.initcap(F.get(F.filter(F.slice(root_lines, 1, 6), plausible), F.lit(0)))
+    return F.initcap(F.get(F.filter(first_items(root_lines, lines_read), plausible), F.lit(0)))
 
 
 def valid_skill(token: Column) -> Column:
@@ -168,16 +169,19 @@ def valid_skill(token: Column) -> Column:
     return let(F.regexp_replace(token, f"^{WS}+|{WS}+$", ""), ok)
 
 
-def skills(tagged: Column, text: Column) -> Column:
-    after_heading = F.substring(F.regexp_extract(text, SKILL_HEADING, 1), 1, 1500)
+def skills(tagged: Column, text: Column, chars: int | None = None, most: int | None = None) -> Column:
+    """Skill tokens of the skill section, else of what follows a skill heading (its first ``chars`` characters, if given);
+    ``most``: parts looked at."""
+    after_heading = first_chars(F.regexp_extract(text, SKILL_HEADING, 1), chars)
     src = F.coalesce(section_text(tagged, "skills"), blank_to_null(after_heading))
-    parts = F.slice(F.split(src, SKILL_SPLIT), 1, 120)
+    parts = first_items(F.split(src, SKILL_SPLIT), most)
     return F.coalesce(dedupe_ignore_case(F.filter(parts, valid_skill)), _empty())
 
 
-def fallback_skill_tokens(text: Column) -> Column:
-    tail = F.substring(F.regexp_extract(text, r"(?is)\bskills\b(.*)", 1), 1, 1200)
-    return F.when(text.rlike(r"(?i)\bskills\b"), F.slice(F.split(tail, r"[,\n;|]"), 1, 60)).otherwise(_empty())
+def fallback_skill_tokens(text: Column, chars: int | None = None, most: int | None = None) -> Column:
+    """Parts of the text after the word 'skills': of its first ``chars`` characters and the first ``most`` parts, if given."""
+    tail = first_chars(F.regexp_extract(text, r"(?is)\bskills\b(.*)", 1), chars)
+    return F.when(text.rlike(r"(?i)\bskills\b"), first_items(F.split(tail, r"[,\n;|]"), most)).otherwise(_empty())
 
 
 def fallback_skills(text: Column) -> Column:
@@ -318,17 +322,18 @@ def typed_education(records: Column) -> Column:
         normalize_month(r["start_date"]).alias("start_date")))
 
 
-def abilities(summary: Column, descriptions: Column, text: Column, limit: int = 12) -> Column:
+def abilities(summary: Column, descriptions: Column, text: Column, limit: int | None = None, chars: int | None = None) -> Column:
+    """Ability labels, else ability phrases. ``limit``: at most so many; ``chars``: how much of the text is read (None: all)."""
     def from_corpus(corpus):
         labels = F.filter(F.array(*[F.when(corpus.rlike(rx), F.lit(lb)) for lb, rx in ABILITIES]), lambda x: x.isNotNull())
         phrases = F.transform(
             F.regexp_extract_all(corpus, F.lit(ABILITY_PHRASE), F.lit(1)),
             lambda p: F.btrim(F.regexp_replace(p, r"\b(?:the|a|an)\b\s+", ""), F.lit(" -")))
         phrases = F.filter(phrases, lambda p: F.size(F.filter(F.split(p, " +"), lambda w: w != "")).between(3, 8))
-        fallback = F.slice(dedupe(F.slice(phrases, 1, limit)), 1, limit)
-        return let(F.slice(labels, 1, limit), lambda found: F.when(F.size(found) > 0, found).otherwise(fallback))
+        fallback = first_items(dedupe(first_items(phrases, limit)), limit)
+        return let(first_items(labels, limit), lambda found: F.when(F.size(found) > 0, found).otherwise(fallback))
 
-    return let(F.lower(squash(F.concat_ws(" ", summary, F.array_join(descriptions, " "), F.substring(text, 1, 4000)))), from_corpus)
+    return let(F.lower(squash(F.concat_ws(" ", summary, F.array_join(descriptions, " "), first_chars(text, chars)))), from_corpus)
 
 
 def _boundary(words: list[str]) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import blank_to_null, let, normalize_skill, normalize_token
+from matchloom.functions.text import blank_to_null, first_chars, first_items, let, normalize_skill, normalize_token
 from matchloom.operators.facets import FILTERS, contains_any, normalize_label, spaced
 
 # Fixed values -----------------------------------------------------------
@@ -14,7 +14,6 @@ POLICIES = {"v1": {"semantic": 0.42, "skill": 0.33, "experience": 0.18, "seniori
 RANK_WEIGHTS = {"deterministic": 0.30, "agent": 0.70}
 SENIORITY_RANKS = {"intern": 0, "junior": 1, "mid": 2, "senior": 3, "lead": 4, "staff": 5, "principal": 6}
 TERM_STOPWORDS = ["and", "or", "with", "for", "the", "a", "an", "to", "of", "in"]
-MAX_TARGETS = 10
 MAX_PENALTY = 0.12
 DIMENSIONS = ["skill", "experience", "technical", "culture"]
 RECRUITER = {"skill": 0.30, "experience": 0.35, "technical": 0.20, "culture": 0.15}
@@ -159,10 +158,10 @@ def soft_overlap(pool: Column, targets: Column) -> Column:
     return F.when(F.size(targets) > 0, total / F.size(targets)).otherwise(F.lit(0.0))
 
 
-def skill_overlap(core: Column, expanded: Column, normalized: Column, required: Column, extra: Column) -> Column:
-    """struct(score, core_overlap, expanded_overlap, normalized_overlap)."""
-    req = F.slice(required, 1, MAX_TARGETS)
-    wide = F.slice(skill_set(F.concat(req, extra)), 1, MAX_TARGETS)
+def skill_overlap(core: Column, expanded: Column, normalized: Column, required: Column, extra: Column, targets: int | None = None) -> Column:
+    """struct(score, core_overlap, expanded_overlap, normalized_overlap). ``targets``: terms of the job that count (None: all)."""
+    req = first_items(required, targets)
+    wide = first_items(skill_set(F.concat(req, extra)), targets)
 
     def blend(p):
         c, e, n = soft_overlap(p["c"], p["r"]), soft_overlap(p["e"], p["x"]), soft_overlap(p["n"], p["r"])
@@ -267,8 +266,9 @@ def distinct_lines(items: Column) -> Column:
         F.concat(blank_to_null(e["title"]), F.lit(" at "), blank_to_null(e["company"])), blank_to_null(e["title"]), blank_to_null(e["company"]))), lambda x: x.isNotNull()))
 
 
-def project_evidence(items: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(items, lambda e: F.substring(F.trim(e["description"]), 1, 180)), lambda x: x.isNotNull() & (x != "")))
+def project_evidence(items: Column, chars: int | None = None) -> Column:
+    """Distinct descriptions, cut at ``chars`` characters if given."""
+    return F.array_distinct(F.filter(F.transform(items, lambda e: first_chars(F.trim(e["description"]), chars)), lambda x: x.isNotNull() & (x != "")))
 
 
 def normalize_weights(w: dict[str, Column]) -> dict[str, Column]:
@@ -323,20 +323,21 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def evidence_sentences(text: Column, terms: Column, limit: int = 4) -> Column:
-    """Sentences of 25+ characters by number of contained terms, stable, cut at 220, distinct."""
+def evidence_sentences(text: Column, terms: Column, limit: int = 4, chars: int | None = None) -> Column:
+    """Sentences of 25+ characters by number of contained terms, stable, distinct; cut at ``chars`` characters if given."""
     def pick(names):
         scored = F.transform(sentences(text), lambda s, i: let(F.lower(s), lambda low: F.struct(
-            (-F.size(F.filter(names, lambda t: low.contains(t)))).alias("n"), i.alias("i"), F.substring(s, 1, 220).alias("s"), F.length(s).alias("len"))))
+            (-F.size(F.filter(names, lambda t: low.contains(t)))).alias("n"), i.alias("i"), first_chars(s, chars).alias("s"), F.length(s).alias("len"))))
         keep = F.array_sort(F.filter(scored, lambda e: (e["n"] < 0) & (e["len"] >= 25)))
         return F.slice(F.array_distinct(F.transform(keep, lambda e: e["s"])), 1, limit)
 
     return let(F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: t != ""), pick)
 
 
-def rerank_text(summary: Column, skills: Column, category: Column, level: Column, years: Column) -> Column:
-    names = F.transform(F.slice(skills, 1, 12), lambda s: F.lower(F.trim(s)))
-    parts = [F.substring(F.trim(summary), 1, 320), F.array_join(F.filter(names, lambda s: s != ""), " "), F.trim(category), F.trim(level), years.cast("string")]
+def rerank_text(summary: Column, skills: Column, category: Column, level: Column, years: Column, chars: int | None = None, names_read: int | None = None) -> Column:
+    """Text that a re-ranker reads. ``chars`` of the summary and ``names_read`` skills, if given."""
+    names = F.transform(first_items(skills, names_read), lambda s: F.lower(F.trim(s)))
+    parts = [first_chars(F.trim(summary), chars), F.array_join(F.filter(names, lambda s: s != ""), " "), F.trim(category), F.trim(level), years.cast("string")]
     return F.trim(F.concat_ws(" ", *[blank_to_null(p) for p in parts]))
 
 

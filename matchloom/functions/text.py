@@ -157,6 +157,16 @@ def seniority_bucket(y: Column) -> Column:
     )
 
 
+def first_chars(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all of them."""
+    return c if n is None else F.substring(c, 1, n)
+
+
+def first_items(a: Column, n: int | None) -> Column:
+    """The first ``n`` elements, or all of them."""
+    return a if n is None else F.slice(a, 1, n)
+
+
 def embedding_text(c: Column, limit: int = 4000) -> Column:
     return F.substring(F.coalesce(blank_to_null(squash(c)), F.lit("empty resume")), 1, limit)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import resume as rs
-from matchloom.functions.text import blank_to_null, squash
+from matchloom.functions.text import blank_to_null, first_chars, squash
 
 
 def experience_years(items: DataFrame, as_of_idx: int, key: str = "candidate_id") -> DataFrame:
@@ -31,8 +31,8 @@ def dedupe_items(items: DataFrame, fields: list[str], seq: str, key: str = "cand
     return items.groupBy(key, *[F.lower(squash(F.col(f))).alias(f) for f in fields]).agg(F.min(seq).alias(seq))
 
 
-def career_trajectory(items: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """Progression, first and latest role and the first six moves per candidate.
+def career_trajectory(items: DataFrame, key: str = "candidate_id", shown: int = 6) -> DataFrame:
+    """Progression, first and latest role and the first ``shown`` moves per candidate; all moves are counted.
 
     A move is a change of title or company between neighbours in start order.
     Neighbours are found inside (candidate, start month) slices and the
@@ -40,7 +40,8 @@ def career_trajectory(items: DataFrame, key: str = "candidate_id") -> DataFrame:
     over many tasks instead of sorted in one.
     """
     role = F.struct("start_idx", "seq", "title", "company")
-    sliced = items.withColumn("_b", F.coalesce("start_idx", F.lit(-1)).cast("long"))
+    # items without a start come first, by seq: their slices are ranges of it
+    sliced = items.withColumn("_b", F.coalesce(F.col("start_idx").cast("long"), F.floor(F.col("seq") / 1024) - F.lit(1 << 40)))
     w = Window.partitionBy(key, "_b").orderBy(F.asc_nulls_first("start_idx"), "seq")
     inner = sliced.select(key, "_b", role.alias("cur"), F.lag(role).over(w).alias("prev"))
     edges = sliced.groupBy(key, "_b").agg(F.min(role).alias("head"), F.max(role).alias("tail"))
@@ -57,7 +58,7 @@ def career_trajectory(items: DataFrame, key: str = "candidate_id") -> DataFrame:
     totals = moves.groupBy(key).agg(F.count("*").alias("n_moves"), F.max(changed_company).alias("changed"))
     first6 = top_k(moves.select(key, "cur", F.concat(label("prev"), F.lit(" > "), label("cur")).alias("m"),
                                 F.col("cur.start_idx").alias("_s"), F.col("cur.seq").alias("_q")), [key],
-                   [F.asc_nulls_first("_s"), F.asc("_q")], 6)
+                   [F.asc_nulls_first("_s"), F.asc("_q")], shown)
     lists = first6.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "m"))), lambda e: e["m"]), "|").alias("moves"))
     ends = edges.groupBy(key).agg(F.min("head").alias("a"), F.max("tail").alias("z"))
     return ends.join(totals, key, "left").join(lists, key, "left").select(
@@ -67,16 +68,17 @@ def career_trajectory(items: DataFrame, key: str = "candidate_id") -> DataFrame:
         F.coalesce("moves", F.lit("")).alias("moves"))
 
 
-def parse_resumes(resumes: DataFrame) -> DataFrame:
+def parse_resumes(resumes: DataFrame, summary_chars: int | None = None, name_lines: int | None = None) -> DataFrame:
     """Everything a résumé text yields, in one projection over the text column.
 
-    Whole-text scans run only where the section scans found nothing.
+    Whole-text scans run only where the section scans found nothing. Without a summary section the text stands in for it:
+    all of it, or its first ``summary_chars`` characters. ``name_lines``: how many lines may hold the name (None: all).
     """
     x, t = F.col("text"), F.col("tagged")
     staged = resumes.withColumn("tagged", rs.tagged_lines(x)).select(
         "*", rs.skills(t, x).alias("skills"), rs.education_lines(t).alias("edu"), rs.experience_blocks(t).alias("exp"),
-        rs.person_name(rs.section_lines(t, "root")).alias("name"), rs.email(x).alias("email"), rs.phone(x).alias("phone"),
-        F.coalesce(rs.section_text(t, "summary"), blank_to_null(squash(F.substring(x, 1, 280)))).alias("summary"))
+        rs.person_name(rs.section_lines(t, "root"), name_lines).alias("name"), rs.email(x).alias("email"), rs.phone(x).alias("phone"),
+        F.coalesce(rs.section_text(t, "summary"), blank_to_null(squash(first_chars(x, summary_chars)))).alias("summary"))
     full = staged.select(
         "*", F.when(F.size("edu") > 0, F.col("edu")).otherwise(rs.education_scan(x)).alias("education"),
         F.when(F.size("exp") > 0, F.col("exp")).otherwise(rs.experience_scan(x)).alias("experience")).drop("edu", "exp", "tagged")

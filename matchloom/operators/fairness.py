@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.scoring import r4
 from matchloom.functions.text import sensitive_terms, seniority_group
 from matchloom.operators.ranking import top_k
+from matchloom.session import materialize
 
 # Fixed values -----------------------------------------------------------
 LIMITS = {"culture_weight": 0.2, "must_have": 0.5, "culture_confidence": 0.7, "score_floor": 0.7, "min_results": 5, "concentration": 0.85}
@@ -77,13 +78,26 @@ def seniority_concentration(matches: DataFrame, top: int = 10) -> DataFrame:
         ",", "d.band", r4(ratio).cast("string"), F.col("shown").cast("string")))
 
 
+def row_warnings(matches: DataFrame) -> DataFrame:
+    """The warnings of all checks that look at one match alone, from one pass over the matches."""
+    terms = sensitive_terms(F.concat_ws(" ", "summary", "explanation"))
+    c = F.col
+    underfit = (c("must_have_rate") < LIMITS["must_have"]) & (c("culture_confidence") > LIMITS["culture_confidence"]) & (c("score") >= LIMITS["score_floor"])
+    checks = {
+        "sensitive_term_in_candidate_explanation": (F.size("_t") > 0, F.array_join("_t", ",")),
+        "culture_weight_over_cap": (c("culture_weight") > LIMITS["culture_weight"], r4(c("culture_weight")).cast("string")),
+        "must_have_underfit_high_culture": (underfit, F.concat_ws(",", *[r4(c(n)).cast("string") for n in ("must_have_rate", "culture_confidence", "score")])),
+    }
+    told = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(MESSAGES[code]).alias("message"), metrics.alias("metrics")))
+                                     for code, (hit, metrics) in checks.items()]))
+    rows = matches.withColumn("_t", terms).select("job_id", "candidate_id", F.explode(told).alias("w"))
+    return rows.select("job_id", "candidate_id", "w.code", F.lit("warning").alias("severity"), "w.message", "w.metrics")
+
+
 def audit(jobs: DataFrame, matches: DataFrame, top: int = 10) -> DataFrame:
-    """All warnings of a ranked run as rows."""
-    parts = [query_terms(jobs), candidate_terms(matches), culture_weight(matches), must_have_underfit(matches), seniority_concentration(matches, top)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All warnings of a ranked run as rows. The matches are written once and read by both kinds of checks."""
+    m = materialize(matches, "audit-matches")
+    return query_terms(jobs).unionByName(row_warnings(m)).unionByName(seniority_concentration(m, top))
 
 
 def messages_per_candidate(warnings: DataFrame) -> DataFrame:

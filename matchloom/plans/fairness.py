@@ -11,7 +11,7 @@ from matchloom.plans.registry import query
 
 _TERMS = f"regexp_extract_all(lower(x), {d.q(tx.SENSITIVE_RE)}, 1)"
 CT = {
-    "g_match": """SELECT p.job_id, p.candidate_id, raw_score * 2 AS score, summary, 'Handled ' || array_to_string(skills, ', ') || ' well' AS explanation, seniority_level, preferred_seniority,
+    "g_match": """SELECT p.job_id, p.candidate_id, raw_score * 2 AS score, summary, 'Handled ' || array_to_string(skills, ', ') || ' well' AS explanation, CASE WHEN right(p.job_id, 1) IN ('3', '5', '8') AND right(p.candidate_id, 1) <> '7' THEN 'senior' ELSE seniority_level END AS seniority_level, CASE WHEN right(p.job_id, 1) <> '3' THEN preferred_seniority END AS preferred_seniority,
  (n_applications * 7 + length(p.candidate_id)) % 10 / 20.0::DOUBLE AS culture_weight, experience_years / 10.0 AS culture_confidence, len(list_intersect(required_skills, skills)) / len(required_skills) AS must_have_rate FROM pair_doc p""",
     "g_rank": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS position FROM g_match) WHERE position <= 10",
     "g_q": f"SELECT job_id, CAST(NULL AS VARCHAR) AS candidate_id, 'sensitive_term_in_query' AS code, 'critical' AS severity, array_to_string(list_filter(h, lambda t, i: list_position(h, t) = i), ',') AS metrics FROM (SELECT job_id, {_TERMS.replace('x)', 'text)')} AS h FROM job_text) WHERE len(h) > 0",
@@ -29,7 +29,10 @@ COLS = ["job_id", "candidate_id", "code", "severity", "metrics"]
 def matches(i):
     m = i.pair_doc().select(
         "job_id", "candidate_id", (F.col("raw_score") * 2).alias("score"), "summary",
-        F.concat(F.lit("Handled "), F.array_join("skills", ", "), F.lit(" well")).alias("explanation"), "seniority_level", "preferred_seniority",
+        F.concat(F.lit("Handled "), F.array_join("skills", ", "), F.lit(" well")).alias("explanation"),
+        # jobs whose applicants are nearly all of one band, beside mixed ones
+        F.when(F.right("job_id", F.lit(1)).isin("3", "5", "8") & (F.right("candidate_id", F.lit(1)) != "7"), "senior").otherwise(F.col("seniority_level")).alias("seniority_level"),
+        F.when(F.right("job_id", F.lit(1)) != "3", F.col("preferred_seniority")).alias("preferred_seniority"),
         ((F.col("n_applications") * 7 + F.length("candidate_id")) % 10 / 20.0).alias("culture_weight"), (F.col("experience_years") / 10.0).alias("culture_confidence"),
         (F.size(F.array_intersect("required_skills", "skills")) / F.size("required_skills")).alias("must_have_rate"))
     return fr.ranked(m, 10)

@@ -21,23 +21,21 @@ class Inputs:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def spread(self, name: str, key: str) -> DataFrame:
-        """A base table for CPU-heavy text work: if its files give fewer splits than
-        there are cores (one small file), hash it over the cores; else leave it as read."""
-        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+        """A base table for CPU-heavy text work."""
+        return self.even(self.base(name), key)
 
     def even(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Rows about to be scored at length: on a data set so small that one task
-        would get them all (fewer lineitem splits than cores), hash them over the cores."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if self.base("lineitem").rdd.getNumPartitions() < cores else df
+        """Rows about to be scored at length: dealt out over spark.matchloom.textPartitions partitions, if the session asks
+        for it (for tables of few files); else left as they come."""
+        n = self.spark.conf.get("spark.matchloom.textPartitions", None)
+        return df.repartition(int(n), *keys) if n else df
 
     # -- candidates -------------------------------------------------------
     def application(self) -> DataFrame:
         """One row per order: its first line says which part and supplier."""
         first = (
             self.base("lineitem").groupBy("l_orderkey")
-            .agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"))
+            .agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("m"))  # line numbers repeat: the whole row breaks ties
             .select(F.col("l_orderkey").alias("o_orderkey"), "m.l_partkey", "m.l_suppkey")
         )
         part = self.base("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("skill"))

@@ -276,7 +276,7 @@ def _(i):
     return confidences(i)
 
 
-@query("j22_related_fallback", f"""SELECT id, {d.join("list_filter(k, lambda x, i: list_position(k, x) = i)[1:12]")} AS terms FROM (SELECT id, list_filter(list_transform(list_filter(c, lambda t: len({words('t')}) BETWEEN 2 AND 4 AND t <> 'team player' AND {n_stop('t')} <= 1), lambda t: {noise_clean('t')}), lambda t: {noise_ok('t')} AND t <> 'team player') AS k FROM (
+@query("j22_related_fallback", f"""SELECT id, {d.join("list_filter(k, lambda x, i: list_position(k, x) = i)")} AS terms FROM (SELECT id, list_filter(list_transform(list_filter(c, lambda t: len({words('t')}) BETWEEN 2 AND 4 AND t <> 'team player' AND {n_stop('t')} <= 1), lambda t: {noise_clean('t')}), lambda t: {noise_ok('t')} AND t <> 'team player') AS k FROM (
  SELECT id, list_transform(string_split_regex(lower(text), {d.q(jt.SPLIT)}), lambda t: {noise_clean('t')}) AS c FROM (SELECT job_id AS id, text FROM job_text UNION ALL SELECT 'd-' || doc_id, text FROM documents)))""")
 def _(i):
     both = i.job_text().select(F.col("job_id").alias("id"), "text").unionByName(i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
@@ -334,7 +334,7 @@ CT["j_seed"] = f"""SELECT job_id, min(pos) AS pos, token FROM (SELECT job_id, ge
  SELECT job_id, roles || req || caps || req || coalesce((SELECT list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9][a-zA-Z0-9+.#-]{{1,}}'), lambda t: lower(t)), lambda t: NOT list_contains({d.lst(jt.QUERY_STOPWORDS)}, t))), []) AS s FROM j_sigs)) GROUP BY 1, 3"""
 _TOK = f"list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9][a-zA-Z0-9+.#-]{{1,}}'), lambda t: lower(t)), lambda t: NOT list_contains({d.lst(jt.QUERY_STOPWORDS)}, t))"
 CT["j_seed"] = f"""SELECT job_id, min(pos) AS pos, token FROM (SELECT job_id, pos, {d.clean_token('u')} AS token FROM (SELECT job_id, generate_subscripts(s, 1) AS pos, unnest(s) AS u FROM (
- SELECT job_id, roles || req || caps || req || list_filter(k, lambda x, i: list_position(k, x) = i)[1:24] AS s FROM (SELECT *, {_TOK} AS k FROM j_sigs)))) WHERE token IS NOT NULL GROUP BY 1, 3"""
+ SELECT job_id, roles || req || caps || req || list_filter(k, lambda x, i: list_position(k, x) = i) AS s FROM (SELECT *, {_TOK} AS k FROM j_sigs)))) WHERE token IS NOT NULL GROUP BY 1, 3"""
 CT["j_qcanon"] = "SELECT job_id, coalesce(a.canonical, token) AS term, min(pos) AS pos FROM j_seed LEFT JOIN alias_map a ON a.alias = token GROUP BY 1, 2"
 CT["j_qback"] = "SELECT job_id, term, 1000000 + row_number() OVER (PARTITION BY job_id ORDER BY term) AS pos FROM (SELECT DISTINCT c.job_id, a.alias AS term FROM j_qcanon c JOIN alias_map a ON a.canonical = c.term) b WHERE NOT EXISTS (SELECT 1 FROM j_qcanon z WHERE z.job_id = b.job_id AND z.term = b.term)"
 
@@ -351,7 +351,7 @@ def _(i):
     return pf.query_terms(seeds(i), i.alias_map())
 
 
-@query("j29_query_tokens", f"SELECT id, {d.join('list_filter(k, lambda x, i: list_position(k, x) = i)[1:24]')} AS tokens FROM (SELECT id, {_TOK} AS k FROM (SELECT job_id AS id, text FROM job_text UNION ALL SELECT 'b-' || item_id, text FROM benchmark))")
+@query("j29_query_tokens", f"SELECT id, {d.join('list_filter(k, lambda x, i: list_position(k, x) = i)')} AS tokens FROM (SELECT id, {_TOK} AS k FROM (SELECT job_id AS id, text FROM job_text UNION ALL SELECT 'b-' || item_id, text FROM benchmark))")
 def _(i):
     both = i.job_text().select(F.col("job_id").alias("id"), "text").unionByName(i.base("benchmark").select(F.concat(F.lit("b-"), F.col("item_id")).alias("id"), "text"))
     return both.select("id", F.array_join(jt.query_tokens(F.col("text")), "|").alias("tokens"))

@@ -67,7 +67,7 @@ _TITLE = "array_to_string(list_transform(string_split(lower(n), ' '), lambda w:
 @query("p04_person_name", f"""
 SELECT r.resume_id, {_TITLE} AS name FROM resume r LEFT JOIN (
  SELECT resume_id, arg_min(line, rn) AS n FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY pos) AS rn FROM res_body WHERE sec = 'root')
- WHERE rn <= 6 AND NOT regexp_matches(lower(line), {d.q(rs.NOT_A_NAME)}) AND len(string_split(line, ' ')) BETWEEN 2 AND 4
+ WHERE NOT regexp_matches(lower(line), {d.q(rs.NOT_A_NAME)}) AND len(string_split(line, ' ')) BETWEEN 2 AND 4
    AND NOT regexp_matches(line, {d.q(rs.NAME_SYMBOLS)})
    AND len(list_filter(string_split(line, ' '), lambda w: w = upper(w) AND w <> lower(w) AND length(w) > 5)) = 0 GROUP BY 1) x ON x.resume_id = r.resume_id""", CT)
 def _(i):
@@ -83,8 +83,8 @@ def _valid(x):
 _CI = "list_filter({0}, lambda x, i: x <> '' AND list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
 CT["res_skill"] = f"""
 SELECT resume_id, coalesce({_CI.format('b')}, []) AS skills FROM (
- SELECT resume_id, list_transform(list_filter(string_split_regex(src, {d.q(rs.SKILL_SPLIT)})[1:120], lambda x: {_valid('x')}), lambda x: {d.squash('x')}) AS b
- FROM (SELECT r.resume_id, coalesce(s.body, nullif(substring(regexp_extract(text, {d.q(rs.SKILL_HEADING)}, 1), 1, 1500), '')) AS src
+ SELECT resume_id, list_transform(list_filter(string_split_regex(src, {d.q(rs.SKILL_SPLIT)}), lambda x: {_valid('x')}), lambda x: {d.squash('x')}) AS b
+ FROM (SELECT r.resume_id, coalesce(s.body, nullif(regexp_extract(text, {d.q(rs.SKILL_HEADING)}, 1), '')) AS src
    FROM resume r LEFT JOIN res_section s ON s.resume_id = r.resume_id AND s.sec = 'skills'))"""
 
 
@@ -105,7 +105,7 @@ SELECT resume_id, {d.join('raw')} AS raw, {d.join(d.dedupe('n'))} AS normalized
  SELECT resume_id, raw, list_transform(raw, lambda x: {d.normalize_skill('x')}) AS n FROM (
  SELECT resume_id, list_filter(b, lambda x, i: list_position(b, x) = i) AS raw FROM (
  SELECT resume_id, list_filter(list_transform(CASE WHEN regexp_matches(text, '(?i)\\bskills\\b') THEN
-   string_split_regex(substring(regexp_extract(text, '(?is)\\bskills\\b(.*)', 1), 1, 1200), '[,\\n;|]')[1:60] ELSE [] END, lambda x: {d.clean_text('x')}), lambda x: x IS NOT NULL) AS b FROM resume)))""")
+   string_split_regex(regexp_extract(text, '(?is)\\bskills\\b(.*)', 1), '[,\\n;|]') ELSE [] END, lambda x: {d.clean_text('x')}), lambda x: x IS NOT NULL) AS b FROM resume)))""")
 def _(i):
     t = F.col("text")
     return i.resume().select("resume_id", F.array_join(rs.fallback_skills(t), "|").alias("raw"),
@@ -229,15 +229,15 @@ def _(i):
         F.size("education").cast("long").alias("n_education"), F.size("experience").cast("long").alias("n_experience"), "weak")
 
 
-_CORPUS = "lower(" + d.squash("concat_ws(' ', nullif(s, ''), nullif(dd, ''), substring(text, 1, 4000))") + ")"
+_CORPUS = "lower(" + d.squash("concat_ws(' ', nullif(s, ''), nullif(dd, ''), text)") + ")"
 _LABELS = ", ".join(f"CASE WHEN regexp_matches(c, {d.q(rx)}) THEN {d.q(lb)} END" for lb, rx in rs.ABILITIES)
 _PHR = f"list_transform(regexp_extract_all(c, {d.q(rs.ABILITY_PHRASE)}, 1), lambda p: trim(regexp_replace(p, '\\b(?:the|a|an)\\b\\s+', '', 'g'), ' -'))"
 
 
 @query("p17_abilities", f"""
-SELECT id, {d.join("CASE WHEN len(labels) > 0 THEN labels[1:12] ELSE list_filter(phr, lambda x, i: x <> '' AND list_position(phr, x) = i)[1:12] END")} AS abilities FROM (
+SELECT id, {d.join("CASE WHEN len(labels) > 0 THEN labels ELSE list_filter(phr, lambda x, i: x <> '' AND list_position(phr, x) = i) END")} AS abilities FROM (
 SELECT id, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS labels,
-  list_filter({_PHR}, lambda p: len(list_filter(string_split_regex(p, ' +'), lambda w: w <> '')) BETWEEN 3 AND 8)[1:12] AS phr
+  list_filter({_PHR}, lambda p: len(list_filter(string_split_regex(p, ' +'), lambda w: w <> '')) BETWEEN 3 AND 8) AS phr
 FROM (SELECT id, {_CORPUS} AS c FROM (SELECT id, text, '' AS s, '' AS dd FROM all_text)))""", CT)
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(

@@ -167,9 +167,9 @@ _S = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?\\n])\\s+
 @query("r14_search_within_candidate", f"""
 SELECT job_id, candidate_id, CASE WHEN len(ev) = 0 THEN 'No evidence found in candidate''s resume for query: ''' || qt || '''.' ELSE array_to_string(ev, chr(10)) END AS evidence FROM (
  SELECT job_id, candidate_id, qt,
-  CASE WHEN len(ph) > 0 THEN ['[Capabilities] Related capabilities / skills'] || list_transform(ph[1:5], lambda p: '- ' || p) ELSE [] END
-  || CASE WHEN len(su) > 0 THEN [chr(10) || '[Summary]'] || list_transform(su[1:3], lambda p: '- ' || p) ELSE [] END
-  || CASE WHEN role_hit OR len(de) > 0 THEN [chr(10) || '[Experience] ' || coalesce(seniority_level, 'Unknown Role') || ' at ' || location] || list_transform(de[1:5], lambda p: '- ' || p) ELSE [] END AS ev
+  CASE WHEN len(ph) > 0 THEN ['[Capabilities] Related capabilities / skills'] || list_transform(ph, lambda p: '- ' || p) ELSE [] END
+  || CASE WHEN len(su) > 0 THEN [chr(10) || '[Summary]'] || list_transform(su, lambda p: '- ' || p) ELSE [] END
+  || CASE WHEN role_hit OR len(de) > 0 THEN [chr(10) || '[Experience] ' || coalesce(seniority_level, 'Unknown Role') || ' at ' || location] || list_transform(de, lambda p: '- ' || p) ELSE [] END AS ev
  FROM (SELECT *, list_filter(skills, lambda p: len(list_filter(terms2, lambda t: contains(p, t))) > 0) AS ph,
    list_filter({_S.format('summary')}, lambda s: len(list_filter(terms2, lambda t: contains(lower(s), t))) > 0) AS su,
    list_filter({_S.format('descr')}, lambda s: len(list_filter(terms2, lambda t: contains(lower(s), t))) > 0) AS de,

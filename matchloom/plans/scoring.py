@@ -403,7 +403,7 @@ def _(i):
     return v.select(*P, sc.rnd(sc.cosine(F.col("q"), F.col("v")), 6).alias("cosine"))
 
 
-@query("k24_rerank_text", "SELECT candidate_id, trim(concat_ws(' ', nullif(substring(trim(summary), 1, 320), ''), nullif(array_to_string(skills[1:12], ' '), ''), category, seniority_level, CAST(experience_years AS VARCHAR))) AS text FROM candidate_doc")
+@query("k24_rerank_text", "SELECT candidate_id, trim(concat_ws(' ', nullif(trim(summary), ''), nullif(array_to_string(skills, ' '), ''), category, seniority_level, CAST(experience_years AS VARCHAR))) AS text FROM candidate_doc")
 def _(i):
     return i.candidate_doc().select("candidate_id", sc.rerank_text(*[F.col(c) for c in ("summary", "skills", "category", "seniority_level", "experience_years")]).alias("text"))
 
@@ -449,7 +449,7 @@ _EV_TERMS = ["the", "of and", "es ", "le", "in", "un"]
 
 @query("k30_evidence_sentences", f"""
 SELECT doc_id, coalesce(string_agg(s, '|' ORDER BY rn), '') AS evidence FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rn FROM (
-  SELECT doc_id, substring(s, 1, 220) AS s, max(n) AS n, arg_min(i, (-n, i)) AS i FROM (SELECT doc_id, s, i, {' + '.join(f'CAST(contains(lower(s), {d.q(t.strip())}) AS INT)' for t in _EV_TERMS)} AS n FROM (
+  SELECT doc_id, s, max(n) AS n, arg_min(i, (-n, i)) AS i FROM (SELECT doc_id, s, i, {' + '.join(f'CAST(contains(lower(s), {d.q(t.strip())}) AS INT)' for t in _EV_TERMS)} AS n FROM (
     SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {_S25} AS x FROM documents))) WHERE n > 0 AND length(s) >= 25 GROUP BY 1, 2)) WHERE rn <= 4 GROUP BY 1""")
 def _(i):
     ev = sc.evidence_sentences(F.col("text"), F.array(*[F.lit(t) for t in _EV_TERMS]))
@@ -465,7 +465,7 @@ def _(i):
 
 
 @query("k34_evidence_lists", """
-SELECT candidate_id, title || ' at ' || company AS line, substring('Handled ' || title || ' orders for ' || company || repeat('.', 200), 1, 180) AS project FROM experience_item GROUP BY ALL""")
+SELECT candidate_id, title || ' at ' || company AS line, 'Handled ' || title || ' orders for ' || company || repeat('.', 200) AS project FROM experience_item GROUP BY ALL""")
 def _(i):
     x = i.experience_item().select("candidate_id", "title", "company", F.concat(
         F.lit("Handled "), "title", F.lit(" orders for "), "company", F.repeat(F.lit("."), F.lit(200))).alias("description"))

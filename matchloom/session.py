@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def build_session(app: str = "matchloom", cpus: int | None = None) -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # rows here are cheap to store but costly to score: keep small shuffles on all cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.matchloom.textPartitions", str(n))  # test tables are single files
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -29,6 +31,20 @@ def build_session(app: str = "matchloom", cpus: int | None = None) -> SparkSessi
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application; harmless where they have it already."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "matchloom")
+    sc.addPyFile(shutil.make_archive(name, "zip", root, "matchloom"))
+
+
 @functools.cache
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
