@@ -35,8 +35,10 @@ class _Ends:
     def _read(self, a: int, b: int, buckets: int) -> None:
         width = max(1, -(-(b - a) // buckets))
         inside = self.ends.where((F.col("bytes") > a) & (F.col("bytes") <= b))
-        for end, rows, n in inside.groupBy(F.floor((F.col("bytes") - a - 1) / width).alias("bucket")).agg(F.max("bytes"), F.max("rows"), F.count("*")).drop("bucket").collect():
-            self.rows[end], self.whole[end] = rows, n == 1
+        ends = [f(c) for f in (F.min, F.max) for c in ("bytes", "rows")]
+        for _, low, low_rows, high, high_rows, n in inside.groupBy(F.floor((F.col("bytes") - a - 1) / width)).agg(*ends, F.count("*")).collect():
+            self.rows[high], self.whole[high] = high_rows, n <= 2 or self.whole.get(high, False)
+            self.rows[low], self.whole[low] = low_rows, True  # the first end of a bucket follows the last known one before it
         self.known = sorted(self.rows)
 
     def cuts(self, capacity: int, shards: int, hopeful: bool) -> list[int]:
@@ -61,7 +63,7 @@ class _Ends:
     def refine(self, regions: list[tuple[int, int]]) -> None:
         for a, b in regions:
             i, j = bisect.bisect_right(self.known, a) - 1, bisect.bisect_left(self.known, b)
-            self._read(self.known[i], self.known[min(j, len(self.known) - 1)], self.buckets // len(regions))
+            self._read(self.known[i], self.known[min(j, len(self.known) - 1)], max(2, self.buckets // len(regions)))
 
 
 def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, buckets: int = 32768) -> list[tuple[int, int]]:
