@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, exact_dedup, language, mixing, ngram_join, pii, quality, sharding
+from matchloom.llm import decontamination, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, sharding, token_counts
+from matchloom.session import shared_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: (ship(spark), fn(spark, sf_dir))[1]
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -47,6 +48,11 @@ def op4(spark, sf_dir):
     return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_licenses", licenses.oracle())
+def op5(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op6_language")
 def op6(spark, sf_dir):
     return language.fit_and_identify(table(spark, sf_dir, "documents"))
@@ -63,6 +69,19 @@ def op8(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_token_counts", token_counts.ORACLE)
+def op9(spark, sf_dir):
+    """All documents under two tokenizers, the second batch committed twice, then the toxic documents deleted."""
+    docs, rollup = table(spark, sf_dir, "documents"), token_counts.TokenRollup(spark, shared_dir(spark, "token-rollup"))
+    rollup.commit(0, token_counts.count_tokens(docs, "words-1"))
+    for _ in range(2):
+        rollup.commit(1, token_counts.count_tokens(docs, "pieces-1"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = rollup.state().join(toxic, "doc_id", "left_semi").withColumn("tokens", F.lit(None).cast("long"))
+    rollup.commit(2, gone.select("doc_id", "source", "lang", "tokenizer", "tokens"))
+    return rollup.totals()
+
+
 @query("op10_mixing", mixing.oracle())
 def op10(spark, sf_dir):
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"))
