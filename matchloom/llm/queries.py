@@ -53,6 +53,12 @@ def op5(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op5_license_notices")
+def op5_notices(spark, sf_dir):
+    """Licences by any usual notice, wherever it stands; ``op5_licenses`` is the scan by whole lines that its SQL describes."""
+    return licenses.scan_notices(table(spark, sf_dir, "documents"))
+
+
 @query("op6_language")
 def op6(spark, sf_dir):
     return language.fit_and_identify(table(spark, sf_dir, "documents"))
