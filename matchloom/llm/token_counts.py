@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import text_of, word_count
 
 GROUP = ["source", "lang", "tokenizer"]
+PART = "struct<source: string, lang: string, tokens: bigint, documents: bigint>"
 #: Tokenizer versions by what they count: runs of non-blanks; runs of letters, single digits and single marks.
 TOKENIZERS = {
     "words-1": lambda text: word_count(text),
@@ -32,7 +33,10 @@ class TokenRollup:
     * An insert of a known (document, tokenizer) is a revision: the old count leaves its old group, the new one enters.
     * Deletes of what is not there, and revisions to the same count and group, change nothing.
     * Null source or language is a group of its own. Rows without doc_id cannot be revised and are refused with an error.
-    * Several changes of one (document, tokenizer) in a batch: the largest by (tokens, source, lang) counts, a delete only
+    * A commit with ``repeated`` takes tables whose ids repeat or are null: all rows of a (document, tokenizer) in a batch
+      count, together replace what it had, and leave together. Rows without doc_id are inserts that later batches add
+      to; deletes without doc_id change nothing. The batch names them, so committing it again counts them once.
+    * Otherwise, of several changes of one (document, tokenizer) in a batch, the largest by (tokens, source, lang) counts, a delete only
       if there is no other. An empty batch is a batch like any other.
     """
 
@@ -48,20 +52,27 @@ class TokenRollup:
         return rows if before is None else rows.where(F.col("batch") < before)
 
     def state(self, before: int | None = None) -> DataFrame:
-        """Counts in force per (document, tokenizer), after the batches before ``before``."""
-        rows = self._read("state", "doc_id long, tokenizer string, source string, lang string, tokens long", before)
-        last = rows.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("batch", "tokens", "source", "lang")).alias("s"))
-        return last.where("s.tokens IS NOT NULL").select("doc_id", "tokenizer", "s.source", "s.lang", "s.tokens")
-
-    def commit(self, batch: int, changes: DataFrame) -> None:
-        named = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a change without doc_id"))).otherwise(F.col("doc_id")).cast("long")
-        one = changes.groupBy(named.alias("doc_id"), "tokenizer").agg(F.max(F.struct("tokens", "source", "lang")).alias("c"))
-        one = one.select("doc_id", "tokenizer", F.col("c.source").alias("source"), F.col("c.lang").alias("lang"), F.col("c.tokens").alias("tokens"))
-        one.write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
+        """Counts in force per (document, tokenizer) and group, after the batches before ``before``; rows without id are not listed."""
+        rows = self._read("state", f"doc_id long, tokenizer string, groups array<{PART}>", before).where("doc_id IS NOT NULL")
+        last = rows.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("batch", "groups")).alias("s"))
+        return last.select("doc_id", "tokenizer", F.inline("s.groups"))
+
+    def commit(self, batch: int, changes: DataFrame, repeated: bool = False) -> None:
+        if repeated:
+            parts = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer", "source", "lang").agg(
+                F.sum("tokens").alias("tokens"), F.count("tokens").alias("documents"))
+        else:
+            named = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a change without doc_id"))).otherwise(F.col("doc_id")).cast("long")
+            one = changes.groupBy(named.alias("doc_id"), "tokenizer").agg(F.max(F.struct("tokens", "source", "lang")).alias("c"))
+            parts = one.select("doc_id", "tokenizer", "c.source", "c.lang", "c.tokens", F.col("c.tokens").isNotNull().cast("long").alias("documents"))
+        # one list of groups per id, but none for all rows without id: those stay apart; an empty list is a delete
+        apart = F.when(F.col("doc_id").isNull(), F.struct("source", "lang"))
+        groups = F.filter(F.collect_list(F.struct("source", "lang", "tokens", "documents")), lambda g: g["documents"] > 0)
+        parts.groupBy("doc_id", "tokenizer", apart.alias("apart")).agg(groups.alias("groups")).drop("apart").write.mode("overwrite").parquet(f"{self.path}/state/batch={batch}")
         new = self.spark.read.parquet(f"{self.path}/state/batch={batch}")
-        old = self.state(before=batch).join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
-        signed = new.where("tokens IS NOT NULL").select(*GROUP, F.lit(1).alias("d"), F.col("tokens").alias("t")).unionByName(
-            old.select(*GROUP, F.lit(-1).alias("d"), (-F.col("tokens")).alias("t")))
+        old = self.state(before=batch).join(new.where("doc_id IS NOT NULL").select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        signed = new.select("tokenizer", F.inline("groups")).select(*GROUP, F.col("documents").alias("d"), F.col("tokens").alias("t")).unionByName(
+            old.select(*GROUP, (-F.col("documents")).alias("d"), (-F.col("tokens")).alias("t")))
         delta = signed.groupBy(*GROUP).agg(F.sum("d").cast("long").alias("documents"), F.sum("t").alias("tokens"))
         delta.write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
 
