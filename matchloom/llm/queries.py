@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, sharding, token_counts
+from matchloom.llm import decontamination, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, sharding, spelling, token_counts
 from matchloom.session import shared_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op10(spark, sf_dir):
     time = lambda i: F.get("positions", F.lit(i))
     return plan.select("doc_id", "size", "source_size", "target", "taken", time(0).alias("position"), time(1).alias("position_again")).orderBy(
         F.asc_nulls_last("position"), "doc_id")
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
