@@ -130,17 +130,14 @@ class Trie:
         Only as long as the row or one longer: of two near words the shorter one, or either of equal ones, finds the other.
         ``own``: nothing was spent, so it is the row's own leaf."""
         n = len(rows)
-        none = np.zeros(n, bool)
-        stack = [(1, np.arange(n), *self._child(0, np.zeros(n, np.int64), rows[:, 0]), none, none, none),
-                 (1, np.arange(n), *self._child(0, np.zeros(n, np.int64), rows[:, 0] + 1), none, none, ~none)]
+        start = np.repeat([False, True], n)
+        q = np.tile(np.arange(n), 2)
+        stack = [(1, *self._child(0, q, np.zeros(2 * n, np.int64), rows[q, 0] + start, np.zeros(2 * n, bool), np.zeros(2 * n, bool), start))]
         while stack:
-            level, q, node, found, plus, minus, longer = stack.pop()
-            q, node, plus, minus, longer = (x[found] for x in (q, node, plus, minus, longer))
+            level, q, node, plus, minus, longer = stack.pop()
             if len(q) > BLOCK:
-                for cut in (slice(None, len(q) // 2), slice(len(q) // 2, None)):
-                    stack.append((level, q[cut], node[cut], np.ones(len(q[cut]), bool), plus[cut], minus[cut], longer[cut]))
-                continue
-            if not len(q):
+                half = len(q) // 2
+                stack += [(level, *(x[cut] for x in (q, node, plus, minus, longer))) for cut in (slice(None, half), slice(half, None))]
                 continue
             leaf = self.leaf[level - 1][node]
             at = leaf >= 0
@@ -149,70 +146,68 @@ class Trie:
             q, node, plus, minus, longer = (x[~at] for x in (q, node, plus, minus, longer))
             if not len(q):
                 continue
-            node = self._inner(level - 1, node)
+            node = (np.cumsum(self.leaf[level - 1] < 0) - 1)[node]  # numbers among the inner nodes
             count = rows[q, level]
-            stack.append((level + 1, q, *self._child(level, node, count), plus, minus, longer))
-            more, less = np.flatnonzero(~plus), np.flatnonzero(~minus & ~longer & (count > 0))
-            if len(more):
-                stack.append((level + 1, q[more], *self._child(level, node[more], count[more] + 1), ~plus[more], minus[more], longer[more]))
-            if len(less):
-                stack.append((level + 1, q[less], *self._child(level, node[less], count[less] - 1), plus[less], ~minus[less], longer[less]))
-
-    def _inner(self, level: int, node: np.ndarray) -> np.ndarray:
-        """Numbers of inner nodes among the inner nodes of their level."""
-        return (np.cumsum(self.leaf[level] < 0) - 1)[node]
-
-    def _child(self, level: int, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            more, less = np.flatnonzero(~plus), np.flatnonzero(~(minus | longer) & (count > 0))
+            again = np.concatenate([np.arange(len(q)), more, less])
+            change = np.repeat([0, 1, -1], [len(q), len(more), len(less)])
+            stack.append((level + 1, *self._child(
+                level, q[again], node[again], count[again] + change, plus[again] | (change == 1), minus[again] | (change == -1), longer[again])))
+
+    def _child(self, level: int, q: np.ndarray, node: np.ndarray, count: np.ndarray, *spent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Goes on to the children with these counts; states without such a child end."""
         if level >= len(self.keys) or not len(self.keys[level]):
-            return np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+            return tuple(x[:0] for x in (q, node, *spent))
         key = node * self.span[level] + count
         at = np.minimum(np.searchsorted(self.keys[level], key), len(self.keys[level]) - 1)
-        return at, (self.keys[level][at] == key) & (count < self.span[level])
+        there = (self.keys[level][at] == key) & (count < self.span[level])
+        return tuple(x[there] for x in (q, at, *spent))
 
 
 @dataclass
 class Words:
-    """Words with their counts, vectors and, padded left and right, their code points."""
+    """Words with their counts and vectors; code points padded with 0 on the right and on the left, and their sums.
+
+    The words of a subtree have one length, its visitors that or one less, so the padding is small."""
 
     words: list[str]
     n: np.ndarray
     rows: np.ndarray
-    points: np.ndarray
-    begin: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    total: np.ndarray
 
     @staticmethod
-    def of(words: list[str], n: np.ndarray) -> Words:
+    def of(words: list[str], n: np.ndarray, width: int = 0) -> Words:
         points, length = code_points(words)
-        return Words(words, n, vectors(words), points, np.cumsum(length) - length)
+        width = max(width, int(length.max(initial=0)))
+        place = np.arange(len(points)) - np.repeat(np.cumsum(length) - length, length)
+        row = np.repeat(np.arange(len(words)), length)
+        left, right = np.zeros((len(words), width), np.uint32), np.zeros((len(words), width), np.uint32)
+        left[row, place] = points
+        right[row, place + width - length[row]] = points
+        return Words(words, n, vectors(words), left, right, left.sum(1, dtype=np.int64))
 
-    def padded(self, index: np.ndarray, width: int, right: bool) -> np.ndarray:
-        """Code points of some words as rows of ``width``; 0 fills the free end."""
-        length = self.rows[index, 0]
-        place = np.arange(width) - (width - length)[:, None] if right else np.broadcast_to(np.arange(width), (len(index), width))
-        inside = (place >= 0) & (place < length[:, None])
-        return np.where(inside, self.points[np.where(inside, place + self.begin[index][:, None], 0)], 0)
+    @property
+    def width(self) -> int:
+        return self.left.shape[1]
 
 
 def near(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
-    """Whether word ``j`` is word ``i`` with exactly one letter replaced, or one more; lengths are equal or one apart."""
+    """Whether word ``j`` is word ``i`` with exactly one letter replaced by a greater one, or one letter more; both have one width.
+
+    So of two near words exactly one meets the other. Words apart in one letter are ordered as the sums of their letters."""
+    length, gap = a.rows[i, 0], b.rows[j, 0] - a.rows[i, 0]
     out = np.zeros(len(i), bool)
-    length = a.rows[i, 0]
-    longer = b.rows[j, 0] > length
-    for flag in (False, True):
-        some = np.flatnonzero(longer == flag)
-        if not len(some):
-            continue
-        width = int(b.rows[j[some], 0].max())
-        step = max(1, (BLOCK * 16) // max(width, 1))
+    step = max(1, (BLOCK * 16) // max(a.width, 1))
+    for one, some in ((0, np.flatnonzero((gap == 0) & (a.total[i] < b.total[j]))), (1, np.flatnonzero(gap == 1))):
         for k in range(0, len(some), step):
             s = some[k : k + step]
-            differ = a.padded(i[s], width, False) != b.padded(j[s], width, False)
-            if not flag:
-                out[s] = differ.sum(1) == 1
+            differ = a.left[i[s]] != b.left[j[s]]
+            if one:
+                out[s] = differ.argmax(1) + (a.right[i[s]] != b.right[j[s]])[:, ::-1].argmax(1) >= length[s]
             else:
-                ahead = differ.argmax(1)
-                behind = (a.padded(i[s], width, True) != b.padded(j[s], width, True))[:, ::-1].argmax(1)
-                out[s] = ahead + behind >= length[s]
+                out[s] = differ.sum(1) == 1
     return out
 
 
@@ -240,38 +235,22 @@ class Subtree:
         self.own, self.rank = own, _rank(own.words)
         self.trie, self.order, self.bounds = Trie.of_vectors(own.rows)
 
-    def visit(self, who: Words, same: bool = False) -> Iterator[pa.RecordBatch]:
-        """What the visitors and the own words learn from each other; ``same``: the own words themselves come."""
+    def visit(self, who: Words) -> Iterator[pa.RecordBatch]:
+        """What the visitors (or the own words themselves) and the own words learn from each other."""
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         for q, leaf, _ in self.trie.reach(who.rows):
-            begin, end = self.bounds[0][leaf], self.bounds[1][leaf]
-            at = 0
-            size = end - begin
+            begin, size = self.bounds[0][leaf], self.bounds[1][leaf] - self.bounds[0][leaf]
             upto = np.cumsum(size)
-            while at < len(q):
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
-                for lo in range(0, int(size[at]) if to == at + 1 else 1, BLOCK):  # a large leaf alone goes in slices
-                    n = np.minimum(size[at:to] - lo, BLOCK) if to == at + 1 else size[at:to]
-                    i = np.repeat(q[at:to], n)
-                    j = self.order[np.arange(n.sum()) + np.repeat(begin[at:to] + lo - (np.cumsum(n) - n), n)]
-                    # of two words of one length the smaller one asks; a longer one is asked by the shorter
-                    gap = self.own.rows[j, 0] - who.rows[i, 0]
-                    spent = np.abs(self.own.rows[j, 1:] - who.rows[i, 1:]).sum(1)
-                    may = ((gap == 0) & (spent <= 2)) | ((gap == 1) & (spent == 1))
-                    i, j, gap = i[may], j[may], gap[may]
-                    ok = near(who, i, self.own, j)
-                    i, j, gap = i[ok], j[ok], gap[ok]
-                    if same:
-                        keep = (gap == 1) | (self.rank[i] < self.rank[j])
-                    else:
-                        keep = np.fromiter((g == 1 or who.words[x] < self.own.words[y] for g, x, y in zip(gap, i, j)), bool, len(i))
-                    if keep.any():
-                        hits.append((i[keep], j[keep]))
-                at = to
+            for lo in range(0, int(upto[-1]), 8 * BLOCK):  # pairs of a visitor and a word of a leaf, in blocks
+                pair = np.arange(lo, min(lo + 8 * BLOCK, int(upto[-1])))
+                state = np.searchsorted(upto, pair, "right")
+                i, j = q[state], self.order[pair - (upto - size)[state] + begin[state]]
+                ok = near(who, i, self.own, j)
+                hits.append((i[ok], j[ok]))
             if sum(len(h[0]) for h in hits) > 8 * BLOCK:
                 yield from self._told(who, hits)
                 hits = []
-        if hits:
+        if sum(len(h[0]) for h in hits):
             yield from self._told(who, hits)
 
     def _told(self, who: Words, hits: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +266,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         t = tree or (Subtree(_words(pa.concat_batches(pending))) if pending else None)
         if t is not None:
-            yield from t.visit(t.own, same=True)
+            yield from t.visit(t.own)
 
     for batch in batches:
         cells, own = batch.column("cell").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
@@ -303,12 +282,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending.append(part)
             elif pending:  # a subtree without words of its own has nothing to tell
                 tree = tree or Subtree(_words(pa.concat_batches(pending)))
-                yield from tree.visit(_words(part))
+                yield from tree.visit(_words(part, tree.own.width))
     yield from close()
 
 
-def _words(batch: pa.RecordBatch) -> Words:
-    return Words.of(batch.column("word").to_pylist(), batch.column("n").to_numpy())
+def _words(batch: pa.RecordBatch, width: int = 0) -> Words:
+    return Words.of(batch.column("word").to_pylist(), batch.column("n").to_numpy(), width)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +313,7 @@ def subtrees(counted: DataFrame, most: int) -> list[tuple[tuple[int, ...], int]]
         nodes = materialize(nodes.groupBy("level", "node", "parent").count(), "spelling-nodes")
         large = nodes.where(F.col("count") > most).select((F.col("level") + 1).alias("level"), F.col("node").alias("parent"))
         below = nodes.where(F.col("level") == level + 1).unionByName(nodes.join(sent_if_small(large), ["level", "parent"], "left_semi"))
-        for r in below.where((F.col("count") <= most) | (F.col("level") == LEVELS)).toLocalIterator():
+        for r in below.where((F.col("count") <= most) | (F.col("level") == LEVELS)).collect():
             out.append((tuple(map(int, r["node"].split("."))), -(-r["count"] // most)))
         level = deep[-1]
         left = nodes.where((F.col("level") == level) & (F.col("count") > most)).select(F.col("node").alias("open"))

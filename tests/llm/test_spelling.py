@@ -105,7 +105,7 @@ def test_search_reaches_every_near_word_and_compares_right():
     words = sorted(random_words(r, 1500, "abcdefé", 8))
     own = spelling.Words.of(words, np.arange(len(words)))
     total = Counter()
-    for b in spelling.Subtree(own).visit(own, same=True):
+    for b in spelling.Subtree(own).visit(own):
         for row in b.to_pylist():
             total[row["word"]] += row["n_near"]
     assert total and dict(total) == {w: k for w in words if (k := sum(one_edit(w, v) for v in words))}
