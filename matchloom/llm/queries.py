@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, sharding, spelling, token_counts
+from matchloom.llm import (
+    decontamination, exact_dedup, importance, language, licenses, mixing, ngram_join, pii, quality, sharding, spelling, token_counts, toxicity)
 from matchloom.session import shared_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,13 @@ def op10(spark, sf_dir):
 @query("op11_spelling_variants")
 def op11(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_importance_resampling")
+def op12(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
