@@ -1,45 +1,154 @@
-"""Keyed upserts on plain parquet: append a batch, read the newest row per key.
+"""Keyed upserts on plain parquet that stay cheap for as long as batches come.
 
-A batch is one ``batch=<n>`` folder, overwritten as a whole, so replaying it
-after a lost executor or a restarted stream changes nothing. Reading takes a
-combinable max per key; ``compact`` folds the batches into one.
+Rows lie in buckets of their key's hash. A batch writes one segment, a folder per bucket, and then one commit that lists
+the segments in force; readers take the newest commit, so they see whole batches only and go on with theirs whatever is
+written meanwhile. Equal-sized segments are folded into the next size, so there are few of them, and a read for some
+keys opens only those keys' buckets. Nothing is changed in place: a stopped writer leaves a folder that no commit names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from matchloom.operators.ranking import latest
+from matchloom.sources.commits import CommitLog
+
+REMEMBERED = 1024  # batches whose content a commit still knows
 
 
 class KeyedStore:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], newest_by: list[str] | None = None):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.by = newest_by or ["batch"]  # which row of a key wins
+    """Newest row per key.
+
+    ``newest_by``: columns that decide which row of a key wins (default: the batch). ``buckets``: into how many parts keys
+    are hashed, fixed when the store begins. ``fan``: so many segments of one size are folded into one of the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], newest_by: list[str] | None = None, buckets: int = 16, fan: int = 4):
+        self.spark, self.path, self.keys, self.buckets, self.fan = spark, path, keys, buckets, fan
+        self.by = newest_by or ["batch"]
+        self.log = CommitLog(spark, f"{path}/commits")
+
+    def state(self) -> dict | None:
+        """The newest commit: schema, buckets, segments and the contents of recent batches; None before the first batch."""
+        return self.log.latest()[1]
+
+    def has(self, batch: int) -> bool:
+        now = self.state()
+        return now is not None and (str(batch) in now["recent"] or (now["floor"] is not None and batch <= now["floor"]))
+
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, buckets: int) -> dict:
+        """One segment: the newest row per key, a task per bucket (keys are unique by now, so buckets are even)."""
+        name = uuid.uuid4().hex
+        newest = latest(rows, self.keys, self.by)
+        newest.withColumn("bucket", self._bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/seg={name}")
+        schema = StructType(list(newest.schema.fields)).add("bucket", IntegerType())
+        back = self.spark.read.schema(schema).parquet(f"{self.path}/data/seg={name}")
+        content = F.sum(F.xxhash64(*[c for c in newest.columns if c != "batch"]).cast("decimal(38,0)"))
+        per = back.groupBy("bucket").agg(F.count("*").alias("n"), content.alias("h")).collect()  # one row per bucket
+        return {"name": name, "buckets": sorted(r["bucket"] for r in per), "rows": sum(r["n"] for r in per),
+                "digest": f"{sum(r['n'] for r in per)}:{sum(int(r['h']) for r in per)}", "schema": newest.schema.json()}
 
     def upsert(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-    def read(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
-        """Newest row per key; ``only`` (key columns) restricts the read before any shuffle of the store, ``before`` to
-        the folders of earlier batches."""
-        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
-        if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        if only is not None:
-            rows = rows.join(only.select(*self.keys).distinct(), self.keys, "left_semi")
+        """Commits a batch as a whole. Committing it again changes nothing; other content under its number is refused."""
+        now = self.state()
+        seg = self._write(rows.withColumn("batch", F.lit(batch).cast("long")), now["n_buckets"] if now else self.buckets)
+        digest, schema = seg.pop("digest"), seg.pop("schema")
+
+        def step(now: dict | None) -> dict | None:
+            now = now or {"n_buckets": self.buckets, "schema": schema, "segments": [], "recent": {}, "floor": None}
+            known = now["recent"].get(str(batch))
+            if known == digest:
+                return None
+            if known is not None or (now["floor"] is not None and batch <= now["floor"]):
+                raise ValueError(f"batch {batch} is committed with other content, or too long ago to tell")
+            recent = {**now["recent"], str(batch): digest}
+            floor = now["floor"]
+            while len(recent) > REMEMBERED:
+                oldest = min(recent, key=int)
+                floor = int(oldest)
+                del recent[oldest]
+            new = [{**seg, "level": 0}] if seg["rows"] else []
+            return {**now, "recent": recent, "floor": floor, "segments": now["segments"] + new}
+
+        self.log.change(step)
+        self.fold()
+
+    def fold(self, everything: bool = False) -> None:
+        """Folds segments of one size while there are ``fan`` of them (or all into one); each fold is a commit of its own."""
+        while (now := self.state()) is not None:
+            levels: dict[int, list[dict]] = {}
+            for s in now["segments"]:
+                levels.setdefault(s["level"], []).append(s)
+            full = now["segments"] if everything else next((v for _, v in sorted(levels.items()) if len(v) >= self.fan), [])
+            if len(full) < 2:
+                return
+            merged = self._write(self._rows(now, full), now["n_buckets"])
+            names = {s["name"] for s in full}
+            new = {k: merged[k] for k in ("name", "buckets", "rows")} | {"level": max(s["level"] for s in full) + 1}
+
+            def step(later: dict | None) -> dict | None:
+                if not names <= {s["name"] for s in later["segments"]}:
+                    return None  # someone else folded them
+                return {**later, "segments": [new] + [s for s in later["segments"] if s["name"] not in names]}
+
+            self.log.change(step)
+
+    def _rows(self, now: dict, segments: list[dict], buckets: set[int] | None = None) -> DataFrame:
+        schema = StructType.fromJson(json.loads(now["schema"]))
+        paths = [f"{self.path}/data/seg={s['name']}/bucket={b}" for s in segments for b in s["buckets"] if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def read(self, only: DataFrame | None = None) -> DataFrame:
+        """Newest row per key. ``only`` (key columns): of these keys; files of other buckets are not opened."""
+        now = self.state()
+        if now is None:
+            raise ValueError(f"no batch has been committed to {self.path}")
+        if only is None:
+            rows = self._rows(now, now["segments"])
+        else:
+            wanted = only.select(*self.keys).distinct()
+            hit = {r["b"] for r in wanted.select(self._bucket(now["n_buckets"]).alias("b")).distinct().collect()}  # bucket numbers
+            rows = self._rows(now, now["segments"], hit).join(wanted, self.keys, "left_semi")
         return latest(rows, self.keys, self.by).drop("batch")
 
-    def read_or_empty(self, schema, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.read(only, before) if exists else self.spark.createDataFrame([], schema)
-
-    def compact(self, target: str) -> "KeyedStore":
-        self.read().write.mode("overwrite").parquet(f"{target}/batch=0")
-        return KeyedStore(self.spark, target, self.keys, self.by if self.by != ["batch"] else None)
+    def read_or_empty(self, schema, only: DataFrame | None = None) -> DataFrame:
+        return self.read(only) if self.state() is not None else self.spark.createDataFrame([], schema)
+
+    def compact(self, target: str | None = None) -> KeyedStore:
+        """Folds everything into one segment, or writes that to a new store."""
+        if target is None:
+            self.fold(everything=True)
+            return self
+        other = KeyedStore(self.spark, target, self.keys, self.by if self.by != ["batch"] else None, self.buckets, self.fan)
+        other.upsert(self.read(), 0)
+        return other
+
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Deletes segments that the newest commit does not name, and older commits, if they are older than so many seconds.
+
+        Readers and writers that take longer would lose their files."""
+        version, now = self.log.latest()
+        if now is None:
+            return 0
+        keep = {f"seg={s['name']}" for s in now["segments"]}
+        data = CommitLog(self.spark, f"{self.path}/data")
+        gone = [n for n in data.list(older_than=older_than) if n.startswith("seg=") and n not in keep]
+        for name in gone:
+            data.remove(name)
+        for name in self.log.list(older_than=older_than):
+            if name.endswith(".json") and int(name[:-5]) < version:
+                self.log.remove(name)
+        return len(gone)
 
 
 def merge(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
