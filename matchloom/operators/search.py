@@ -82,7 +82,7 @@ class _Allowed:
 
     def __call__(self, job) -> np.ndarray | None:
         ok = None
-        if self.levels is not None and (need := getattr(job, "need_level", None)):
+        if self.levels is not None and (need := getattr(job, "need_level", None)) and need == need:  # null is NaN here
             ok = self.levels >= need
         if self.places is not None and (place := getattr(job, "place", None)):
             if place not in self.known:

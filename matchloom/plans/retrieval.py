@@ -8,8 +8,11 @@ from matchloom.functions import scoring as sc
 from matchloom.functions import text as tx
 from matchloom.operators import search as se
 from matchloom.operators.facets import FILTERS, normalize_label, spaced
+from matchloom.operators.keyword_index import keyword_index
+from matchloom.operators.vector_index import VectorIndex, recall
 from matchloom.plans import duck as d
 from matchloom.plans.registry import query
+from matchloom.session import shared_dir
 
 IND = {"technology": "technology", "industrial": "manufacturing"}  # labels used by the job table
 
@@ -71,6 +74,26 @@ def _(i):
     return se.vector_top_k(q, i.candidate_vector(), 30)
 
 
+CELLS, PROBE = 32, 22  # the given vectors fill their space evenly, the worst case: two thirds of the cells for nine tenths of the hits
+
+
+def vector_index(i):
+    return VectorIndex.build(i.candidate_vector(), shared_dir(i.spark, "vector-index"), CELLS)
+
+
+@query("r01b_vector_index_all_cells", "SELECT job_id, candidate_id, score, rank FROM vec_hit WHERE rank <= 20", CT)
+def _(i):
+    """Through the index, reading every cell: the exact answer, with the search's filters."""
+    return vector_index(i).search(i.job_vector(), 20, CELLS)
+
+
+@query("r01c_vector_index_recall")
+def _(i):
+    """Share of the exact hits that the index finds in ``PROBE`` of ``CELLS`` cells, per k."""
+    jobs = i.job_vector()
+    return recall(vector_index(i).search(jobs, 30, PROBE), se.vector_top_k(jobs, i.candidate_vector(), 30), [1, 10, 30])
+
+
 @query("r02_vector_prefilter", "SELECT job_id, candidate_id, score, rank FROM vec_hit WHERE rank <= 20", CT)
 def _(i):
     return se.vector_top_k(i.job_vector(), i.candidate_vector(), 20)
@@ -109,6 +132,12 @@ def _(i):
     return se.keyword_top_k(i.job_doc(), se.pooled(i.candidate_doc()), 30)
 
 
+@query("r06b_keyword_index", "SELECT job_id, candidate_id, keyword_score, metadata_score, fusion_score, rank FROM kw_hit", CT)
+def _(i):
+    """The same hits from the stored index, which leaves out blocks whose best possible score is too low."""
+    return keyword_index(se.pooled(i.candidate_doc())).search(i.job_doc(), 30)
+
+
 @query("r07_keyword_overlap", f"SELECT job_id, candidate_id, {KW} AS keyword_score FROM {_PP}")
 def _(i):
     return pairs(i).select("job_id", "candidate_id", sc.keyword_score(F.col("pool"), F.col("terms")).alias("keyword_score"))
