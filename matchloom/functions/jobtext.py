@@ -247,17 +247,16 @@ def role_phrase(text: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(r), r) for r in ROLES])
 
 
-def roles(text: Column, phrase: Column, ontology_roles: list[str] = ()) -> Column:
-    """``ontology_roles``: role names of the user's ontology file, a short configuration list."""
+def roles(text: Column, phrase: Column, known: Column | None = None) -> Column:
+    """``known``: array of the ontology's role names that the text contains (``operators.containment``)."""
     def build(t):
-        extra = sorted(ontology_roles, key=len, reverse=True)
-        found = [phrase, *[F.when(t.contains(r), r) for r in extra]]
+        found = []
         for role, groups in ROLE_RULES:
             hit = F.lit(True)
             for words in groups:
                 hit = hit & _any(t, words)
             found.append(F.when(hit, role))
-        return F.array_distinct(F.array_compact(F.array(*found)))
+        return F.array_distinct(F.array_compact(F.concat(F.array(phrase), _empty() if known is None else known, F.array(*found))))
 
     return let(F.lower(text), build)
 
@@ -292,11 +291,11 @@ def skill_signals(required: Column) -> Column:
     return dedupe_signals(F.transform(required, lambda t: _signal(t, F.lit("must have"), "skill")))
 
 
-def capability_signals(text: Column, graded: Column, ontology_capabilities: list[str] = ()) -> Column:
+def capability_signals(text: Column, graded: Column, known: Column | None = None) -> Column:
+    """``known``: array of the ontology's capability phrases that the text contains (``operators.containment``)."""
     def build(t):
-        names = [F.when(t.contains(p), c) for p, c in CAPABILITY_HINTS.items()]
-        names += [F.when(t.contains(c), c) for c in sorted(ontology_capabilities, key=len, reverse=True)]
-        found = F.array_compact(F.array(*names))
+        names = F.array(*[F.when(t.contains(p), c) for p, c in CAPABILITY_HINTS.items()])
+        found = F.array_compact(F.concat(names, _empty() if known is None else known))
         return F.transform(found, lambda n: _signal(n, term_strength(n, graded, "familiarity"), "capability"))
 
     return dedupe_signals(let(F.lower(text), build))
@@ -436,8 +435,8 @@ def choose_terms(d: DataFrame) -> DataFrame:
     return out.withColumn("_related", compress(c("_related"), core_t, alias_t, MAX_RELATED))
 
 
-def finish(d: DataFrame, ontology_roles: list[str] = (), ontology_capabilities: list[str] = ()) -> DataFrame:
-    """All remaining profile columns; ``adjacent`` holds adjacent ontology skills when known."""
+def finish(d: DataFrame) -> DataFrame:
+    """All remaining profile columns; ``adjacent``, ``known_roles`` and ``known_capabilities`` hold the ontology's where known."""
     def col(n):
         return F.col(n) if n in d.columns else _empty()
 
@@ -445,8 +444,8 @@ def finish(d: DataFrame, ontology_roles: list[str] = (), ontology_capabilities:
     near = col("adjacent")
     override = c("category_override") if "category_override" in d.columns else F.lit(None).cast("string")
     d = d.withColumn("preferred_seniority", preferred_seniority(x)).withColumn("_phrase", role_phrase(x))
-    d = d.withColumn("roles", roles(x, c("_phrase"), ontology_roles)).withColumn("job_category", job_category(x, c("_phrase"), c("required_skills"), override))
-    d = d.withColumn("skill_signals", skill_signals(c("required_skills"))).withColumn("capability_signals", capability_signals(x, c("_graded"), ontology_capabilities))
+    d = d.withColumn("roles", roles(x, c("_phrase"), col("known_roles"))).withColumn("job_category", job_category(x, c("_phrase"), c("required_skills"), override))
+    d = d.withColumn("skill_signals", skill_signals(c("required_skills"))).withColumn("capability_signals", capability_signals(x, c("_graded"), col("known_capabilities")))
     d = d.withColumn("transferable_score", transferable_score(c("capability_signals"), F.size(F.array_distinct(near)), c("_related")))
     grown = F.concat(c("_related"), F.array_except(names_of(c("capability_signals")), c("required_skills")), near)
     d = d.withColumn("related_skills", compress(grown, col("core_terms"), col("alias_terms"), MAX_RELATED))

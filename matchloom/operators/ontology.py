@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
-from matchloom.operators.ranking import top_k
+from matchloom.operators.ranking import places, top_k
+from matchloom.session import materialize
 
 # Fixed values -----------------------------------------------------------
 MIN_KEY = 5  # shortest taxonomy key that may match inside a longer token
@@ -187,31 +188,45 @@ def normalize(entities: DataFrame, key: str, tokens: Column, ont: Ontology, orde
     return out.withColumn("taxonomy_applied", sum((F.size(n) for n in list(lists)[1:]), F.lit(0)) > 0)
 
 
-def adjacent_skills(seeds: DataFrame, taxonomy: DataFrame, key: str, limit: int = 12, max_seeds: int = 18, order: str = "skill") -> DataFrame:
-    """(key, n, skill, evidence): skills sharing a seed's domain, else family, else parent.
+PAGE = 32  # members of a domain, family or parent that are met at once
 
-    Only the first ``limit + max_seeds`` members of any domain, family or
-    parent in taxonomy order can reach the answer (at most ``max_seeds`` are
-    excluded as seeds), so each group is cut to those before the join and no
-    group is paired with itself.
+
+def adjacent_skills(seeds: DataFrame, taxonomy: DataFrame, key: str, limit: int = 12, order: str = "skill") -> DataFrame:
+    """(key, n, skill, evidence): skills sharing a seed's domain, else family, else parent, seed by seed, until ``limit``.
+
+    Any number of seeds: of a group that holds s of the entity's seeds only the first ``limit + s`` members in taxonomy
+    order can matter, and seeds are passed over once the groups of those before them surely fill the answer. Members are
+    numbered and joined in pages, so a group is met only as far as that.
     """
-    k = limit + max_seeds
     own = taxonomy.select("skill", F.col(order).alias("_o"), "domain", "family", "parents")
     s = seeds.join(own.withColumnRenamed("skill", "seed"), seeds["skill"] == F.col("seed")).select(key, "pos", "seed", "domain", "family", "parents")
 
-    def members(col: Column, rank: int, why: str) -> DataFrame:
-        long = own.select("skill", "_o", F.explode(col).alias("tag")).where("tag is not null and tag <> ''")
-        return top_k(long, ["tag"], [F.asc("_o")], k, "_r").select("tag", "skill", "_o", F.lit(rank).alias("kind"), F.lit(why).alias("why"))
-
-    vocab = members(F.array("domain"), 1, "domain").unionByName(members(F.array("family"), 2, "family")).unionByName(members(F.col("parents"), 3, "parent"))
-    wanted = s.select(key, "pos", "seed", F.explode(F.concat(
-        F.array(F.struct(F.lit(1).alias("kind"), F.col("domain").alias("tag")), F.struct(F.lit(2).alias("kind"), F.col("family").alias("tag"))),
-        F.transform("parents", lambda p: F.struct(F.lit(3).alias("kind"), p.alias("tag"))))).alias("w")).select(key, "pos", "seed", "w.kind", "w.tag")
-    pairs = wanted.join(vocab, ["kind", "tag"]).join(s.select(key, F.col("seed").alias("skill")), [key, "skill"], "left_anti")
-    best = pairs.groupBy(key, "pos", "seed", "skill", "_o").agg(F.min(F.struct("kind", "tag", "why")).alias("b"))
+    def groups() -> Column:
+        def one(kind, tag):
+            return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"))
+
+        return F.array_distinct(F.concat(F.array(one(1, F.col("domain")), one(2, F.col("family"))), F.coalesce(F.transform("parents", lambda p: one(3, p)), F.array().cast(
+            "array<struct<kind:int,tag:string>>"))))
+
+    listed = own.select("skill", "_o", F.explode(groups()).alias("g")).where("g.tag <> ''").select(F.concat_ws(":", "g.kind", "g.tag").alias("gid"), "_o", "skill")
+    numbered = materialize(places(listed, "gid", [F.asc("_o"), F.asc("skill")], "place"), "adjacent-members")
+    sizes = numbered.groupBy("gid").agg(F.max("place").alias("members"))
+    wanted = s.select(key, "pos", "seed", F.explode(groups()).alias("g")).where("g.tag <> ''").select(
+        key, "pos", "seed", "g.kind", "g.tag", F.concat_ws(":", "g.kind", "g.tag").alias("gid"))
+    mine = wanted.groupBy(key, "gid").agg(F.count_distinct("seed").alias("mine"))
+    met = wanted.join(mine, [key, "gid"]).join(sizes, "gid").where("members > mine")
+    yields = met.groupBy(key, "pos").agg(F.max(F.col("members") - F.col("mine")).alias("sure"))
+    ahead = F.sum("sure").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # one row per seed
+    needed = yields.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < limit).select(key, "pos")
+    paged = met.join(needed, [key, "pos"]).withColumn("most", F.col("mine") + limit).withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / PAGE))))
+    vocab = numbered.select("gid", "place", "skill", "_o", F.floor((F.col("place") - 1) / PAGE).alias("page"))
+    pairs = paged.join(vocab, ["gid", "page"]).where("place <= most").join(s.select(key, F.col("seed").alias("skill")).distinct(), [key, "skill"], "left_anti")
+    best = pairs.groupBy(key, "pos", "seed", "skill", "_o").agg(F.min(F.struct("kind", "tag")).alias("b"))
     kept = top_k(best, [key], [F.asc("pos"), F.asc("_o")], limit, "n")
+    why = F.element_at(F.array(F.lit("domain"), F.lit("family"), F.lit("parent")), F.col("b.kind"))
     return kept.select(key, "n", "skill", F.concat(
-        "skill", F.lit(" is adjacent to "), "seed", F.lit(" via shared "), "b.why", F.lit(" '"), "b.tag", F.lit("'.")).alias("evidence"))
+        "skill", F.lit(" is adjacent to "), "seed", F.lit(" via shared "), why, F.lit(" '"), "b.tag", F.lit("'.")).alias("evidence"))
 
 
 def relation_profile(tokens: DataFrame, taxonomy: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -262,8 +277,8 @@ def ngram_hits(texts: DataFrame, key: str, vocab: DataFrame, max_n: int = 4) ->
     return long.join(vocab, "alias").groupBy(key, "canonical").agg(F.min("pos").alias("pos"))
 
 
-def alias_hints(texts: DataFrame, key: str, vocab: DataFrame, limit: int = 30) -> DataFrame:
-    """(key, hints): canonical names of aliases that stand free in the text, longest aliases first.
+def alias_hints(texts: DataFrame, key: str, vocab: DataFrame, limit: int | None = 30) -> DataFrame:
+    """(key, hints): canonical names of aliases that stand free in the text, longest aliases first; None: all of them.
 
     Candidates come from a hash join of the text's word 1..3-grams with each
     alias's first three words; the boundary test then runs once per text.
@@ -284,4 +299,4 @@ def alias_hints(texts: DataFrame, key: str, vocab: DataFrame, limit: int = 30) -
     def free(t):
         return F.filter("c", lambda e: F.rlike(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), e["alias"], F.lit(r"\E(?![a-z0-9])"))))
 
-    return texts.join(per, key).select(key, F.array_distinct(F.transform(F.slice(tx.let(compact, free), 1, limit), lambda e: e["canonical"])).alias("hints")).where(F.size("hints") > 0)
+    return texts.join(per, key).select(key, F.array_distinct(F.transform(tx.first_items(tx.let(compact, free), limit), lambda e: e["canonical"])).alias("hints")).where(F.size("hints") > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import jobtext as jt
 from matchloom.operators import ontology as on
+from matchloom.operators.containment import contained, listed
 from matchloom.operators.ranking import top_k
 from matchloom.session import materialize
 
@@ -16,8 +17,15 @@ def _arrays(rows: DataFrame, value: str, out: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))), lambda e: e["v"]).alias(out))
 
 
-def ontology_profile(jobs: DataFrame, ont: on.Ontology, roles: list[str] = (), capabilities: list[str] = (), order: str = "skill") -> DataFrame:
-    """Profile per job text with ontology terms, normalised seeds and adjacent skills."""
+def with_known(jobs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+    """The jobs with the ontology tokens (table ``token``) that stand in their text, as the array ``name``."""
+    found = contained(jobs, "job_id", F.lower("text"), tokens, "token")
+    return listed(found, jobs, "job_id", "token", name)
+
+
+def ontology_profile(jobs: DataFrame, ont: on.Ontology, roles: DataFrame | None = None, capabilities: DataFrame | None = None, order: str = "skill") -> DataFrame:
+    """Profile per job text with ontology terms, normalised seeds and adjacent skills. ``roles``, ``capabilities``: tables
+    with ``token``; the ontology's own by default."""
     vocab = ont.alias_map.select("alias", "canonical").unionByName(ont.taxonomy.select(F.col("skill").alias("alias"), F.col("skill").alias("canonical"))).dropDuplicates(["alias"])
     hits = on.ngram_hits(jobs.select("job_id", "text"), "job_id", vocab).where(~F.col("canonical").isin(jt.STOPWORDS))
     empty = F.array().cast("array<string>")
@@ -39,9 +47,10 @@ def ontology_profile(jobs: DataFrame, ont: on.Ontology, roles: list[str] = (), c
     d = materialize(jt.choose_terms(d), "profile-choice")
     seeds = on.canonicalize(on.explode_tokens(d, "job_id", F.col("required_skills")), ont.alias_map, "job_id").withColumnRenamed("canonical", "skill")
     seeds = seeds.join(ont.taxonomy.select("skill"), "skill", "left_semi").select("job_id", "pos", "skill")
-    near = on.adjacent_skills(seeds, ont.taxonomy, "job_id", 10, jt.MAX_REQUIRED, order).withColumnRenamed("n", "pos")
+    near = on.adjacent_skills(seeds, ont.taxonomy, "job_id", 10, order).withColumnRenamed("n", "pos")
     d = d.join(_arrays(near, "skill", "adjacent"), "job_id", "left").withColumn("adjacent", F.array_distinct(F.coalesce("adjacent", empty)))
-    return jt.finish(d, roles, capabilities)
+    d = with_known(d, roles if roles is not None else ont.roles, "known_roles")
+    return jt.finish(with_known(d, capabilities if capabilities is not None else ont.capabilities, "known_capabilities"))
 
 
 def query_terms(seeds: DataFrame, alias_map: DataFrame, limit: int = 32, extra: int = 12) -> DataFrame:

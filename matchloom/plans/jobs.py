@@ -169,9 +169,15 @@ CT["j_role"] = f"SELECT job_id, text, {_PHRASE} AS phrase, {_ROLES} AS r FROM jo
 CT["j_roles"] = f"SELECT job_id, text, phrase, {d.dedupe('r')} AS roles FROM j_role"
 
 
+def tokens(i, names):
+    """An ontology's names as the table they are kept in."""
+    return i.spark.createDataFrame([(n,) for n in names], "token string")
+
+
 def roled(i):
     t = texts(i).withColumn("phrase", jt.role_phrase(F.col("text")))
-    return t.withColumn("roles", jt.roles(F.col("text"), F.col("phrase"), _XROLES))
+    t = pf.with_known(t, tokens(i, _XROLES), "known_roles")
+    return t.withColumn("roles", jt.roles(F.col("text"), F.col("phrase"), F.col("known_roles")))
 
 
 @query("j12_roles", f"SELECT job_id, phrase, {d.join('roles')} AS roles FROM j_roles", CT)
@@ -197,8 +203,9 @@ CT["j_cap"] = f"""SELECT job_id, i, name, coalesce((SELECT max(p) FROM j_sent z
 
 def signals(i):
     t = known(i).withColumn("req", jt.compress(F.col("_filtered"), F.col("core_terms"), F.array().cast("array<string>"), 18))
-    t = t.withColumn("phrase", jt.role_phrase(F.col("text"))).withColumn("roles", jt.roles(F.col("text"), F.col("phrase"), _XROLES))
-    return t.withColumn("skills", jt.skill_signals(F.col("req"))).withColumn("caps", jt.capability_signals(F.col("text"), F.col("_graded"), _CAPS))
+    t = pf.with_known(pf.with_known(t, tokens(i, _XROLES), "known_roles"), tokens(i, _CAPS), "known_capabilities")
+    t = t.withColumn("phrase", jt.role_phrase(F.col("text"))).withColumn("roles", jt.roles(F.col("text"), F.col("phrase"), F.col("known_roles")))
+    return t.withColumn("skills", jt.skill_signals(F.col("req"))).withColumn("caps", jt.capability_signals(F.col("text"), F.col("_graded"), F.col("known_capabilities")))
 
 
 @query("j14_capability_signals", f"SELECT job_id, name, {NAME.format('greatest(p, 1)')} AS strength FROM j_cap", CT)
@@ -296,7 +303,7 @@ def _(i):
 
 @query("j23b_ontology_profile")
 def _(i):
-    return _flat(pf.ontology_profile(i.job_text(), sk.ontology(i), _XROLES, _CAPS))
+    return _flat(pf.ontology_profile(i.job_text(), sk.ontology(i), tokens(i, _XROLES), tokens(i, _CAPS)))
 
 
 @query("j24_fallback_gate", "SELECT job_id, CASE WHEN confidence < 0.62 THEN 'low_confidence' WHEN u > 0.55 THEN 'high_unknown_ratio' END AS reason FROM (SELECT job_id, confidence - (s_suppkey % 4) * 0.1 AS confidence, (s_suppkey % 3) * 0.3 AS u FROM j_conf JOIN job USING (job_id))", CT)
