@@ -153,26 +153,38 @@ def term_match(pool: Column, target: Column) -> Column:
 
 
 def soft_overlap(pool: Column, targets: Column) -> Column:
-    """Mean term_match over the targets; both arguments come from with_words."""
-    total = F.aggregate(targets, F.lit(0.0), lambda s, t: s + term_match(pool, t))
+    """Mean term_match over the targets; both arguments come from with_words.
+
+    Members of the pool that share no word with any target, nor are one, count nothing and are left out first."""
+    wanted = F.struct(F.array_distinct(F.flatten(F.transform(targets, lambda t: t["w"]))).alias("w"), F.transform(targets, lambda t: t["t"]).alias("t"))
+    near = let(wanted, lambda v: F.filter(pool, lambda c: F.arrays_overlap(v["w"], c["w"]) | F.array_contains(v["t"], c["t"])))
+    total = let(near, lambda some: F.aggregate(targets, F.lit(0.0), lambda s, t: s + term_match(some, t)))
     return F.when(F.size(targets) > 0, total / F.size(targets)).otherwise(F.lit(0.0))
 
 
-def skill_overlap(core: Column, expanded: Column, normalized: Column, required: Column, extra: Column, targets: int | None = None) -> Column:
-    """struct(score, core_overlap, expanded_overlap, normalized_overlap). ``targets``: terms of the job that count (None: all)."""
+def candidate_terms(core: Column, expanded: Column, normalized: Column) -> Column:
+    """A candidate's skills as skill_overlap reads them; the same for all jobs, so made before candidates meet jobs."""
+    return F.struct(with_words(skill_set(core)).alias("c"), with_words(skill_set(expanded)).alias("e"), with_words(skill_set(normalized)).alias("n"))
+
+
+def job_terms(required: Column, extra: Column, targets: int | None = None) -> Column:
+    """A job's skills as skill_overlap reads them. ``targets``: terms of the job that count (None: all)."""
     req = first_items(required, targets)
-    wide = first_items(skill_set(F.concat(req, extra)), targets)
-
-    def blend(p):
-        c, e, n = soft_overlap(p["c"], p["r"]), soft_overlap(p["e"], p["x"]), soft_overlap(p["n"], p["r"])
-        return let(F.struct(c.alias("c"), e.alias("e"), n.alias("n"), (F.size(p["c"]) > 0).alias("h")), lambda v: F.struct(
-            F.when(v["h"], 0.45 * v["c"] + 0.35 * v["e"] + 0.2 * v["n"]).otherwise(0.5 * v["n"] + 0.5 * v["e"]).alias("score"),
-            v["c"].alias("core_overlap"), v["e"].alias("expanded_overlap"), v["n"].alias("normalized_overlap")))
-
-    packed = F.struct(
-        with_words(skill_set(core)).alias("c"), with_words(skill_set(expanded)).alias("e"), with_words(skill_set(normalized)).alias("n"),
-        with_words(skill_set(req)).alias("r"), with_words(wide).alias("x"))
-    return let(packed, blend)
+    return F.struct(with_words(skill_set(req)).alias("r"), with_words(first_items(skill_set(F.concat(req, extra)), targets)).alias("x"))
+
+
+def prepared_overlap(candidate: Column, job: Column) -> Column:
+    """struct(score, core_overlap, expanded_overlap, normalized_overlap) of candidate_terms and job_terms."""
+    c, e, n = soft_overlap(candidate["c"], job["r"]), soft_overlap(candidate["e"], job["x"]), soft_overlap(candidate["n"], job["r"])
+    return let(F.struct(c.alias("c"), e.alias("e"), n.alias("n"), (F.size(candidate["c"]) > 0).alias("h")), lambda v: F.struct(
+        F.when(v["h"], 0.45 * v["c"] + 0.35 * v["e"] + 0.2 * v["n"]).otherwise(0.5 * v["n"] + 0.5 * v["e"]).alias("score"),
+        v["c"].alias("core_overlap"), v["e"].alias("expanded_overlap"), v["n"].alias("normalized_overlap")))
+
+
+def skill_overlap(core: Column, expanded: Column, normalized: Column, required: Column, extra: Column, targets: int | None = None) -> Column:
+    """prepared_overlap of skills that stand in one row."""
+    packed = F.struct(candidate_terms(core, expanded, normalized).alias("a"), job_terms(required, extra, targets).alias("b"))
+    return let(packed, lambda p: prepared_overlap(p["a"], p["b"]))
 
 
 def experience_fit(years: Column, required: Column) -> Column:

@@ -9,6 +9,24 @@ from matchloom.functions import scoring as sc
 from matchloom.operators.ranking import places, top_k
 
 
+def prepared_candidates(docs: DataFrame) -> DataFrame:
+    """Candidate documents with ``candidate_terms``, which match_scores takes instead of making them for every pair."""
+    return docs.withColumn("candidate_terms", sc.candidate_terms(F.col("core_skills"), F.col("expanded_skills"), F.col("skills")))
+
+
+def prepared_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs with ``job_terms``, likewise."""
+    return jobs.withColumn("job_terms", sc.job_terms(F.col("required_skills"), F.col("related_skills")))
+
+
+def overlap(pairs: DataFrame) -> Column:
+    """The skill overlap of each pair, from prepared terms where both sides have them."""
+    c = F.col
+    if {"candidate_terms", "job_terms"} <= set(pairs.columns):
+        return sc.prepared_overlap(c("candidate_terms"), c("job_terms"))
+    return sc.skill_overlap(c("core_skills"), c("expanded_skills"), c("skills"), c("required_skills"), c("related_skills"))
+
+
 def match_scores(pairs: DataFrame) -> DataFrame:
     """Deterministic scores of (job, candidate) rows.
 
@@ -18,11 +36,11 @@ def match_scores(pairs: DataFrame) -> DataFrame:
     """
     c = F.col
     pool = sc.lower_set(c("skills"), c("core_skills"), c("expanded_skills"))
-    staged = pairs.withColumn("_o", sc.skill_overlap(c("core_skills"), c("expanded_skills"), c("skills"), c("required_skills"), c("related_skills")))
+    staged = pairs.withColumn("_o", overlap(pairs))
     staged = staged.withColumn("_d", sc.deterministic_score(
         c("raw_score"), c("_o.score"), c("experience_years"), c("min_years"), c("seniority_level"), c("preferred_seniority"), c("job_category") == c("category")))
     return staged.withColumn("_m", sc.must_have(c("required_skills"), pool, c("adjacent_score"))).select(
-        *pairs.columns, c("_o.score").alias("skill_overlap"), c("_o.core_overlap").alias("core_overlap"), c("_o.expanded_overlap").alias("expanded_overlap"),
+        *[n for n in pairs.columns if n not in ("candidate_terms", "job_terms")], c("_o.score").alias("skill_overlap"), c("_o.core_overlap").alias("core_overlap"), c("_o.expanded_overlap").alias("expanded_overlap"),
         c("_o.normalized_overlap").alias("normalized_overlap"), c("_d.score").alias("deterministic_score"), c("_d.semantic_similarity").alias("semantic_similarity"),
         c("_d.experience_fit").alias("experience_fit"), c("_d.seniority_fit").alias("seniority_fit"), c("_d.category_fit").alias("category_fit"),
         c("_m.rate").alias("must_have_rate"), c("_m.penalty").alias("must_have_penalty"))

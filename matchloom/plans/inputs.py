@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
+from matchloom.operators.matching import prepared_candidates, prepared_jobs
 from matchloom.operators.ranking import top_k
 
 
@@ -185,8 +186,8 @@ class Inputs:
             F.round(F.max("o_totalprice") / 1000000, 8).alias("raw_score"), F.count("*").alias("n_applications"))
 
     def pair_doc(self) -> DataFrame:
-        jobs = self.job_doc().withColumnRenamed("category", "job_category")
-        return self.even(self.pair().join(jobs, "job_id").join(self.candidate_doc(), "candidate_id"), "job_id", "candidate_id")
+        jobs = prepared_jobs(self.job_doc().withColumnRenamed("category", "job_category"))
+        return self.even(self.pair().join(jobs, "job_id").join(prepared_candidates(self.candidate_doc()), "candidate_id"), "job_id", "candidate_id")
 
     # -- vectors ----------------------------------------------------------
     def candidate_vector(self) -> DataFrame:

@@ -14,6 +14,7 @@ from matchloom.operators import matching as ma
 from matchloom.operators import ontology as on
 from matchloom.operators.ranking import top_k
 from matchloom.plans import duck as d
+from matchloom.plans import fairness as pfair
 from matchloom.plans import retrieval as rt
 from matchloom.plans.registry import query
 from matchloom.session import materialize
@@ -222,7 +223,7 @@ def _(i):
 
 @query("k03_skill_overlap", "SELECT job_id, candidate_id, round(skill_overlap, 6) AS skill_overlap, round(core_overlap, 6) AS core_overlap, round(expanded_overlap, 6) AS expanded_overlap, round(normalized_overlap, 6) AS normalized_overlap FROM k_overlap", CT)
 def _(i):
-    o = sc.skill_overlap(F.col("core_skills"), F.col("expanded_skills"), F.col("skills"), F.col("required_skills"), F.col("related_skills"))
+    o = ma.overlap(i.pair_doc())
     names = ["core_overlap", "expanded_overlap", "normalized_overlap"]
     return i.pair_doc().select(*P, o.alias("o")).select(*P, sc.rnd(F.col("o.score"), 6).alias("skill_overlap"), *[sc.rnd(F.col(f"o.{n}"), 6).alias(n) for n in names])
 
@@ -504,8 +505,18 @@ def constrained(i):
     return i.job_doc().join(needs, "job_id"), i.job_vector().join(needs, "job_id"), i.candidate_doc().join(has, "candidate_id"), i.candidate_vector().join(has, "candidate_id")
 
 
-def match_all(i, jobs):
-    """(job_id, candidate_id, score, evaluated, position, warnings) for jobs given as profiles (columns of ``job_doc``)."""
+def explanation():
+    """What a match says about itself: grounded in the agents' scores where they judged it, else in the deterministic ones."""
+    c = F.col
+    plain = sc.deterministic_explanation(
+        c("required_skills"), c("skills"), *[c(n) for n in ("semantic_similarity", "skill_overlap", "experience_fit", "seniority_fit", "must_have_rate")])
+    judged = sc.grounded_explanation(
+        c("required_skills"), c("skills"), {k: c(f"agent_{k}") for k in sc.DIMENSIONS}, {k: c(f"weight_{k}") for k in sc.DIMENSIONS})
+    return F.when(c("evaluated"), judged).otherwise(plain)
+
+
+def match_rows(i, jobs):
+    """Every job's shortlist with scores, place and explanation, for jobs given as profiles (columns of ``job_doc``)."""
     from matchloom.operators.search import hybrid_search, pooled
     _, vectors, docs, items = constrained(i)
     hits = materialize(hybrid_search(jobs, vectors, docs, items, WIDE), "match-hits")  # one search, read by three steps
@@ -515,23 +526,49 @@ def match_all(i, jobs):
     cover = hits.where("rank = 1").select(*P).join(jobs.select("job_id", "required_skills"), "job_id").join(pooled(i.candidate_doc()).select("candidate_id", "pool"), "candidate_id")
     gate = ma.rerank_gate(hits, query, cover.select(*P, sc.share(F.array_intersect(req, F.col("pool")), req).alias("coverage")))
     short = materialize(ma.shortlist(hits, gate, relevance(i, hits), SHORT).select(*P, F.col("score").alias("raw_score")), "match-short")
-    wanted = jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms")
-    found = i.candidate_doc().join(short.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    wanted = ma.prepared_jobs(jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms"))
+    found = ma.prepared_candidates(i.candidate_doc().join(short.select("candidate_id").distinct(), "candidate_id", "left_semi"))
     full = materialize(short.join(wanted, "job_id").join(found, "candidate_id"), "match-pairs")
     m = ma.agent_scores(ma.match_scores(with_adjacent(i, full, found, jobs)))
     det = sc.rnd(ma.penalised(F.col("deterministic_score"), F.col("must_have_penalty")), 6)
     blend = sc.rnd(ma.penalised(sc.final_rank(F.col("deterministic_score"), F.col("agent_weighted")), F.col("must_have_penalty")), 6)
     done = ma.judged(m.withColumn("rank_score", det).withColumn("blend_score", blend), JUDGED)
     place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("evaluated"), F.desc("score"), "candidate_id"))
-    codes = fr.row_codes(F.col("summary"), F.lit(""), F.col("weight_culture"), F.col("agent_culture"), F.col("must_have_rate"), F.col("score"))
-    return done.select(*P, sc.r4(F.col("score")).alias("score"), "evaluated", place.cast("long").alias("position"), F.array_join(codes, "|").alias("warnings"))
+    return done.withColumn("position", place.cast("long")).withColumn("explanation", explanation())
+
+
+def match_all(i, jobs):
+    """(job_id, candidate_id, score, evaluated, position, warnings)."""
+    codes = fr.row_codes(F.col("summary"), F.col("explanation"), F.col("weight_culture"), F.col("agent_culture"), F.col("must_have_rate"), F.col("score"))
+    return match_rows(i, jobs).select(*P, sc.r4(F.col("score")).alias("score"), "evaluated", "position", F.array_join(codes, "|").alias("warnings"))
 
 
 @query("k33_match_all_jobs", f"""
 SELECT job_id, candidate_id, round(score, 4) AS score, evaluated, row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position,
- concat_ws('|', CASE WHEN culture > 0.2 THEN 'culture_weight_over_cap' END, CASE WHEN must_have_rate < 0.5 AND agent_culture > 0.7 AND score >= 0.7 THEN 'must_have_underfit_high_culture' END) AS warnings FROM (
+ concat_ws('|', CASE WHEN len(regexp_extract_all(lower(said), {d.q(tx.SENSITIVE_RE)}, 1)) > 0 THEN 'sensitive_term_in_candidate_explanation' END,
+  CASE WHEN culture > 0.2 THEN 'culture_weight_over_cap' END, CASE WHEN must_have_rate < 0.5 AND agent_culture > 0.7 AND score >= 0.7 THEN 'must_have_underfit_high_culture' END) AS warnings FROM (
  SELECT *, er <= {JUDGED} AS evaluated, round(CASE WHEN er <= {JUDGED} THEN greatest(0.0, least(1.0, (deterministic_score * 0.30 + agent_weighted * 0.70) * (1.0 - must_have_penalty))) ELSE rank_score END, 6) AS score FROM (
-  SELECT f.*, agent_weighted, agent_culture, w.f3 AS culture, row_number() OVER (PARTITION BY job_id ORDER BY round(rank_score, 6) DESC, candidate_id) AS er FROM k_final f
-  JOIN (SELECT job_id, candidate_id, agent_weighted, agent_culture FROM k_agent) g USING (job_id, candidate_id) JOIN k_weights w USING (job_id)))""", CT33)
+  SELECT f.*, agent_weighted, agent_culture, w.f3 AS culture, said, row_number() OVER (PARTITION BY job_id ORDER BY round(rank_score, 6) DESC, candidate_id) AS er FROM k_final f
+  JOIN (SELECT job_id, candidate_id, agent_weighted, agent_culture FROM k_agent) g USING (job_id, candidate_id) JOIN k_weights w USING (job_id)
+  JOIN (SELECT job_id, candidate_id, concat_ws(' ', summary, {sentence_sql()}) AS said FROM k_sent) t USING (job_id, candidate_id)))""", CT33)
 def _(i):
     return match_all(i, constrained(i)[0])
+
+
+CT33B = {**CT33, **pfair.CT, "g_rank": f"""
+SELECT job_id, candidate_id, summary, explanation, culture AS culture_weight, agent_culture AS culture_confidence, must_have_rate, score, seniority_level, preferred_seniority,
+ row_number() OVER (PARTITION BY job_id ORDER BY evaluated DESC, score DESC, candidate_id) AS position FROM (
+ SELECT *, round(CASE WHEN evaluated THEN greatest(0.0, least(1.0, (deterministic_score * 0.30 + agent_weighted * 0.70) * (1.0 - must_have_penalty))) ELSE rank_score END, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(rank_score, 6) DESC, candidate_id) <= {JUDGED} AS evaluated FROM (
+   SELECT f.* EXCLUDE (summary), agent_weighted, agent_culture, w.f3 AS culture, t.summary, t.explanation FROM k_final f
+   JOIN (SELECT job_id, candidate_id, agent_weighted, agent_culture FROM k_agent) g USING (job_id, candidate_id) JOIN k_weights w USING (job_id)
+   JOIN (SELECT job_id, candidate_id, summary, {sentence_sql()} AS explanation FROM k_sent) t USING (job_id, candidate_id))))"""}
+
+
+@query("k33b_match_audit", " UNION ALL ".join(f"SELECT {', '.join(pfair.COLS)} FROM {t}" for t in ("g_q", "g_c", "g_w", "g_u", "g_s")), CT33B)
+def _(i):
+    """The warnings of the whole run: on the job texts, on every match, and on what a job's top results have in common."""
+    m = match_rows(i, constrained(i)[0]).select(
+        *P, "position", "summary", "explanation", F.col("weight_culture").alias("culture_weight"), F.col("agent_culture").alias("culture_confidence"), "must_have_rate", "score",
+        "seniority_level", "preferred_seniority")
+    return fr.audit(i.job_text(), m, SHORT).select(pfair.COLS)

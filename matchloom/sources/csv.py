@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
+from matchloom.operators.ranking import places
 
 RESUME = "ID string, Resume_str string, Resume_html string, Category string"
 PEOPLE = "person_id long, name string, email string, phone string, linkedin string"
@@ -68,6 +69,14 @@ def listed(rows: DataFrame, key: str, columns: list[str], most: int = 10_000) ->
     return lists.select(key, F.transform("_items", keep).alias("items"))
 
 
+def listed_pieces(rows: DataFrame, key: str, columns: list[str], piece: int = 10_000) -> DataFrame:
+    """(key, piece, items): as ``listed``, but a key with more than ``piece`` rows has several arrays, numbered from 0 in order."""
+    placed = places(rows.select(key, "pos", *columns), key, [F.asc("pos")], "_at").withColumn("piece", F.floor((F.col("_at") - 1) / piece).cast("long"))
+    lists = placed.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("_items"))
+    keep = (lambda e: e[columns[0]]) if len(columns) == 1 else (lambda e: F.struct(*[e[c].alias(c) for c in columns]))
+    return lists.select(key, "piece", F.transform("_items", keep).alias("items"))
+
+
 def union_sources(*parts: DataFrame) -> DataFrame:
     """Concatenation without deduplication; ids carry their source prefix."""
     out = parts[0]
