@@ -3,7 +3,8 @@
 Rows lie in buckets of their key's hash. A batch writes one segment, a folder per bucket, and then one commit that lists
 the segments in force; readers take the newest commit, so they see whole batches only and go on with theirs whatever is
 written meanwhile. Equal-sized segments are folded into the next size, so there are few of them, and a read for some
-keys opens only those keys' buckets. Nothing is changed in place: a stopped writer leaves a folder that no commit names.
+keys opens only those keys' buckets, and only in segments whose key filter, a bitmap of hashes, may know one of them.
+Nothing is changed in place: a stopped writer leaves a folder that no commit names.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from matchloom.operators.ranking import latest
+from matchloom.session import materialize
 from matchloom.sources.commits import CommitLog
 
 REMEMBERED = 1024  # batches whose content a commit still knows
+BITS_PER_KEY, BITMAP = 16, 32_768  # of a segment's key filter; bits in one stored bitmap
 
 
 class KeyedStore:
@@ -44,6 +47,26 @@ class KeyedStore:
     def _bucket(self, buckets: int):
         return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
 
+    def _spot(self, size):
+        """A key's place in a filter of ``size`` bits, from 1."""
+        return F.pmod(F.xxhash64(*self.keys, F.lit("filter")), size) + 1
+
+    def _write_filter(self, keys: DataFrame, name: str, size: int) -> None:
+        spot = keys.select(self._spot(F.lit(size)).alias("s"))
+        maps = spot.groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        maps.write.parquet(f"{self.path}/filters/seg={name}")
+
+    def _maybe(self, now: dict, wanted: DataFrame) -> DataFrame:
+        """(keys, seg, bucket): where each wanted key may be stored; never misses one, and is wrong for about one in BITS_PER_KEY."""
+        segs = F.array(*[F.struct(F.lit(x["name"]).alias("seg"), F.lit(x["filter"]).alias("size")) for x in now["segments"]])
+        asked = wanted.withColumn("x", F.explode(segs)).select(*self.keys, "x.seg", self._bucket(now["n_buckets"]).alias("bucket"), self._spot(F.col("x.size")).alias("s"))
+        asked = asked.withColumn("part", F.bitmap_bucket_number("s")).withColumn("at", F.bitmap_bit_position("s"))
+        maps = self.spark.read.schema("part long, bits binary, seg string").option("basePath", f"{self.path}/filters").parquet(
+            *[f"{self.path}/filters/seg={x['name']}" for x in now["segments"]])
+        byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.expr("shiftright(byte, cast(at % 8 AS int)) & 1") == 1
+        return asked.join(maps, ["seg", "part"]).withColumn("byte", byte).where(hit).select(*self.keys, "seg", "bucket")
+
     def _write(self, rows: DataFrame, buckets: int) -> dict:
         """One segment: the newest row per key, a task per bucket (keys are unique by now, so buckets are even)."""
         name = uuid.uuid4().hex
@@ -53,7 +76,11 @@ class KeyedStore:
         back = self.spark.read.schema(schema).parquet(f"{self.path}/data/seg={name}")
         content = F.sum(F.xxhash64(*[c for c in newest.columns if c != "batch"]).cast("decimal(38,0)"))
         per = back.groupBy("bucket").agg(F.count("*").alias("n"), content.alias("h")).collect()  # one row per bucket
-        return {"name": name, "buckets": sorted(r["bucket"] for r in per), "rows": sum(r["n"] for r in per),
+        n = sum(r["n"] for r in per)
+        size = max(1, -(-n * BITS_PER_KEY // BITMAP)) * BITMAP
+        if n:
+            self._write_filter(back, name, size)
+        return {"name": name, "buckets": sorted(r["bucket"] for r in per), "rows": n, "filter": size,
                 "digest": f"{sum(r['n'] for r in per)}:{sum(int(r['h']) for r in per)}", "schema": newest.schema.json()}
 
     def upsert(self, rows: DataFrame, batch: int) -> None:
@@ -92,7 +119,7 @@ class KeyedStore:
                 return
             merged = self._write(self._rows(now, full), now["n_buckets"])
             names = {s["name"] for s in full}
-            new = {k: merged[k] for k in ("name", "buckets", "rows")} | {"level": max(s["level"] for s in full) + 1}
+            new = {k: merged[k] for k in ("name", "buckets", "rows", "filter")} | {"level": max(s["level"] for s in full) + 1}
 
             def step(later: dict | None) -> dict | None:
                 if not names <= {s["name"] for s in later["segments"]}:
@@ -101,24 +128,25 @@ class KeyedStore:
 
             self.log.change(step)
 
-    def _rows(self, now: dict, segments: list[dict], buckets: set[int] | None = None) -> DataFrame:
+    def _rows(self, now: dict, segments: list[dict], only: set[tuple[str, int]] | None = None) -> DataFrame:
         schema = StructType.fromJson(json.loads(now["schema"]))
-        paths = [f"{self.path}/data/seg={s['name']}/bucket={b}" for s in segments for b in s["buckets"] if buckets is None or b in buckets]
+        paths = [f"{self.path}/data/seg={s['name']}/bucket={b}" for s in segments for b in s["buckets"] if only is None or (s["name"], b) in only]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
     def read(self, only: DataFrame | None = None) -> DataFrame:
-        """Newest row per key. ``only`` (key columns): of these keys; files of other buckets are not opened."""
+        """Newest row per key. ``only`` (key columns): of these keys; files that cannot hold one of them are not opened."""
         now = self.state()
         if now is None:
             raise ValueError(f"no batch has been committed to {self.path}")
         if only is None:
             rows = self._rows(now, now["segments"])
         else:
-            wanted = only.select(*self.keys).distinct()
-            hit = {r["b"] for r in wanted.select(self._bucket(now["n_buckets"]).alias("b")).distinct().collect()}  # bucket numbers
-            rows = self._rows(now, now["segments"], hit).join(wanted, self.keys, "left_semi")
+            maybe = self._maybe(now, only.select(*self.keys).distinct()) if now["segments"] else only.select(*self.keys, F.lit("").alias("seg"), F.lit(0).alias("bucket")).limit(0)
+            known = materialize(maybe, "store-known")
+            hit = {(r["seg"], r["bucket"]) for r in known.select("seg", "bucket").distinct().collect()}  # segments x buckets at most
+            rows = self._rows(now, now["segments"], hit).join(known.select(*self.keys).distinct(), self.keys, "left_semi")
         return latest(rows, self.keys, self.by).drop("batch")
 
     def read_or_empty(self, schema, only: DataFrame | None = None) -> DataFrame:
@@ -145,6 +173,7 @@ class KeyedStore:
         gone = [n for n in data.list(older_than=older_than) if n.startswith("seg=") and n not in keep]
         for name in gone:
             data.remove(name)
+            CommitLog(self.spark, f"{self.path}/filters").remove(name)
         for name in self.log.list(older_than=older_than):
             if name.endswith(".json") and int(name[:-5]) < version:
                 self.log.remove(name)
