@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
 from matchloom.operators.ranking import places
+from matchloom.session import materialize
 
 RESUME = "ID string, Resume_str string, Resume_html string, Category string"
 PEOPLE = "person_id long, name string, email string, phone string, linkedin string"
@@ -17,15 +18,66 @@ CHILDREN = {
 }
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Scan with a fixed schema; ``seq`` grows in file order."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.withColumn("seq", F.monotonically_increasing_id())
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, record): the records of CSV files without their headers, numbered in file order over all files.
+
+    A file is read in splits by as many tasks as it has. Whether a line begins a record follows from the quotes before it:
+    those of its split, and those of the earlier splits, of which only sums are needed. So this asks for quotes around whole
+    values, doubled inside them (RFC 4180); a record with any other quote fails the job by name, it is never read askew.
+    Lines without text between records are none. The lines are written once, so that all steps see the same splits; the
+    table of splits is as small as the list of them that the scan itself is planned from.
+    """
+    c = F.col
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    blank = F.rtrim(c("value"), F.lit("\r")) == ""
+    lines = materialize(text.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"')))).withColumn("blank", blank), "csv-lines")
+
+    split = Window.partitionBy("file", "block").orderBy("line")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
+    # a line's state, and the records begun up to it, for a split that begins outside of quotes and for one that begins inside
+    opens = [F.when(~c("blank") & (c("odd") == inside), 1).otherwise(0) for inside in (False, True)]
+    states = lines.withColumn("odd", odd)
+    splits = states.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *[F.sum(o).alias(f"n{k}") for k, o in enumerate(opens)])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1)
+    everything = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("base", F.coalesce(F.sum(F.when(c("inside"), c("n1")).otherwise(c("n0"))).over(everything), F.lit(0)))
+    splits = splits.withColumn("header", F.min("base").over(Window.partitionBy("file")) + 1).select("file", "block", "inside", "base", "header")
+
+    running = [F.sum(o).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in opens]
+    placed = states.withColumns({"n0": running[0], "n1": running[1]}).join(materialize(splits, "csv-splits"), ["file", "block"])
+    placed = placed.withColumn("seq", c("base") + F.when(c("inside"), c("n1")).otherwise(c("n0"))).withColumn("within", c("odd") != c("inside"))
+    placed = placed.where("seq <> header and not (blank and not within)")
+    single = ~c("within") & (c("quotes") % 2 == 0)
+    parts = placed.where(~single).groupBy("file", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    whole = placed.where(single).select("file", "seq", "value").unionByName(
+        parts.select("file", "seq", F.array_join(F.transform("parts", lambda e: e["value"]), "\n").alias("value")))
+    # a quoted value shrinks to one quote, which must then stand between separators
+    bare = F.regexp_replace("value", '"[^"]*"', '"')
+    astray = (F.regexp_count(c("value"), F.lit('"')) % 2 == 1) | bare.rlike(r'[^,"]"|"[^,"]')
+    whole = whole.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    return whole.select("file", "seq", F.when(astray, F.raise_error(F.concat(
+        F.lit("a quote that neither begins nor ends a value (split=False reads such files) in record "), c("seq").cast("string"), F.lit(" of "), c("file")))).otherwise(c("value")).alias("record"))
+
+
+def _read(spark: SparkSession, path: str, schema: str, split: bool = True) -> DataFrame:
+    """Scan with a fixed schema; ``seq`` grows in file order.
+
+    ``split``: a file is read by several tasks (see ``records``). Without it each file is one task's, and Spark's own
+    reader takes quotes as they come.
+    """
+    if not split:
+        df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return df.withColumn("seq", F.monotonically_increasing_id())
+    row = F.from_csv("record", F.lit(schema), {"escape": '"', "multiLine": "true"})
+    return records(spark, path).select(row.alias("row"), "seq").select("row.*", "seq")
 
 
-def read_resumes(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(candidate_id, source_dataset, raw_id, category, text, html) of the unstructured file."""
-    df = _read(spark, path, RESUME)
+def read_resumes(spark: SparkSession, path: str, limit: int | None = None, split: bool = True) -> DataFrame:
+    """(candidate_id, source_dataset, raw_id, category, text, html) of the unstructured file; ``limit`` takes its first records."""
+    df = _read(spark, path, RESUME, split)
     if limit is not None:
         df = df.orderBy("seq").limit(limit)
     c = F.col
@@ -39,12 +91,12 @@ def people(df: DataFrame, limit: int | None) -> DataFrame:
     return df.orderBy("person_id").limit(limit) if limit is not None else df
 
 
-def read_people(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return people(_read(spark, path, PEOPLE), limit)
+def read_people(spark: SparkSession, path: str, limit: int | None = None, split: bool = True) -> DataFrame:
+    return people(_read(spark, path, PEOPLE, split), limit)
 
 
-def read_child(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return _read(spark, path, CHILDREN[kind])
+def read_child(spark: SparkSession, path: str, kind: str, split: bool = True) -> DataFrame:
+    return _read(spark, path, CHILDREN[kind], split)
 
 
 def grouped(child: DataFrame, parents: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
