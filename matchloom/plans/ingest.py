@@ -12,6 +12,7 @@ from matchloom.plans import skills as sk
 from matchloom.plans.registry import query
 from matchloom.session import shared_dir
 from matchloom.sources import csv as cs
+from matchloom.sources import documents as dc
 from matchloom.sources import jsonl as js
 from matchloom.sources import store as st
 
@@ -128,23 +129,56 @@ def store(i, rows, keys=("source_dataset", "candidate_id")):
     return s
 
 
+RAW = {"name": "string", "category": "string", "summary": "string", "location": "string", "abilities": "array<string>"}
+PARSED = {"skills": "array<string>", "core_skills": "array<string>", "expanded_skills": "array<string>", "experience_years": "double", "seniority_level": "string"}
+
+
+def stored(i, *names: str):
+    """Candidates written as documents with the nested parts ``raw`` and ``parsed``, and the named values read back from them."""
+    path = shared_dir(i.spark, "candidates")
+    docs = i.candidate_doc().withColumn("abilities", F.array("degree")).select("candidate_id", "source_dataset", *RAW, *PARSED)
+    dc.write_documents(docs, path, {"raw": list(RAW), "parsed": list(PARSED)}, by="source_dataset")
+    where = {n: ("raw", n, k) for n, k in RAW.items()} | {n: ("parsed", n, k) for n, k in PARSED.items()}
+    return dc.read_documents(i.spark, path, [("candidate_id", "string"), ("source_dataset", "string")], {n: where[n] for n in names})
+
+
 @query("s07_reread_stored", "SELECT candidate_id, source_dataset, array_to_string(skills, '|') AS skills, sha256(candidate_id || chr(1) || array_to_string(skills, '|')) AS content_hash FROM candidate_doc WHERE source_dataset = 'set_a'")
 def _(i):
-    path = shared_dir(i.spark, "candidates")
-    i.candidate_doc().write.partitionBy("source_dataset").parquet(path)
-    one = i.spark.read.parquet(path).where("source_dataset = 'set_a'")  # prunes to one folder
+    one = stored(i, "skills").where("source_dataset = 'set_a'")  # prunes to one folder
     j = F.array_join(tx.sanitize_skills(F.col("skills")), "|")
     return one.select("candidate_id", "source_dataset", j.alias("skills"), F.sha2(F.concat_ws("\x01", "candidate_id", j), 256).alias("content_hash"))
 
 
-@query("s08_upgrade_stored")
+_LISTED = "CASE WHEN len({c}) > 0 THEN '{label}: ' || array_to_string({c}[1:{n}], '; ') END"
+UP = {
+    "u_canon": f"""SELECT candidate_id, coalesce(a.canonical, token) AS canonical, min(pos) AS pos, bool_or(coalesce(a.canonical, token) <> token) AS aliased FROM (
+ SELECT candidate_id, unnest(skills) AS token, generate_subscripts(skills, 1) AS pos FROM candidate_doc UNION ALL SELECT candidate_id, {d.clean_token('degree')}, len(skills) + 1 FROM candidate_doc)
+ LEFT JOIN alias_map a ON a.alias = token GROUP BY 1, 2""",
+    "u_loose": """SELECT token, arg_min(skill, (1000 - length(skill), skill)) AS skill FROM (SELECT DISTINCT canonical AS token FROM u_canon WHERE canonical NOT IN (SELECT skill FROM taxonomy))
+ JOIN taxonomy t ON length(t.skill) >= 5 AND contains(token, t.skill) GROUP BY 1""",
+    "u_items": "SELECT candidate_id, pos, c.canonical, coalesce(t.skill, l.skill) AS skill FROM u_canon c LEFT JOIN taxonomy t ON t.skill = c.canonical LEFT JOIN u_loose l ON l.token = c.canonical",
+    "u_core": "SELECT candidate_id, list(skill ORDER BY pos) AS core FROM (SELECT candidate_id, skill, min(pos) AS pos FROM u_items WHERE skill IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
+    "u_expanded": """SELECT candidate_id, list(name ORDER BY spot) AS expanded FROM (SELECT candidate_id, name, min(spot) AS spot FROM (
+ SELECT candidate_id, 2 * pos AS spot, skill AS name FROM u_items WHERE skill IS NOT NULL UNION ALL SELECT candidate_id, 2 * pos + 1, parent FROM u_items JOIN taxonomy USING (skill) WHERE parent IS NOT NULL) GROUP BY 1, 2) GROUP BY 1""",
+    "u_all": """SELECT candidate_id, list(canonical ORDER BY pos) AS canon, coalesce(list(canonical ORDER BY pos) FILTER (canonical IN (SELECT token FROM tagset WHERE kind = 'capability')), []) AS caps, bool_or(aliased) AS aliased,
+ bool_or(canonical IN (SELECT token FROM tagset)) AS tagged FROM u_canon GROUP BY 1""",
+    "u_doc": """SELECT d.candidate_id, name, category, summary, coalesce(core, []) AS core, coalesce(expanded, []) AS expanded, caps, aliased, tagged,
+ list_filter(canon, lambda x: NOT list_contains(coalesce(core, []), x) AND NOT list_contains(caps, x) AND len(string_split(x, ' ')) <= 3) AS special
+ FROM candidate_doc d JOIN u_all USING (candidate_id) LEFT JOIN u_core USING (candidate_id) LEFT JOIN u_expanded USING (candidate_id)""",
+}
+
+
+@query("s08_upgrade_stored", f"""
+SELECT candidate_id, array_to_string(core, '|') AS core_skills, substring(coalesce(nullif({d.squash('t')}, ''), 'empty resume'), 1, 4000) AS embedding_text,
+ {', '.join(f"{d.q(v)} AS {n}" for n, v in ig.VERSIONS.items())}, aliased AS alias_applied, (len(core) > 0 OR tagged) AS taxonomy_applied FROM (
+ SELECT *, concat_ws(chr(10), 'Name: ' || nullif(name, ''), 'Category: ' || nullif(category, ''), 'Summary: ' || nullif(summary, ''), {_LISTED.format(c='core', label='Core skills', n=30)},
+ {_LISTED.format(c='special', label='Specialized skills', n=20)}, {_LISTED.format(c='expanded', label='Expanded skills', n=30)}, {_LISTED.format(c='caps', label='Capabilities', n=5)}) AS t FROM u_doc)""", sk.CT | UP)
 def _(i):
+    """Stored documents of an older version: their parts are read by path, normalised anew and given today's versions."""
     e = F.array().cast("array<struct<title:string,start_date:string,end_date:string>>")
-    blank = F.lit(None).cast("string")
-    stored = i.candidate_doc().select(
-        "candidate_id", "source_dataset", "name", "category", "summary", "skills", F.col("skills").alias("normalized_skills"), F.array("degree").alias("abilities"),
-        e.alias("experience"), "experience_years", "seniority_level", *[blank.alias(v) for v in ig.VERSIONS])
-    u = ig.upgrade(stored, sk.ontology(i), AS_OF)
+    old = stored(i, "name", "category", "summary", "skills", "abilities", "experience_years", "seniority_level").select(
+        "*", F.col("skills").alias("normalized_skills"), e.alias("experience"), *[F.lit(None).cast("string").alias(v) for v in ig.VERSIONS])
+    u = ig.upgrade(old, sk.ontology(i), AS_OF)
     return u.select("candidate_id", F.array_join("core_skills", "|").alias("core_skills"), "embedding_text", *ig.VERSIONS, "alias_applied", "taxonomy_applied")
 
 
@@ -198,7 +232,8 @@ def _(i):
 
 @query("s11_hash_payload", "SELECT candidate_id, payload FROM s_hash", CT)
 def _(i):
-    return hashed(i).select("candidate_id", "payload")
+    docs = stored(i, *[c for c in SCALARS if c not in ig.KEY], "skills", "core_skills", "expanded_skills")
+    return docs.select("candidate_id", ig.payload(SCALARS, ["skills"], ["core_skills", "expanded_skills"]).alias("payload"))
 
 
 @query("s12_normalization_hash", "SELECT candidate_id, normalization_hash FROM s_hash", CT)

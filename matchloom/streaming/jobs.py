@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import ingestion as ig
 from matchloom.operators.ranking import latest
-from matchloom.session import shared_dir
+from matchloom.session import materialize, shared_dir
 from matchloom.sources.store import KeyedStore
 
 
@@ -29,11 +29,13 @@ def ingest_batch(batch: DataFrame, n: int, store: KeyedStore, counters_path: str
 
     The counters replace a folder named after the batch, the store commits it last: a replay after that changes nothing,
     one before it finds the same state and writes the same again. Only the buckets of the batch's keys are read.
+    The change plan is made once, in a table that counters and store both read; metrics observed in the writing job would
+    count the rows of a task twice that runs again after an executor is lost.
     """
     if store.has(n):
         return
     state = store.read_or_empty(batch.schema, batch).select(*ig.KEY, "normalization_hash", "embedding_hash")
-    plan = ig.plan_changes(batch, state)
+    plan = materialize(ig.plan_changes(batch, state), "ingest-plan")
     ig.counters(plan).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{counters_path}/b{n}")
     store.upsert(plan.where("needs_upsert or needs_embedding").select(*batch.columns), n)
 

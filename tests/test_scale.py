@@ -143,6 +143,23 @@ def test_a_replayed_batch_writes_the_same_again(spark, tmp_path):
     assert seen()[0] == once[0]
 
 
+def test_the_change_plan_of_a_batch_is_made_once(spark, tmp_path):
+    s, tally = st.KeyedStore(spark, str(tmp_path / "s"), ["source_dataset", "candidate_id"]), str(tmp_path / "tally")
+    runs = spark.sparkContext.accumulator(0)
+
+    def hashed(v):
+        runs.add(1)
+        return f"h{v}"
+    rows = spark.range(100).select(F.lit("d").alias("source_dataset"), F.col("id").cast("string").alias("candidate_id"))
+    udf = F.udf(hashed, "string").asNondeterministic()
+    batch = rows.withColumn("normalization_hash", udf("candidate_id")).withColumn("embedding_hash", F.lit("e"))
+    sj.ingest_batch(batch, 0, s, tally)
+    assert runs.value == 100
+    assert [tuple(r) for r in spark.read.parquet(f"{tally}/b0").select("seen", "upserted", "skipped", "embedded").collect()] == [(100, 100, 0, 100)]
+    sj.ingest_batch(batch, 1, s, tally)
+    assert [tuple(r) for r in spark.read.parquet(f"{tally}/b1").select("seen", "upserted", "skipped", "embedded").collect()] == [(100, 0, 100, 0)]
+
+
 def test_rates_and_repeats_against_a_loop(spark):
     rnd = random.Random(8)
     base, rows, t = 1_700_000_000, [], 0
