@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from matchloom.llm.decontamination import AGREE, MASKS, WINDOW, contaminated_pairs, decontaminate
+from matchloom.llm.decontamination import AGREE, MASKS, WINDOW, Index, contaminated_pairs, decontaminate
 
 from .conftest import rows
 
@@ -65,3 +65,47 @@ def test_empty_and_repeated(table, spark):
     assert contaminated_pairs(docs, none).collect() == [] and decontaminate(docs, none).count() == 2
     assert contaminated_pairs(table([]), bench).collect() == []
     assert rows(contaminated_pairs(docs, bench), "doc_id", "item_id") == [(1, 1), (1, 2)]
+
+
+def test_repetitive_texts_against_every_window(table, spark):
+    r = random.Random(5)
+
+    def dull(n, kinds):
+        return " ".join(r.choice(["la", "na", "hey", "oh"][:kinds]) for _ in range(n))
+
+    items = [(1, dull(40, 1)), (2, dull(30, 2)), (3, "one two three four " * 8), (4, "one two three four " * 8), (5, "la " * 12 + "stop")]
+    docs = [(k, f"{dull(k % 3 * 9, 2)} mid {'one two tree four ' * (k % 7)} {dull(k * 2, k % 3 + 1)}") for k in range(40)]
+    got = rows(contaminated_pairs(table(docs), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id", "first_word", "agreeing")
+    want = brute(docs, items)
+    assert len(want) > 40 and got == want
+
+
+def test_one_word_texts_cost_no_product():
+    import time
+
+    import pyarrow as pa
+
+    index = Index.build([1, 2], ["ha " * 20_000, "so it goes " * 7_000])
+    start = time.time()
+    t, i, first, best = index.matches(pa.array(["ha " * 20_000, "x " + "so it goes " * 7_000]))
+    assert list(zip(t, i, first, best)) == [(0, 0, 0, 13), (1, 1, 1, 13)] and time.time() - start < 2
+
+
+def test_many_pairs_are_compared_in_parts(monkeypatch, words):
+    import pyarrow as pa
+
+    from matchloom.llm import decontamination as dm
+
+    items = [" ".join(words(40, k, 5)) for k in range(6)]
+    texts = [" ".join(words(9, 50 + k, 5) + items[k % 6].split()[k : k + 25] + ["and"] + items[k // 2].split()[k + 2 : k + 20]) for k in range(9)]
+    whole = [x.tolist() for x in Index.build(range(6), items).matches(pa.array(texts))]
+    monkeypatch.setattr(dm, "_PAIRS", 7)
+    assert [x.tolist() for x in Index.build(range(6), items).matches(pa.array(texts))] == whole and whole[0]
+    assert sorted((t, i, a, n) for t, i, a, n in zip(*whole)) == brute(list(enumerate(texts)), list(enumerate(items)))
+
+
+def test_copies_in_the_benchmark_are_looked_for_once(table, spark):
+    item = " ".join(f"v{k}" for k in range(20))
+    bench = spark.createDataFrame([(k, item) for k in range(300)] + [(None, item), (7, "other words " * 10)], "item_id long, text string")
+    got = contaminated_pairs(table([(1, item), (2, "v1 v2")]), bench, 50)
+    assert got.count() == 301 and got.where("item_id IS NULL").count() == 1
