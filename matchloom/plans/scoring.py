@@ -404,7 +404,7 @@ def _(i):
     return v.select(*P, sc.rnd(sc.cosine(F.col("q"), F.col("v")), 6).alias("cosine"))
 
 
-@query("k24_rerank_text", "SELECT candidate_id, trim(concat_ws(' ', nullif(trim(summary), ''), nullif(array_to_string(skills, ' '), ''), category, seniority_level, CAST(experience_years AS VARCHAR))) AS text FROM candidate_doc")
+@query("k24_rerank_text", "SELECT candidate_id, trim(concat_ws(' ', nullif(trim(summary), ''), nullif(array_to_string(skills, ' '), ''), category, seniority_level, CAST(experience_years AS VARCHAR))) AS text FROM candidate_doc", d.UNSIGNED_YEARS)
 def _(i):
     return i.candidate_doc().select("candidate_id", sc.rerank_text(*[F.col(c) for c in ("summary", "skills", "category", "seniority_level", "experience_years")]).alias("text"))
 
