@@ -188,7 +188,7 @@ FROM (SELECT id, {_FLAT} AS flat FROM all_text WHERE regexp_matches(text, {_RNG}
 def _(i):
     both = i.resume().select(F.concat(F.lit("r-"), F.col("resume_id")).alias("id"), "text").unionByName(
         i.spread("documents", "doc_id").select(F.concat(F.lit("d-"), F.col("doc_id")).alias("id"), "text"))
-    found = both.where(F.col("text").rlike(rs.DATE_RANGE))
+    found = both.where(F.col("text").rlike(rs.FIND_RANGE))
     return found.select("id", F.explode(rs.experience_scan(F.col("text"))).alias("e")).select("id", *[f"e.{c}" for c in EXP_COLS])
 
 
