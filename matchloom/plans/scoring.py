@@ -185,24 +185,40 @@ SELECT *, greatest(0.0, least(1.0, 0.42 * semantic_similarity + 0.33 * skill_ove
  FROM k_overlap o JOIN k_adj a USING (job_id, candidate_id))"""
 
 
-def with_adjacent(i, pairs, found=None, jobs=None):
-    """Adds adjacent_score: related-but-not-required skills against the candidate's, capped at 8.
+def relations(i, found=None, jobs=None):
+    """What adjacent_score reads of jobs (by job_id) and of candidates (by candidate_id).
 
-    ``found``: the candidate documents that occur in ``pairs``, ``jobs`` their jobs, if these are not all."""
+    ``found``: the candidate documents that occur, ``jobs`` their jobs, if these are not all."""
     def canonical(df, key):
         return on.canonicalize(df.select(key, F.col("skill").alias("token"), F.lit(0).alias("pos")), i.alias_map(), key).select(key, F.col("canonical").alias("skill"))
     tax = i.taxonomy()
     rel = canonical((i.job_doc() if jobs is None else jobs).select("job_id", F.explode(F.array_except("related_skills", "required_skills")).alias("skill")), "job_id")
     docs = (i.candidate_doc() if found is None else found).select("candidate_id", F.explode(sc.lower_set(F.col("skills"), F.col("core_skills"), F.col("expanded_skills"))).alias("skill"))
-    prof, facts = on.relation_profile(rel, tax, "job_id", "j_"), on.skill_facts(canonical(docs, "candidate_id"), tax, "candidate_id")
-    j = pairs.join(prof, "job_id", "left").join(facts, "candidate_id", "left")
+    return on.relation_profile(rel, tax, "job_id", "j_"), on.skill_facts(canonical(docs, "candidate_id"), tax, "candidate_id")
+
+
+RELATED = ("j_skills", "j_domains", "j_families", "j_parents", "facts")
+
+
+def with_adjacent(i, pairs, found=None, jobs=None):
+    """Adds adjacent_score: related-but-not-required skills against the candidate's, capped at 8."""
+    prof, facts = relations(i, found, jobs)
+    return adjacent(pairs.join(prof, "job_id", "left").join(facts, "candidate_id", "left"))
+
+
+def related_pairs(i):
+    """The pairs with their documents and relations; these join their documents, so the pairs are shuffled once per side."""
+    return i.pair_doc(*relations(i))
+
+
+def adjacent(j):
     m = on.adjacent_matches(F.col("facts"), F.col("j_skills"), F.col("j_domains"), F.col("j_families"), F.col("j_parents"), 8)
-    return j.select(*pairs.columns, F.coalesce(on.adjacent_score(m, F.coalesce("j_skills", F.array().cast("array<string>"))), F.lit(0.0)).alias("adjacent_score"),
+    return j.select(*[c for c in j.columns if c not in RELATED], F.coalesce(on.adjacent_score(m, F.coalesce("j_skills", F.array().cast("array<string>"))), F.lit(0.0)).alias("adjacent_score"),
                     F.array_join(F.coalesce(m, F.array().cast("array<string>")), "|").alias("adjacent_matches"))
 
 
 def matched(i):
-    return ma.match_scores(with_adjacent(i, i.pair_doc()))
+    return ma.match_scores(adjacent(related_pairs(i)))
 
 
 P = ("job_id", "candidate_id")
@@ -251,7 +267,7 @@ def _(i):
 
 @query("k08_adjacent_skill_score", "SELECT job_id, candidate_id, adjacent_score FROM k_adj", CT)
 def _(i):
-    return with_adjacent(i, i.pair_doc()).select(*P, "adjacent_score")
+    return adjacent(related_pairs(i)).select(*P, "adjacent_score")
 
 
 @query("k09_must_have_penalty", "SELECT job_id, candidate_id, must_have_rate, must_have_penalty FROM k_match", CT)
