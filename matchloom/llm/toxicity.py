@@ -27,7 +27,7 @@ from matchloom.session import materialize
 
 BITS = 20
 GRAMS = (5, 6, 8)
-PIECE = 1 << 20  # bytes of text looked at at once
+PIECE = 1 << 18  # bytes of text looked at at once; a task holds some 70 to 100 times that in arrays
 _U64 = np.uint64
 _FACTOR = _U64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
