@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import scoring as sc
-from matchloom.operators.facets import FILTERS, normalize_label, spaced
 from matchloom.operators.ranking import places, top_k
-from matchloom.operators.search import ANY, HAS, NEEDS, _Allowed, _best, _frame, _metadata, _present, _round
+from matchloom.operators.search import ANY, HAS, HIT_TYPES, KeywordBlock, distinct_queries, job_rows, prepared_queries, shared_hits
 from matchloom.session import materialize, shared_dir
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 16384  # a block's terms are one byte per document or less, so few large blocks cost less than many small ones
 GRAM = 3  # shorter terms are looked up by grams of their own length
 FOUND = "job_id string, candidate_id string, keyword_score double, metadata_score double, fusion_score double"
 BLOCK = ("block long, category string, level string, top_years double, n int, ids array<string>, years array<double>, level_nos array<int>, places array<string>, "
@@ -125,10 +124,7 @@ class KeywordIndex:
 
     def search_counted(self, queries: DataFrame, k: int, heads: int | None = None, lead: int = 2) -> tuple[DataFrame, DataFrame]:
         """The hits, and the (job, block) pairs with ``stage``: first (among the ``lead`` best bounds), later or skipped."""
-        key = normalize_label(F.col("industry"), FILTERS["industries"])
-        q = materialize(queries.select(
-            "job_id", "category", F.nullif(key, F.lit("")).alias("industry"), F.col("min_years").cast("double").alias("min_years"), "preferred_seniority",
-            F.array_distinct("terms").alias("terms"), (F.slice("terms", 1, heads) if heads else F.col("terms")).alias("heads"), *_present(queries, NEEDS)), "keyword-jobs")
+        q, shares = distinct_queries(prepared_queries(queries, heads))
         bounds = materialize(self.bounds(q), "keyword-bounds")
         first = top_k(bounds, ["job_id"], [F.desc("bound"), F.asc("block")], lead, "place")
         hits = materialize(top_k(self._score(q, first, k), ["job_id"], [F.desc("fusion_score"), F.asc("candidate_id")], k), "keyword-first")
@@ -138,67 +134,21 @@ class KeywordIndex:
         dealt = materialize(rest.select("job_id", "block", stage.alias("stage")), "keyword-stages")
         more = self._score(q, dealt.where("stage = 'later'"), k)
         both = hits.drop("rank").unionByName(more)
-        return top_k(both, ["job_id"], [F.desc("fusion_score"), F.asc("candidate_id")], k), dealt
-
-
-class _Block:
-    def __init__(self, row: dict):
-        self.ids = np.array(row["ids"], dtype=object).astype(str)
-        self.years = np.array([np.nan if y is None else y for y in row["years"]])
-        self.levels = np.full(len(self.ids), row["level"])
-        self.cats = np.full(len(self.ids), spaced(row["category"]))
-        self.category = row["category"]
-        ends, docs = np.array(row["ends"], np.int64), np.array(row["docs"], np.int64)
-        begin = np.append(0, ends[:-1])
-        self.posts = {t: docs[a:b] for t, a, b in zip(row["terms"], begin, ends)}
-        self.text = "\x00".join(row["summaries"])
-        self.starts = np.cumsum([0] + [len(s) + 1 for s in row["summaries"]])[:-1]
-        self.seen: dict[str, np.ndarray] = {}
-        names = {n: row[c] for n, c in (("level_no", "level_nos"), ("places", "places")) if any(v is not None for v in row[c])}
-        self.allowed = _Allowed(pd.DataFrame(names))
-
-    def inside(self, term: str) -> np.ndarray:
-        """Documents whose summary has the term; all summaries are one text that is scanned once per term."""
-        if term not in self.seen:
-            at, places = self.text.find(term), []
-            while at >= 0:
-                doc = int(np.searchsorted(self.starts, at, "right"))
-                places.append(doc - 1)
-                at = self.text.find(term, int(self.starts[doc])) if doc < len(self.starts) else -1
-            self.seen[term] = np.array(places, np.int64)
-        return self.seen[term]
-
-    def ask(self, job, k: int) -> tuple:
-        n = len(self.ids)
-        count = np.zeros(n)
-        for t in job.terms:
-            if t in self.posts:
-                count[self.posts[t]] += 1
-        ok = count > 0
-        for t in job.heads:
-            ok[slice(None) if t == "" else self.inside(t)] = True
-        if not len(job.terms):
-            ok[:] = True
-        if job.min_years is not None and job.min_years == job.min_years:
-            ok &= self.years >= job.min_years
-        words = FILTERS["industries"].get(job.industry, {}).get("category_terms") if job.industry and not job.category else None
-        if words and not any(t.lower() in self.category for t in words):
-            ok[:] = False
-        if (may := self.allowed(job)) is not None:
-            ok &= may
-        kw = _round(count / max(1, len(job.terms)), 4)
-        meta = _round(_metadata(job, self.cats, self.years, self.levels), 4)
-        w = sc.FUSION_WEIGHTS
-        fused = np.where(ok, _round(np.clip((kw * w["keyword"] + meta * w["metadata"]) / sum(w.values()), 0, 1), 4), np.nan)
-        top = _best(fused, self.ids, k)
-        return job.job_id, self.ids[top], kw[top], meta[top], fused[top]
+        found = top_k(both, ["job_id"], [F.desc("fusion_score"), F.asc("candidate_id")], k)
+        return shared_hits(found, shares), dealt
+
+
+def _block(row: dict) -> KeywordBlock:
+    n, ends = len(row["ids"]), np.array(row["ends"], np.int64)
+    names = {c: row[f] for c, f in (("level_no", "level_nos"), ("places", "places")) if any(v is not None for v in row[f])}
+    codes = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return KeywordBlock(np.array(row["ids"], dtype=object).astype(str), [row["category"]] * n, [row["level"]] * n, np.array([np.nan if y is None else y for y in row["years"]], dtype=float),
+                        row["summaries"], pd.DataFrame(names, index=range(n)), np.array(row["docs"], np.int64), codes, row["terms"])
 
 
 def _meet(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = None, None
-        names = ["job_id", "candidate_id", "keyword_score", "metadata_score", "fusion_score"]
-        schema = pa.schema([(n, pa.string() if n.endswith("_id") else pa.float64()) for n in names])
         for batch in batches:
             blocks, side = batch.column("block").to_numpy(), batch.column("side").to_numpy()
             cuts = (np.flatnonzero((blocks[1:] != blocks[:-1]) | (side[1:] != side[:-1])) + 1).tolist()
@@ -207,16 +157,12 @@ def _meet(k: int):
                     continue
                 part = batch.slice(a, b - a)
                 if side[a] == 0:
-                    at, block = blocks[a], _Block(part.slice(0, 1).to_pylist()[0])
+                    at, block = blocks[a], _block(part.slice(0, 1).to_pylist()[0])
                 elif at == blocks[a] and block is not None:
-                    jobs = part.select([c for c in part.schema.names if c.startswith("q_")]).to_pandas()
-                    jobs.columns = [c[2:] for c in jobs.columns]
-                    for c in ("category", "industry", "preferred_seniority", "place"):
-                        if c in jobs:
-                            jobs[c] = jobs[c].astype(object).where(jobs[c].notna(), None)
-                    found = _frame([block.ask(j, k) for j in jobs.itertuples(index=False)], names)
+                    asked = part.select([c for c in part.schema.names if c.startswith("q_")])
+                    found = block.ask_all(job_rows(asked.rename_columns([c[2:] for c in asked.schema.names])), k)
                     if len(found):
-                        yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
+                        yield pa.RecordBatch.from_pandas(found, schema=HIT_TYPES, preserve_index=False)
     return run
 
 
