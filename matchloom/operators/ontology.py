@@ -282,18 +282,21 @@ def alias_hints(texts: DataFrame, key: str, vocab: DataFrame, limit: int | None
 
     Candidates come from a hash join of the text's word 1..3-grams with each
     alias's first three words; the boundary test then runs once per text.
+    The vocabulary is written first, so Spark knows its size: below the
+    broadcast threshold no gram is shuffled, and of a text's matches each task
+    ships one row.
     """
     def head(c):
         return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
-    keyed = vocab.where(F.length("alias") >= 3).select("alias", "canonical", F.array_join(F.slice(head(F.col("alias")), 1, 3), " ").alias("g"))
+    keyed = materialize(vocab.where(F.length("alias") >= 3).select("alias", "canonical", F.array_join(F.slice(head(F.col("alias")), 1, 3), " ").alias("g")).distinct(), "alias-vocabulary")
 
     def grams(ws):
         return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))), lambda i: F.array(
             F.array_join(F.slice(ws, i, 1), " "), F.array_join(F.slice(ws, i, 2), " "), F.array_join(F.slice(ws, i, 3), " ")))))
 
-    cand = texts.select(key, F.explode(tx.let(head(F.col("text")), grams)).alias("g")).join(keyed, "g").select(key, "alias", "canonical").distinct()
-    per = cand.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("n"), "alias", "canonical"))).alias("c"))
+    cand = texts.select(key, F.explode(tx.let(head(F.col("text")), grams)).alias("g")).join(keyed, "g").select(key, "alias", "canonical")
+    per = cand.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("alias")).alias("n"), "alias", "canonical"))).alias("c"))
     compact = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), tx.WS + "+", " "), F.lit(" "))
 
     def free(t):
