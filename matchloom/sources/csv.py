@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from matchloom.functions import text as tx
 from matchloom.operators.ranking import places
@@ -18,11 +23,38 @@ CHILDREN = {
 }
 
 
+# before a line: whether its split had an odd number of quotes; up to it: records begun, if the split begins outside of quotes or inside
+_STATE = StructType([StructField("odd", BooleanType()), StructField("n0", LongType()), StructField("n1", LongType())])
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds _STATE to the lines of whole splits, which come in file order one split after the other."""
+    at, quotes, begun = None, 0, [0, 0]
+    for batch in batches:
+        file, block = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+        code, names = file.indices.to_numpy(), file.dictionary.to_pylist()
+        here, blank = batch.column("quotes").to_numpy(), batch.column("blank").to_numpy(zero_copy_only=False)
+        odd, n = np.zeros(len(here), bool), np.zeros((2, len(here)), np.int64)
+        cuts = (np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(here)]):
+            if a == b:
+                continue
+            if at != (names[code[a]], block[a]):
+                at, quotes, begun = (names[code[a]], block[a]), 0, [0, 0]
+            upto = quotes + np.cumsum(here[a:b], dtype=np.int64)
+            odd[a:b] = (upto - here[a:b]) % 2 == 1
+            for k in (0, 1):
+                n[k, a:b] = begun[k] + np.cumsum(~blank[a:b] & (odd[a:b] == bool(k)))
+            quotes, begun = int(upto[-1]), n[:, b - 1].tolist()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd), pa.array(n[0]), pa.array(n[1])], names=[*batch.schema.names, *_STATE.names])
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, record): the records of CSV files without their headers, numbered in file order over all files.
 
     A file is read in splits by as many tasks as it has. Whether a line begins a record follows from the quotes before it:
-    those of its split, and those of the earlier splits, of which only sums are needed. So this asks for quotes around whole
+    those of its split, which are counted as its lines are read, and those of the earlier splits, of which only sums are
+    needed; a line is sorted or shuffled only to be put together with others of its record. So this asks for quotes around whole
     values, doubled inside them (RFC 4180); a record with any other quote fails the job by name, it is never read askew.
     Lines without text between records are none. The lines are written once, so that all steps see the same splits; the
     table of splits is as small as the list of them that the scan itself is planned from.
@@ -31,27 +63,20 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(path).select(
         c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     blank = F.rtrim(c("value"), F.lit("\r")) == ""
-    lines = materialize(text.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"')))).withColumn("blank", blank), "csv-lines")
-
-    split = Window.partitionBy("file", "block").orderBy("line")
-    before = split.rowsBetween(Window.unboundedPreceding, -1)
-    odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
-    # a line's state, and the records begun up to it, for a split that begins outside of quotes and for one that begins inside
-    opens = [F.when(~c("blank") & (c("odd") == inside), 1).otherwise(0) for inside in (False, True)]
-    states = lines.withColumn("odd", odd)
-    splits = states.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *[F.sum(o).alias(f"n{k}") for k, o in enumerate(opens)])
+    counted = text.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"')))).withColumn("blank", blank)
+    lines = materialize(counted.mapInArrow(_states, StructType([*counted.schema.fields, *_STATE.fields])), "csv-lines")
+    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max("n0").alias("n0"), F.max("n1").alias("n1"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1)
     everything = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("base", F.coalesce(F.sum(F.when(c("inside"), c("n1")).otherwise(c("n0"))).over(everything), F.lit(0)))
     splits = splits.withColumn("header", F.min("base").over(Window.partitionBy("file")) + 1).select("file", "block", "inside", "base", "header")
 
-    running = [F.sum(o).over(split.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in opens]
-    placed = states.withColumns({"n0": running[0], "n1": running[1]}).join(materialize(splits, "csv-splits"), ["file", "block"])
+    placed = lines.join(materialize(splits, "csv-splits"), ["file", "block"])
     placed = placed.withColumn("seq", c("base") + F.when(c("inside"), c("n1")).otherwise(c("n0"))).withColumn("within", c("odd") != c("inside"))
     placed = placed.where("seq <> header and not (blank and not within)")
     single = ~c("within") & (c("quotes") % 2 == 0)
-    parts = placed.where(~single).groupBy("file", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    parts = placed.where(~single).groupBy("seq").agg(F.min("file").alias("file"), F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
     whole = placed.where(single).select("file", "seq", "value").unionByName(
         parts.select("file", "seq", F.array_join(F.transform("parts", lambda e: e["value"]), "\n").alias("value")))
     # a quoted value shrinks to one quote, which must then stand between separators
