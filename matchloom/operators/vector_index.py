@@ -9,6 +9,7 @@ With ``probe`` as large as the number of cells the answer is that of the exact s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from matchloom.operators.ranking import top_k
-from matchloom.operators.search import HAS, ITEM_ROWS, NEEDS, _Allowed, _best, _frame, _present, _round
+from matchloom.operators.search import HAS, ITEM_ROWS, NEEDS, VECTOR_HITS, VectorBlock, _frame, _present, vectors
 
 SAMPLE_PER_CELL = 256
 _LOT = 1 << 30
+LOT_ROWS = 1024  # queries asked at once
 FOUND = "job_id string, candidate_id string, score double"
 
 
@@ -148,46 +150,22 @@ def _meet(k: int):
                 if key[a, 2] == 0:
                     pending.append(batch.slice(a, b - a))
                 elif pending:
-                    part = part or _Part(pa.concat_batches(pending))
-                    found = part.ask(batch.slice(a, b - a), k)
-                    if len(found):
-                        yield pa.RecordBatch.from_pandas(found, schema=pa.schema([("job_id", pa.string()), ("candidate_id", pa.string()), ("score", pa.float64())]),
-                                                         preserve_index=False)
+                    part = part or _part(pa.concat_batches(pending))
+                    pending = [True]
+                    for lo in range(a, b, LOT_ROWS):
+                        asked = batch.slice(lo, min(LOT_ROWS, b - lo))
+                        jobs = [SimpleNamespace(job_id=r["id"], min_years=r["years"], **{n: r[n] for n in ("category", *NEEDS)})
+                                for r in asked.select(["id", "years", "category", *NEEDS]).to_pylist()]
+                        found = part.ask_all(vectors(asked.column("embedding")), jobs, k)
+                        yield pa.RecordBatch.from_pandas(_frame(found, VECTOR_HITS.names), schema=VECTOR_HITS, preserve_index=False)
     return run
 
 
-class _Part:
-    def __init__(self, batch: pa.RecordBatch):
-        self.x = _matrix(batch.column("embedding"))
-        self.ids = batch.column("id").to_numpy(zero_copy_only=False).astype(str)
-        self.years = batch.column("years").to_numpy(zero_copy_only=False)
-        category = batch.column("category").to_pandas()
-        self.of = {c: (category == c).to_numpy() for c in category.dropna().unique()}
-        names = [n for n in HAS if batch.column(n).null_count < batch.num_rows]
-        self.allowed = _Allowed(pd.DataFrame({n: batch.column(n).to_pandas() for n in names}))
-
-    def ask(self, batch: pa.RecordBatch, k: int) -> pd.DataFrame:
-        found = []
-        nobody = np.zeros(len(self.ids), bool)
-        jobs = batch.drop_columns(["embedding", "cell", "part", "side"]).to_pandas()
-        for lo in range(0, batch.num_rows, 256):
-            scores = _round(_matrix(batch.column("embedding").slice(lo, 256)) @ self.x.T, 6)
-            for row, job in zip(scores, jobs.iloc[lo : lo + 256].itertuples(index=False)):
-                ok = self.allowed(_Need(job))
-                for rule in ((self.of.get(job.category, nobody) if job.category else None), (self.years >= job.years if job.years == job.years and job.years is not None else None)):
-                    if rule is not None:
-                        ok = rule if ok is None else ok & rule
-                top = _best(row if ok is None else np.where(ok, row, np.nan), self.ids, k)
-                found.append((job.id, self.ids[top], row[top]))
-        return _frame(found, ["job_id", "candidate_id", "score"])
-
-
-class _Need:
-    """A query's constraints, absent where null."""
-
-    def __init__(self, job):
-        self.need_level = job.need_level if job.need_level == job.need_level else None
-        self.place = job.place if isinstance(job.place, str) else None
+def _part(batch: pa.RecordBatch) -> VectorBlock:
+    names = [n for n in HAS if batch.column(n).null_count < batch.num_rows]
+    has = pd.DataFrame({n: batch.column(n).to_pandas() for n in names}, index=range(batch.num_rows))
+    return VectorBlock(vectors(batch.column("embedding")), batch.column("id").to_numpy(zero_copy_only=False).astype(str),
+                       batch.column("years").to_numpy(zero_copy_only=False), has, batch.column("category").to_numpy(zero_copy_only=False))
 
 
 def recall(found: DataFrame, exact: DataFrame, ks: list[int]) -> DataFrame:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as tx
 from matchloom.operators.matching import prepared_candidates, prepared_jobs
 from matchloom.operators.ranking import top_k
+from matchloom.session import materialize
 
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -25,6 +27,12 @@ class Inputs:
         """A base table for CPU-heavy text work."""
         return self.even(self.base(name), key)
 
+    def written(self, name: str) -> DataFrame:
+        """An input table by name, made once and read from files by every step that asks for it."""
+        if name not in self._written:
+            self._written[name] = materialize(getattr(self, name)(), name.replace("_", "-"))
+        return self._written[name]
+
     def even(self, df: DataFrame, *keys: str) -> DataFrame:
         """Rows about to be scored at length: dealt out over spark.matchloom.textPartitions partitions, if the session asks
         for it (for tables of few files); else left as they come."""

@@ -12,7 +12,7 @@ from matchloom.operators.keyword_index import keyword_index
 from matchloom.operators.vector_index import VectorIndex, recall
 from matchloom.plans import duck as d
 from matchloom.plans.registry import query
-from matchloom.session import shared_dir
+from matchloom.session import materialize, shared_dir
 
 IND = {"technology": "technology", "industrial": "manufacturing"}  # labels used by the job table
 
@@ -63,7 +63,8 @@ CT = {
 
 
 def hits(i, k=10):
-    return se.hybrid_search(i.job_doc(), i.job_vector(), i.candidate_doc(), i.candidate_vector(), k)
+    """The hybrid hits, written first, as the queries read them in several steps."""
+    return materialize(se.hybrid_search(i.written("job_doc"), i.job_vector(), i.written("candidate_doc"), i.candidate_vector(), k), "hits")
 
 
 @query("r01_vector_top_k", "SELECT job_id, candidate_id, score, rank FROM vec_hit", {
@@ -178,7 +179,7 @@ def _(i):
 
 @query("r11_hybrid_search", "SELECT job_id, candidate_id, rank, score, vector_score, keyword_score, metadata_score, fusion_score FROM hit", CT)
 def _(i):
-    return hits(i).drop("stage", "fallback")
+    return se.hybrid_search(i.job_doc(), i.job_vector(), i.candidate_doc(), i.candidate_vector(), 10).drop("stage", "fallback")
 
 
 @query("r12_degraded_mode", "SELECT job_id, candidate_id, rank, fusion_score, CASE WHEN has THEN 'hybrid' ELSE 'keyword_only' END AS stage, NOT has AS fallback FROM (SELECT *, job_id IN (SELECT job_id FROM job_vector) AS has FROM hit)", {
@@ -217,7 +218,7 @@ SELECT h.job_id, string_agg(h.candidate_id, '|' ORDER BY h.rank) AS ranked_ids,
  CAST(max(greatest(1, length(t.text) // 4)) AS BIGINT) AS input_tokens, count(*) * 12 AS output_tokens
 FROM hit h JOIN candidate_doc c USING (candidate_id) JOIN job_text t USING (job_id) GROUP BY 1""", CT)
 def _(i):
-    h = hits(i).join(i.candidate_doc().select("candidate_id", "skills", "core_skills"), "candidate_id")
+    h = hits(i).join(i.written("candidate_doc").select("candidate_id", "skills", "core_skills"), "candidate_id")
     known = F.when(F.size("skills") > 0, F.col("skills")).otherwise(F.col("core_skills"))
     per = h.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", F.array_join(known, ",").alias("s")))).alias("r"))  # k rows per job
     return per.join(i.job_text(), "job_id").select(

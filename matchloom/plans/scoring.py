@@ -380,7 +380,8 @@ def _(i):
     k = F.col("s_suppkey")
     q = i.job().select("job_id", (0.5 + (k % 5) * 0.1).alias("confidence"), ((k % 3) * 0.3).alias("unknown_ratio"))
     from matchloom.operators.search import pooled
-    cov = h.where("rank = 1").select(*P).join(i.job_doc().select("job_id", "required_skills"), "job_id").join(pooled(i.candidate_doc()).select("candidate_id", "pool"), "candidate_id")
+    cov = h.where("rank = 1").select(*P).join(i.written("job_doc").select("job_id", "required_skills"), "job_id").join(i.written("candidate_doc"), "candidate_id")
+    cov = pooled(cov)
     cov = cov.select(*P, sc.share(F.array_intersect(sc.lower_set(F.col("required_skills")), F.col("pool")), sc.lower_set(F.col("required_skills"))).alias("coverage"))
     return ma.rerank_gate(h, q, cov)
 
@@ -518,7 +519,8 @@ def constrained(i):
     """Jobs, job vectors, documents and vectors with the columns that the search filters on."""
     needs = job_filters(i).select("job_id", fa.education_need(F.col("education")).alias("need_level"), F.coalesce(tx.normalize_region(F.col("region")), F.lit("")).alias("place"))
     has = i.candidate().select("candidate_id", fa.education_level(F.array("degree")).alias("level_no"), F.array_join(fa.locations(F.array("location")), "|").alias("places"))
-    return i.job_doc().join(needs, "job_id"), i.job_vector().join(needs, "job_id"), i.candidate_doc().join(has, "candidate_id"), i.candidate_vector().join(has, "candidate_id")
+    return (i.written("job_doc").join(needs, "job_id"), i.job_vector().join(needs, "job_id"), i.written("candidate_doc").join(has, "candidate_id"),
+            i.candidate_vector().join(has, "candidate_id"))
 
 
 def explanation():
@@ -539,11 +541,11 @@ def match_rows(i, jobs):
     k = F.col("s_suppkey")
     query = i.job().select("job_id", (0.5 + (k % 5) * 0.1).alias("confidence"), ((k % 3) * 0.3).alias("unknown_ratio"))
     req = sc.lower_set(F.col("required_skills"))
-    cover = hits.where("rank = 1").select(*P).join(jobs.select("job_id", "required_skills"), "job_id").join(pooled(i.candidate_doc()).select("candidate_id", "pool"), "candidate_id")
-    gate = ma.rerank_gate(hits, query, cover.select(*P, sc.share(F.array_intersect(req, F.col("pool")), req).alias("coverage")))
+    cover = hits.where("rank = 1").select(*P).join(jobs.select("job_id", "required_skills"), "job_id").join(i.written("candidate_doc"), "candidate_id")
+    gate = ma.rerank_gate(hits, query, pooled(cover).select(*P, sc.share(F.array_intersect(req, F.col("pool")), req).alias("coverage")))
     short = materialize(ma.shortlist(hits, gate, relevance(i, hits), SHORT).select(*P, F.col("score").alias("raw_score")), "match-short")
     wanted = ma.prepared_jobs(jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms"))
-    found = ma.prepared_candidates(i.candidate_doc().join(short.select("candidate_id").distinct(), "candidate_id", "left_semi"))
+    found = ma.prepared_candidates(i.written("candidate_doc").join(short.select("candidate_id").distinct(), "candidate_id", "left_semi"))
     full = materialize(short.join(wanted, "job_id").join(found, "candidate_id"), "match-pairs")
     m = ma.agent_scores(ma.match_scores(with_adjacent(i, full, found, jobs)))
     det = sc.rnd(ma.penalised(F.col("deterministic_score"), F.col("must_have_penalty")), 6)
