@@ -162,15 +162,25 @@ def soft_overlap(pool: Column, targets: Column) -> Column:
     return F.when(F.size(targets) > 0, total / F.size(targets)).otherwise(F.lit(0.0))
 
 
+def candidate_skills(core: Column, expanded: Column, normalized: Column) -> Column:
+    """A candidate's skills as skill_overlap compares them: core, expanded and normalised."""
+    return F.struct(skill_set(core).alias("c"), skill_set(expanded).alias("e"), skill_set(normalized).alias("n"))
+
+
+def job_skills(required: Column, extra: Column, targets: int | None = None) -> Column:
+    """A job's skills as skill_overlap compares them: all, of which the first ``n`` are the required ones. ``targets``: terms that count (None: all)."""
+    req = first_items(required, targets)
+    return F.struct(F.size(skill_set(req)).alias("n"), first_items(skill_set(F.concat(req, extra)), targets).alias("x"))
+
+
 def candidate_terms(core: Column, expanded: Column, normalized: Column) -> Column:
-    """A candidate's skills as skill_overlap reads them; the same for all jobs, so made before candidates meet jobs."""
-    return F.struct(with_words(skill_set(core)).alias("c"), with_words(skill_set(expanded)).alias("e"), with_words(skill_set(normalized)).alias("n"))
+    """candidate_skills with words; the same for all jobs, so made before candidates meet jobs."""
+    return let(candidate_skills(core, expanded, normalized), lambda v: F.struct(*[with_words(v[n]).alias(n) for n in "cen"]))
 
 
 def job_terms(required: Column, extra: Column, targets: int | None = None) -> Column:
-    """A job's skills as skill_overlap reads them: all, of which the first ``n`` are the required ones. ``targets``: terms that count (None: all)."""
-    req = first_items(required, targets)
-    return F.struct(F.size(skill_set(req)).alias("n"), with_words(first_items(skill_set(F.concat(req, extra)), targets)).alias("x"))
+    """job_skills with words, likewise."""
+    return let(job_skills(required, extra, targets), lambda v: F.struct(v["n"].alias("n"), with_words(v["x"]).alias("x")))
 
 
 def prepared_overlap(candidate: Column, job: Column) -> Column:

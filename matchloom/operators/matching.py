@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +34,94 @@ def overlap(pairs: DataFrame) -> Column:
     return sc.skill_overlap(c("core_skills"), c("expanded_skills"), c("skills"), c("required_skills"), c("related_skills"))
 
 
+OVERLAPS = ["skill_overlap", "core_overlap", "expanded_overlap", "normalized_overlap"]
+_WORDS = re.compile(r"[a-z0-9+.#-]+")
+_CELLS = 1 << 22  # largest table of term matches that a task holds
+
+
+@functools.lru_cache(1 << 16)
+def _words(term: str) -> frozenset[str]:
+    return frozenset(_WORDS.findall(term.lower())) - frozenset(sc.TERM_STOPWORDS)
+
+
+def _match_table(targets: list[str], members: list[str]) -> np.ndarray:
+    """``scoring.term_match`` of each target and single member; only those that share a word are compared."""
+    having: dict[str, list[int]] = {}
+    for j, m in enumerate(members):
+        for w in _words(m):
+            having.setdefault(w, []).append(j)
+    place, table = {m: j for j, m in enumerate(members)}, np.zeros((len(targets), len(members)))
+    for row, t in zip(table, targets):
+        words, shared = _words(t), {}
+        for w in words:
+            for j in having.get(w, ()):
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            row[j] = min(1.0, n / len(words) + 0.2) if t in members[j] or members[j] in t else n / len(words)
+        if t in place:
+            row[place[t]] = 1.0
+    return table
+
+
+def _soft(table: np.ndarray, targets: tuple[np.ndarray, np.ndarray], pools: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """scoring.soft_overlap of each row's targets and pool, given as places in the table and as sizes per row."""
+    (asked, n_asked), (held, n_held) = targets, pools
+    out, met = np.zeros(len(n_asked)), np.cumsum(n_asked * n_held)
+    begin_asked, begin_held = np.cumsum(n_asked) - n_asked, np.cumsum(n_held) - n_held
+    lo = 0
+    while lo < len(out):  # rows whose targets and pools meet in no more than _CELLS places, or one row
+        hi = max(lo + 1, int(np.searchsorted(met, (met[lo - 1] if lo else 0) + _CELLS, "right")))
+        rows = np.flatnonzero((n_asked[lo:hi] > 0) & (n_held[lo:hi] > 0)) + lo
+        if len(rows):
+            of = np.repeat(rows, n_asked[rows])  # a target's row
+            mine = np.arange(len(of)) - np.repeat(np.cumsum(n_asked[rows]) - n_asked[rows], n_asked[rows]) + begin_asked[of]
+            first = np.cumsum(n_held[of]) - n_held[of]
+            at = np.arange(int(n_held[of].sum())) - np.repeat(first - begin_held[of], n_held[of])
+            best = np.maximum.reduceat(table[np.repeat(asked[mine], n_held[of]), held[at]], first)
+            out[lo:hi] = np.bincount(of - lo, best, hi - lo)  # adds in the order of the targets
+        lo = hi
+    return out / np.maximum(n_asked, 1)
+
+
+def _coded(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different terms, each entry's place among them, and the sizes per row."""
+    flat = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), sizes.astype(np.int64)
+
+
+def _overlaps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    job, own = batch.column("job_skills"), batch.column("candidate_skills")
+    sides = {n: _coded(own.field(n)) for n in "cen"}
+    asked, codes, sizes = _coded(job.field("x"))
+    if batch.num_rows > 1 and len(asked) * max(len(t) for t, *_ in sides.values()) > _CELLS:
+        half = batch.num_rows // 2
+        yield from _overlaps(batch.slice(0, half))
+        yield from _overlaps(batch.slice(half))
+        return
+    leading = np.minimum(job.field("n").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(leading, sizes)
+    required = codes[inside], leading
+    c, e, n = (_soft(_match_table(asked, sides[s][0]), (codes, sizes) if s == "e" else required, sides[s][1:]) for s in "cen")
+    some = sides["c"][2] > 0
+    scores = np.where(some, 0.45 * c + 0.35 * e + 0.2 * n, 0.5 * n + 0.5 * e)
+    yield pa.RecordBatch.from_arrays([batch.column("job_id"), batch.column("candidate_id"), *map(pa.array, (scores, c, e, n))], ["job_id", "candidate_id", *OVERLAPS])
+
+
+def overlaps(pairs: DataFrame) -> DataFrame:
+    """job_id, candidate_id and the skill overlaps of each pair, from ``scoring.job_skills`` and ``scoring.candidate_skills``.
+
+    A batch's different terms are compared once, and its pairs look their matches up; words are made from terms in the
+    task, so pairs travel with plain skills. A batch of very many terms is halved until its table is small."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _overlaps(batch)
+
+    return pairs.select("job_id", "candidate_id", "job_skills", "candidate_skills").mapInArrow(
+        run, "job_id string, candidate_id string, " + ", ".join(f"{n} double" for n in OVERLAPS))
+
+
 def match_scores(pairs: DataFrame) -> DataFrame:
     """Deterministic scores of (job, candidate) rows.
 

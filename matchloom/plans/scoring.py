@@ -239,9 +239,11 @@ def _(i):
 
 @query("k03_skill_overlap", "SELECT job_id, candidate_id, round(skill_overlap, 6) AS skill_overlap, round(core_overlap, 6) AS core_overlap, round(expanded_overlap, 6) AS expanded_overlap, round(normalized_overlap, 6) AS normalized_overlap FROM k_overlap", CT)
 def _(i):
-    o = ma.overlap(i.pair_doc())
-    names = ["core_overlap", "expanded_overlap", "normalized_overlap"]
-    return i.pair_doc().select(*P, o.alias("o")).select(*P, sc.rnd(F.col("o.score"), 6).alias("skill_overlap"), *[sc.rnd(F.col(f"o.{n}"), 6).alias(n) for n in names])
+    jobs, docs = i.job_doc(), i.candidate_doc()
+    terms = jobs.select("job_id", sc.job_skills(F.col("required_skills"), F.col("related_skills")).alias("job_skills"))
+    pools = docs.select("candidate_id", sc.candidate_skills(F.col("core_skills"), F.col("expanded_skills"), F.col("skills")).alias("candidate_skills"))
+    o = ma.overlaps(i.pair().select(*P).join(terms, "job_id").join(pools, "candidate_id"))
+    return o.select(*P, *[sc.rnd(F.col(n), 6).alias(n) for n in ma.OVERLAPS])
 
 
 @query("k04_experience_fit", f"SELECT job_id, candidate_id, round({EXPFIT}, 6) AS fit FROM pair_doc")
