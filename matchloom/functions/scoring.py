@@ -79,33 +79,44 @@ def fusion(vector: Column, keyword: Column, metadata: Column, weights: dict[str,
     return clip01((vector * w["vector"] + keyword * w["keyword"] + metadata * w["metadata"]) / total)
 
 
-def industry_terms_hit(category: Column, industry: Column) -> Column:
-    """1/0 whether the category holds a term of the industry, .5 when the industry has no terms."""
-    key = normalize_label(industry, FILTERS["industries"])
-    out = F.lit(0.5)
-    for name, entry in FILTERS["industries"].items():
-        terms = list(dict.fromkeys(spaced(t) for t in entry["category_terms"]))
-        out = F.when(key == name, F.when(contains_any(category, terms), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(out)
-    return out
+def job_facts(category: Column, industry: Column, min_years: Column, seniority: Column) -> Column:
+    """What metadata_score asks of a job; the same for all candidates, so made before jobs meet candidates."""
+    return F.struct(
+        F.when(blank_to_null(category).isNotNull(), normalize_token(category)).alias("category"), normalize_label(industry, FILTERS["industries"]).alias("industry"),
+        min_years.alias("years"), F.when(F.coalesce(seniority, F.lit("")) != "", F.lower(F.trim(seniority))).alias("level"))
 
 
-def metadata_score(category: Column, industry: Column, min_years: Column, seniority: Column,
-                   c_category: Column, c_years: Column, c_seniority: Column) -> Column:
-    cat = normalize_token(c_category)
-    wanted = blank_to_null(category)
-    s_cat = F.when(wanted.isNull(), 0.5).when(cat == normalize_token(category), 1.0).otherwise(0.0)
+def candidate_facts(category: Column, years: Column, seniority: Column) -> Column:
+    """What metadata_score asks of a candidate, likewise; ``hits``: 1/0 whether the category holds a term of each industry, .5 when it has no terms."""
+    cat = normalize_token(category)
+    terms = [list(dict.fromkeys(spaced(t) for t in entry["category_terms"])) for entry in FILTERS["industries"].values()]
+    hits = [F.when(contains_any(cat, ts), F.lit(1.0)).otherwise(F.lit(0.0)) if ts else F.lit(0.5) for ts in terms]
+    return F.struct(
+        cat.alias("category"), years.alias("years"), F.when(F.coalesce(seniority, F.lit("")) != "", F.lower(F.trim(seniority))).alias("level"),
+        F.array(*hits).alias("hits"))
+
+
+def prepared_metadata(job: Column, candidate: Column) -> Column:
+    """metadata_score of job_facts and candidate_facts."""
+    need, years = job["years"], candidate["years"]
+    s_cat = F.when(job["category"].isNull(), 0.5).when(candidate["category"] == job["category"], 1.0).otherwise(0.0)
     s_exp = (
-        F.when(min_years.isNull(), 0.5).when(c_years.isNull(), 0.0).when(min_years <= 0, 1.0)
-        .otherwise(clip01(c_years / F.nullif(min_years, F.lit(0.0)))))
-    s_sen = (
-        F.when(F.coalesce(seniority, F.lit("")) == "", 0.5).when(F.coalesce(c_seniority, F.lit("")) == "", 0.2)
-        .when(F.lower(F.trim(c_seniority)) == F.lower(F.trim(seniority)), 1.0).otherwise(0.4))
-    has_industry = normalize_label(industry, FILTERS["industries"]) != ""
+        F.when(need.isNull(), 0.5).when(years.isNull(), 0.0).when(need <= 0, 1.0)
+        .otherwise(clip01(years / F.nullif(need, F.lit(0.0)))))
+    s_sen = F.when(job["level"].isNull(), 0.5).when(candidate["level"].isNull(), 0.2).when(candidate["level"] == job["level"], 1.0).otherwise(0.4)
+    s_ind = F.lit(0.5)
+    for place, name in enumerate(FILTERS["industries"]):
+        s_ind = F.when(job["industry"] == name, F.get(candidate["hits"], F.lit(place))).otherwise(s_ind)
     return F.when(
-        has_industry, s_cat * 0.4 + industry_terms_hit(cat, industry) * 0.15 + s_exp * 0.3 + s_sen * 0.15
+        job["industry"] != "", s_cat * 0.4 + s_ind * 0.15 + s_exp * 0.3 + s_sen * 0.15
     ).otherwise(s_cat * 0.5 + s_exp * 0.35 + s_sen * 0.15)
 
 
+def metadata_score(category: Column, industry: Column, min_years: Column, seniority: Column,
+                   c_category: Column, c_years: Column, c_seniority: Column) -> Column:
+    return prepared_metadata(job_facts(category, industry, min_years, seniority), candidate_facts(c_category, c_years, c_seniority))
+
+
 def keyword_predicate(terms: Column, category: Column, industry: Column, min_years: Column,
                       c_category: Column, c_years: Column, pool: Column, summary: Column, heads: int | None = None) -> Column:
     """Which documents a keyword search may return. ``heads``: how many leading terms are looked for in the summary (None: all)."""

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from matchloom.functions import scoring as sc
 from matchloom.operators.ranking import places, top_k
@@ -90,14 +91,14 @@ def _coded(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     return flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False), sizes.astype(np.int64)
 
 
-def _overlaps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _overlaps(batch: pa.RecordBatch, kept: tuple[str, ...] = ("job_id", "candidate_id")) -> Iterator[pa.RecordBatch]:
     job, own = batch.column("job_skills"), batch.column("candidate_skills")
     sides = {n: _coded(own.field(n)) for n in "cen"}
     asked, codes, sizes = _coded(job.field("x"))
     if batch.num_rows > 1 and len(asked) * max(len(t) for t, *_ in sides.values()) > _CELLS:
         half = batch.num_rows // 2
-        yield from _overlaps(batch.slice(0, half))
-        yield from _overlaps(batch.slice(half))
+        yield from _overlaps(batch.slice(0, half), kept)
+        yield from _overlaps(batch.slice(half), kept)
         return
     leading = np.minimum(job.field("n").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
     inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(leading, sizes)
@@ -105,21 +106,21 @@ def _overlaps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     c, e, n = (_soft(_match_table(asked, sides[s][0]), (codes, sizes) if s == "e" else required, sides[s][1:]) for s in "cen")
     some = sides["c"][2] > 0
     scores = np.where(some, 0.45 * c + 0.35 * e + 0.2 * n, 0.5 * n + 0.5 * e)
-    yield pa.RecordBatch.from_arrays([batch.column("job_id"), batch.column("candidate_id"), *map(pa.array, (scores, c, e, n))], ["job_id", "candidate_id", *OVERLAPS])
+    yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *map(pa.array, (scores, c, e, n))], [*kept, *OVERLAPS])
 
 
-def overlaps(pairs: DataFrame) -> DataFrame:
-    """job_id, candidate_id and the skill overlaps of each pair, from ``scoring.job_skills`` and ``scoring.candidate_skills``.
+def overlaps(pairs: DataFrame, kept: tuple[str, ...] = ("job_id", "candidate_id")) -> DataFrame:
+    """The columns ``kept`` and the skill overlaps of each pair, from ``scoring.job_skills`` and ``scoring.candidate_skills``.
 
     A batch's different terms are compared once, and its pairs look their matches up; words are made from terms in the
     task, so pairs travel with plain skills. A batch of very many terms is halved until its table is small."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from _overlaps(batch)
+                yield from _overlaps(batch, kept)
 
-    return pairs.select("job_id", "candidate_id", "job_skills", "candidate_skills").mapInArrow(
-        run, "job_id string, candidate_id string, " + ", ".join(f"{n} double" for n in OVERLAPS))
+    schema = StructType([pairs.schema[n] for n in kept] + [StructField(n, DoubleType()) for n in OVERLAPS])
+    return pairs.select(*kept, "job_skills", "candidate_skills").mapInArrow(run, schema)
 
 
 def match_scores(pairs: DataFrame) -> DataFrame:
@@ -128,14 +129,19 @@ def match_scores(pairs: DataFrame) -> DataFrame:
     Needs: raw_score, the candidate's skills / core_skills / expanded_skills /
     experience_years / seniority_level / category and the job's required_skills,
     related_skills, min_years, preferred_seniority, job_category, adjacent_score.
+    Rows with ``job_skills`` and ``candidate_skills`` have their overlaps found by the batch.
     """
     c = F.col
+    kept = tuple(n for n in pairs.columns if n not in ("candidate_terms", "job_terms", "candidate_skills", "job_skills"))
     pool = sc.lower_set(c("skills"), c("core_skills"), c("expanded_skills"))
-    staged = pairs.withColumn("_o", overlap(pairs))
+    if {"candidate_skills", "job_skills"} <= set(pairs.columns):
+        staged = overlaps(pairs, kept).withColumn("_o", F.struct(c("skill_overlap").alias("score"), *OVERLAPS[1:])).drop(*OVERLAPS)
+    else:
+        staged = pairs.withColumn("_o", overlap(pairs))
     staged = staged.withColumn("_d", sc.deterministic_score(
         c("raw_score"), c("_o.score"), c("experience_years"), c("min_years"), c("seniority_level"), c("preferred_seniority"), c("job_category") == c("category")))
     return staged.withColumn("_m", sc.must_have(c("required_skills"), pool, c("adjacent_score"))).select(
-        *[n for n in pairs.columns if n not in ("candidate_terms", "job_terms")], c("_o.score").alias("skill_overlap"), c("_o.core_overlap").alias("core_overlap"), c("_o.expanded_overlap").alias("expanded_overlap"),
+        *kept, c("_o.score").alias("skill_overlap"), c("_o.core_overlap").alias("core_overlap"), c("_o.expanded_overlap").alias("expanded_overlap"),
         c("_o.normalized_overlap").alias("normalized_overlap"), c("_d.score").alias("deterministic_score"), c("_d.semantic_similarity").alias("semantic_similarity"),
         c("_d.experience_fit").alias("experience_fit"), c("_d.seniority_fit").alias("seniority_fit"), c("_d.category_fit").alias("category_fit"),
         c("_m.rate").alias("must_have_rate"), c("_m.penalty").alias("must_have_penalty"))

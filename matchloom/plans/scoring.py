@@ -546,8 +546,10 @@ def match_rows(i, jobs):
     cover = hits.where("rank = 1").select(*P).join(jobs.select("job_id", "required_skills"), "job_id").join(i.written("candidate_doc"), "candidate_id")
     gate = ma.rerank_gate(hits, query, pooled(cover).select(*P, sc.share(F.array_intersect(req, F.col("pool")), req).alias("coverage")))
     short = materialize(ma.shortlist(hits, gate, relevance(i, hits), SHORT).select(*P, F.col("score").alias("raw_score")), "match-short")
-    wanted = ma.prepared_jobs(jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms"))
-    found = ma.prepared_candidates(i.written("candidate_doc").join(short.select("candidate_id").distinct(), "candidate_id", "left_semi"))
+    wanted = jobs.select("job_id", F.col("category").alias("job_category"), "min_years", "preferred_seniority", "industry", "required_skills", "related_skills", "terms",
+                         sc.job_skills(F.col("required_skills"), F.col("related_skills")).alias("job_skills"))
+    found = i.written("candidate_doc").join(short.select("candidate_id").distinct(), "candidate_id", "left_semi").withColumn(
+        "candidate_skills", sc.candidate_skills(F.col("core_skills"), F.col("expanded_skills"), F.col("skills")))
     full = materialize(short.join(wanted, "job_id").join(found, "candidate_id"), "match-pairs")
     m = ma.agent_scores(ma.match_scores(with_adjacent(i, full, found, jobs)))
     det = sc.rnd(ma.penalised(F.col("deterministic_score"), F.col("must_have_penalty")), 6)
