@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -370,20 +371,31 @@ def abilities(summary: Column, descriptions: Column, text: Column, limit: int |
 
 
 def _boundary(words: list[str]) -> list[str]:
-    import re
     return [rf"\b{re.escape(w)}\b" for w in words]
 
 
+def _any_word(words: list[str]) -> str:
+    """Pattern that finds, at every place where some of the words begin, the longest of them; words share their first letters."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
+    return rf"\b(?=((?:{'|'.join(f'{re.escape(c)}(?:{'|'.join(rest)})' for c, rest in by_first.items())})\b))"
+
+
 def impute_category(titles: Column, core: Column) -> Column:
-    """Category with most keyword hits; the earlier one wins a tie."""
-    def best_of(text):
+    """Category with most keyword hits; the earlier one wins a tie. All keywords are looked for in one pass."""
+    words = [w for ws in CATEGORY_WORDS.values() for w in ws]
+    # a word that begins a longer one, as a word of its own, is there with it
+    within = [(w, v) for w in words for v in words if w != v and re.match(_boundary([w])[0], v)]
+
+    def best_of(found):
+        all_found = F.array_distinct(F.concat(found, *[F.when(F.array_contains(found, v), F.array(F.lit(w))).otherwise(_empty()) for w, v in within]))
         scored = F.array(*[
-            F.struct(sum((text.rlike(rx).cast("int") for rx in _boundary(ws)), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c"))
+            F.struct(F.size(F.array_intersect(all_found, F.array(*[F.lit(w) for w in ws]))).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c"))
             for i, (c, ws) in enumerate(CATEGORY_WORDS.items())])
-        return F.array_max(scored)
+        return F.when(F.size(found) > 0, F.array_max(scored)["c"]).otherwise("SOFTWARE-ENGINEERING")
 
-    best = let(F.lower(F.concat_ws(" ", titles, core)), best_of)
-    return F.when(best["n"] > 0, best["c"]).otherwise("SOFTWARE-ENGINEERING")
+    return let(F.regexp_extract_all(F.lower(F.concat_ws(" ", titles, core)), F.lit(_any_word(words)), F.lit(1)), best_of)
 
 
 def category_skill(category: Column) -> Column:
