@@ -9,12 +9,13 @@ from __future__ import annotations
 import functools
 import operator
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom.functions.dates import normalize_month
-from matchloom.functions.text import blank_to_null, clean_item, dedupe, dedupe_ignore_case, embedding_text, first_by_key, first_chars, first_items, let, skill_list_normalized, skill_list_raw, squash, FIND_WS
+from matchloom.functions.text import blank_to_null, clean_item, dedupe, dedupe_ignore_case, embedding_text, first_by_key, first_chars, first_items, let, single_spaced, skill_list_normalized, skill_list_raw, squash, FIND_WS
 
 # Fixed values -----------------------------------------------------------
 SECTIONS = {  # first match wins: 'qualifications' belongs to skills
@@ -33,9 +34,11 @@ MONTH_WORD = (
 )
 DATE = rf"(?:\d{{1,2}}/\d{{4}}|\d{{4}}/\d{{1,2}}|{MONTH_WORD}\s+\d{{4}}|(?:Spring|Summer|Fall|Autumn|Winter)\s+\d{{4}}|\d{{4}})"
 DATE_WORD = rf"(?i)\b({DATE})\b"
-DATE_AT = r"(?i)(?=\d|[jfmasondw][aepuoic])"  # turns most places away where no date begins
+# turns most places away where no date begins; listed characters are looked up faster than ranges
+DATE_AT = r"(?=[0123456789JFMASONDWjfmasondw](?:(?<=\d)|[AEPUOICaepuoic][NBRYLGPTVCMnbrylgptvcm]))"
 DATE_RANGE = rf"(?i)({DATE})\s*(?:to|-|–|—|－)\s*(Present|Current|Now|{DATE})"
 FIND_RANGE = DATE_AT + DATE_RANGE  # finds the same as DATE_RANGE
+MAYBE_RANGE = r"\d{4}(?:/\d{1,2})?\s*(?:[tT][oO]|[-–—－])"  # a text without it has no range
 DEGREE_WORDS = r"bachelor|master|phd|doctor|mba|b\.sc|bsc|m\.sc|msc|diploma|degree"
 DEGREE_CHUNK = r"(?i)((?:Bachelor|Master|PhD|Doctor|MBA|B\.Sc|M\.Sc|Diploma|Degree)[^.;]{0,180})"
 SCHOOL_CHUNK = r"((?:[A-Z][A-Za-z&.\-'\s]{1,50}\s)?(?:University|College|Institute|School|Academy)[^.;]{0,140})"
@@ -51,10 +54,22 @@ SKILL_NOISE_PHRASES = [
     "bilingual", "languages:", "language:", "proficient in", "including", "such as", "etc.", "experience in", "knowledge of", " and ", " or ",
     "background in", "10-key", "wpm", "consisting of", "evolved", ".com", "as well as", "understanding of", "ability to", "familiarity with",
 ]
-DATE_THEN_TITLE = rf"{DATE_AT}({DATE})\s+([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)(?=\s+(?:Company Name|City|State|Education|Skills|Highlights|$))"
+_LETTER = string.ascii_letters
+_IN_TITLE = rf"[{_LETTER}0123456789/&().,'\- ]"
+_LETTER = string.ascii_letters
+_IN_TITLE = rf"[{_LETTER}0123456789/&().,'\- ]"
+# in single-spaced text
+DATE_THEN_TITLE = rf"{DATE_AT}((?i:{DATE})) ([{_LETTER}]{_IN_TITLE}{{2,80}}?)(?= (?i:Company Name|City|State|Education|Skills|Highlights|$))"
+MAYBE_DATE_THEN_TITLE = r"\d " + DATE_THEN_TITLE[len(rf"{DATE_AT}((?i:{DATE})) "):]  # a text without it has none
 # a place with no year within the longest title and date is given up before a title is tried
 TITLE_THEN_DATE = rf"(?i)(?=.{{3,100}}?\d{{4}})([A-Za-z][A-Za-z0-9/&().,'\- ]{{2,80}}?)\s*,?\s*({DATE})(?!\s*(?:to|-|–|—|－))"
+# A match in single-spaced text is part of a run of characters that a title may have, and its date is one that this finds.
+TITLE_RUN = rf"{_IN_TITLE}++[–—－]?"
+TITLE_MOST = 81
+ALONE_DATE = rf"{DATE_AT}((?i:{DATE}))(?!\s*(?:(?i:to)|-|–|—|－))"
 TITLE_PREFIX = r"(?i)^(experience|employment|work experience|professional experience|work history)\s*"
+MARK = "\x01"  # split() makes a longer pattern anew for every text
+RECORDS = "array<struct<title:string,company:string,start_date:string,end_date:string,location:string,description:string>>"
 ABILITIES = [
     ("team leadership", r"\b(team lead|led (?:a |the )?team|managed (?:a |the )?team|supervis(?:e|ed|ion)|people management)\b"),
     ("stakeholder communication", r"\bstakeholder\b|\b(client|customer|executive)\b.*\bcommunication\b|\bpresent(?:ation|ed)\b"),
@@ -232,7 +247,7 @@ def education_lines(tagged: Column) -> Column:
 
 def education_scan(text: Column) -> Column:
     """Degree and school chunks anywhere in the whole text, first of equals kept."""
-    flat = F.regexp_replace(text, FIND_WS + "+", " ")
+    flat = single_spaced(text)
     deg = F.transform(F.regexp_extract_all(flat, F.lit(DEGREE_CHUNK), F.lit(1)), lambda s: _education(squash(s), _null(), first_date(squash(s))))
     school = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(SCHOOL_CHUNK), F.lit(1)), squash), lambda s: F.length(s) >= 8)
     sch = F.transform(school, lambda s: _education(_null(), s, first_date(s)))
@@ -306,7 +321,8 @@ def experience_scan(text: Column) -> Column:
                 p["title"].alias("title"), p["company"].alias("company"), s.alias("start_date"), F.get(m["end"], i).alias("end_date"),
                 _null().alias("location"), desc.alias("description")))
 
-        gaps = F.transform(F.split(flat, FIND_RANGE), lambda s: F.length(s))
+        apart = F.when(flat.contains(MARK), F.split(flat, FIND_RANGE)).otherwise(F.split(F.regexp_replace(flat, FIND_RANGE, MARK), MARK))
+        gaps = F.transform(apart, lambda s: F.length(s))
         spans = F.transform(whole, lambda s: F.length(s))
         # running end offset of each range: lengths of the text before it and of itself, summed once
         ends = F.aggregate(
@@ -318,20 +334,49 @@ def experience_scan(text: Column) -> Column:
             F.transform(whole, lambda s: F.regexp_extract(s, DATE_RANGE, 2)).alias("end"), spans.alias("spans"), ends.alias("ends"))
         return let(found, lambda m: F.transform(m["start"], lambda s, i: record(m, s, i)))
 
-    def singles(flat, pattern, parts, title_group, date_group, banned):
-        matches = F.regexp_extract_all(flat, F.lit(pattern), F.lit(0))
-        recs = F.transform(matches, lambda m: F.struct(
-            squash(F.regexp_extract(m, parts, title_group)).alias("title"), _null().alias("company"),
-            F.regexp_extract(m, parts, date_group).alias("start_date"), _null().alias("end_date"),
-            _null().alias("location"), _null().alias("description")))
-        keep = F.filter(recs, lambda r: r["title"] != "")
-        return F.filter(keep, lambda r: ~F.lower(r["title"]).rlike("(education|skills|summary|highlights)$")) if banned else keep
+    def single(title, date):
+        return F.struct(F.trim(title).alias("title"), _null().alias("company"), date.alias("start_date"), _null().alias("end_date"),
+                        _null().alias("location"), _null().alias("description"))
+
+    def dated_titles(flat):
+        """A date, then a title."""
+        parts = rf"^((?i:{DATE})) ([{_LETTER}].*)$"
+        found = F.transform(F.regexp_extract_all(flat, F.lit(DATE_THEN_TITLE), F.lit(0)), lambda m: single(F.regexp_extract(m, parts, 2), F.regexp_extract(m, parts, 1)))
+        return F.when(flat.rlike(MAYBE_DATE_THEN_TITLE), found).otherwise(F.array().cast(RECORDS))
+
+    def titled_dates(flat):
+        """A title, then a date: what TITLE_THEN_DATE finds. A title begins at the first letter after the last date, or at the first
+        one of as many characters before the date as it may have; a comma and spaces before the date are not part of it."""
+        def cut(gap):
+            t = F.rtrim(F.regexp_extract(gap, rf"[{_LETTER}].*", 0))
+            t = let(t, lambda u: F.when(F.endswith(u, F.lit(",")), F.rtrim(F.substring(u, F.lit(1), F.length(u) - 1))).otherwise(u))
+            return let(t, lambda u: F.when(F.length(u) <= TITLE_MOST, u).otherwise(F.regexp_extract(F.substring(u, -TITLE_MOST, TITLE_MOST), rf"[{_LETTER}].*", 0)))
+
+        def ahead(e):  # without a letter before it, only the month of the date itself can be a title
+            named = F.regexp_extract(e["d"], rf"^[{_LETTER}]+", 0)
+            return F.when(e["gap"].rlike(rf"[{_LETTER}]"), F.struct(cut(e["gap"]).alias("t"), e["d"].alias("d"))).otherwise(
+                F.struct(F.when(named != "", F.when(F.startswith(e["after"], F.lit("/")), "").otherwise(named)).alias("t"), F.when(named == "", e["d"]).otherwise(F.substring(e["d"], -4, 4)).alias("d")))
+
+        def read(run):
+            def paired(parts):  # gap, date, gap, date, ..., rest
+                pairs = F.transform(parts, lambda gap, i: F.struct(gap.alias("gap"), F.get(parts, i + 1).alias("d"), F.get(parts, i + 2).alias("after"), i.alias("i")))
+                return F.filter(pairs, lambda e: (e["i"] % 2 == 0) & e["d"].isNotNull())
+
+            marked = F.regexp_replace(run, ALONE_DATE, MARK + "$1" + MARK)  # a run has no such character
+            found = F.filter(F.transform(let(F.split(marked, MARK), paired), ahead), lambda e: e["t"].isNotNull())
+            # a title of one or two characters would end within what looks like a date: read place by place
+            return let(found, lambda f: F.when(F.forall(f, lambda e: F.length(e["t"]) >= 3), F.transform(f, lambda e: single(e["t"], e["d"])))
+                       .otherwise(F.zip_with(*[F.regexp_extract_all(run, F.lit(TITLE_THEN_DATE), F.lit(g)) for g in (1, 2)], single)))
+
+        runs = F.filter(F.regexp_extract_all(flat, F.lit(TITLE_RUN), F.lit(0)), lambda run: run.rlike(r"\d{4}"))
+        ends = ("education", "skills", "summary", "highlights")
+        return F.filter(F.flatten(F.transform(runs, read)), lambda r: ~functools.reduce(operator.or_, [F.endswith(F.lower(r["title"]), F.lit(w)) for w in ends]))
 
     def scan(flat):
-        alone = F.concat(singles(flat, DATE_THEN_TITLE, rf"(?i)^({DATE})\s+(.*)$", 2, 1, False), singles(flat, TITLE_THEN_DATE, rf"(?i)^([A-Za-z].{{2,80}}?)\s*,?\s*({DATE})$", 1, 2, True))
-        return F.when(flat.rlike(FIND_RANGE), ranged(flat)).otherwise(alone)
+        alone = F.filter(F.concat(dated_titles(flat), titled_dates(flat)), lambda r: r["title"] != "")
+        return F.when(flat.rlike(MAYBE_RANGE) & flat.rlike(FIND_RANGE), ranged(flat)).otherwise(alone)
 
-    records = let(F.regexp_replace(text, FIND_WS + "+", " "), scan)
+    records = let(single_spaced(text), scan)
     return distinct_by(records, ["title", "company", "start_date", "end_date"])
 
 

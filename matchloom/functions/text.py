@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Fixed values -----------------------------------------------------------
 # Characters that count as white space (ASCII controls, NEL, NBSP, Unicode Z*).
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-FIND_WS = rf"[[\x00-\x20\x{{7f}}-\x{{ffff}}]&&{WS}]"  # the same; the first part turns printable ASCII away at once
+_PRINTABLE = "".join(rf"\x{k:02x}" for k in range(0x21, 0x7F))
+FIND_WS = rf"[[^{_PRINTABLE}]&&{WS}]"  # the same; the first part turns printable ASCII away at once (a list is looked up faster than ranges)
+WIDE_WS = rf"{FIND_WS}(?:{FIND_WS}+|(?<! ))"  # a run that is not one plain space
 NULL_WORDS = ["nan", "none", "null", "na", "n/a"]
 EDGE_CHARS = " ,;:/|"
 LEXICAL_FIXES = {"mongo db": "mongodb", "mongo db-3.2": "mongodb", "ms office": "microsoft office"}
@@ -53,7 +55,12 @@ def blank_to_null(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse white-space runs to one space and trim."""
-    return F.trim(F.regexp_replace(c, FIND_WS + "+", " "))
+    return F.trim(single_spaced(c))
+
+
+def single_spaced(c: Column) -> Column:
+    """White-space runs become one space; plain single spaces, most of them, stay untouched."""
+    return F.regexp_replace(c, WIDE_WS, " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -113,7 +120,7 @@ def sorted_unique(a: Column) -> Column:
 
 def normalize_skill(c: Column) -> Column:
     t = F.regexp_replace(squash(F.lower(c)), "&", " and ")
-    return F.btrim(F.regexp_replace(t, FIND_WS + "+", " "), F.lit(EDGE_CHARS))
+    return F.btrim(single_spaced(t), F.lit(EDGE_CHARS))
 
 
 def clean_token(c: Column) -> Column:
@@ -152,7 +159,7 @@ def sanitize_skills(a: Column, max_words: int = 6, max_chars: int = 48) -> Colum
 
 def years_from_text(c: Column) -> Column:
     """First plausible 'N years' figure; the three wordings are tried in order."""
-    t = F.regexp_replace(F.lower(c), FIND_WS + "+", " ")
+    t = single_spaced(F.lower(c))
 
     def first(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(2)), lambda s: s.cast("double"))
@@ -184,7 +191,7 @@ def embedding_text(c: Column, limit: int = 4000) -> Column:
 
 def normalize_token(c: Column) -> Column:
     t = F.regexp_replace(F.lower(F.regexp_replace(c, f"^{FIND_WS}+|{FIND_WS}+$", "")), "[-_]+", " ")
-    return F.coalesce(F.regexp_replace(t, FIND_WS + "+", " "), F.lit(""))
+    return F.coalesce(single_spaced(t), F.lit(""))
 
 
 def normalize_region(c: Column) -> Column:
