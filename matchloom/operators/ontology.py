@@ -281,26 +281,27 @@ def ngram_hits(texts: DataFrame, key: str, vocab: DataFrame, max_n: int = 4) ->
 def alias_hints(texts: DataFrame, key: str, vocab: DataFrame, limit: int | None = 30) -> DataFrame:
     """(key, hints): canonical names of aliases that stand free in the text, longest aliases first; None: all of them.
 
-    Candidates come from a hash join of the text's word 1..3-grams with each
-    alias's first three words; the boundary test then runs once per text.
-    The vocabulary is written first, so Spark knows its size: below the
-    broadcast threshold no gram is shuffled, and of a text's matches each task
-    ships one row.
+    A word of the text that begins an alias gives its 1..3-grams, which are hash joined with each alias's first three
+    words; the boundary test then runs once per text. The vocabulary is written first, so Spark knows its size: below the
+    broadcast threshold no gram is shuffled, and of a text's matches each task ships one row.
     """
     def head(c):
         return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
     keyed = materialize(vocab.where(F.length("alias") >= 3).select("alias", "canonical", F.array_join(F.slice(head(F.col("alias")), 1, 3), " ").alias("g")).distinct(), "alias-vocabulary")
+    begins = keyed.select(F.substring_index("g", " ", 1).alias("w")).distinct()
 
-    def grams(ws):
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))), lambda i: F.array(
-            F.array_join(F.slice(ws, i, 1), " "), F.array_join(F.slice(ws, i, 2), " "), F.array_join(F.slice(ws, i, 3), " ")))))
+    def words(ws):  # a text without words has an empty one
+        row = F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i + 1).alias("w2"), F.get(ws, i + 2).alias("w3")))
+        return F.when(F.size(ws) > 0, row).otherwise(F.array(F.struct(F.lit("").alias("w"), F.lit(None).cast("string").alias("w2"), F.lit(None).cast("string").alias("w3"))))
 
-    cand = texts.select(key, F.explode(tx.let(head(F.col("text")), grams)).alias("g")).join(keyed, "g").select(key, "alias", "canonical")
+    begun = texts.select(key, F.inline(tx.let(head(F.col("text")), words))).join(begins, "w", "left_semi")
+    grams = F.array_distinct(F.array("w", F.concat_ws(" ", "w", "w2"), F.concat_ws(" ", "w", "w2", "w3")))
+    cand = begun.select(key, F.explode(grams).alias("g")).join(keyed, "g").select(key, "alias", "canonical")
     per = cand.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("alias")).alias("n"), "alias", "canonical"))).alias("c"))
-    compact = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), tx.WS + "+", " "), F.lit(" "))
+    compact = F.concat(F.lit(" "), tx.single_spaced(F.lower("text")), F.lit(" "))
 
     def free(t):
-        return F.filter("c", lambda e: F.rlike(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), e["alias"], F.lit(r"\E(?![a-z0-9])"))))
+        return F.filter("c", lambda e: t.contains(e["alias"]) & F.rlike(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), e["alias"], F.lit(r"\E(?![a-z0-9])"))))
 
     return texts.join(per, key).select(key, F.array_distinct(F.transform(tx.first_items(tx.let(compact, free), limit), lambda e: e["canonical"])).alias("hints")).where(F.size("hints") > 0)
